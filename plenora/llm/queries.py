@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plenora.llm.canon import canonical, look_alike_pairs, look_alike_rows
 from plenora.llm.turns import collapse_runs
 from plenora.operators.segments import usable_spans
 from plenora.sources.tables import table
@@ -43,7 +44,21 @@ turns AS (
   FROM runs GROUP BY session, run)
 """
 
-QUERIES = {"p2_found": p2_found, "p2_turns": p2_turns}
+def p6_found(spark: SparkSession, root: str) -> DataFrame:
+    """Substitutions whose sides look the same, and chunks that look like another chunk's different text."""
+    err = table(spark, root, "committees_error_content").filter("kind = 'substitution'")
+    pairs = look_alike_pairs(err, "reference", "hypothesis").select(F.lit("committees_error_content").alias("src"), F.col("row_id").cast("string").alias("rec_key"))
+    chunks = look_alike_rows(table(spark, root, "chunk_index"), "chunk_id", "text")
+    return pairs.distinct().unionByName(chunks.select(F.lit("chunk_index").alias("src"), F.col("id").alias("rec_key")))
+
+
+def p6_forms(spark: SparkSession, root: str) -> DataFrame:
+    """The consistent form of every chunk's text, and its case-folded form for comparison."""
+    rows = table(spark, root, "chunk_index").select("chunk_id", "batch", "text")
+    return rows.select("chunk_id", "batch", canonical(F.col("text")).alias("form"), canonical(F.col("text"), fold_case=True).alias("folded"))
+
+
+QUERIES = {"p2_found": p2_found, "p2_turns": p2_turns, "p6_found": p6_found, "p6_forms": p6_forms}
 SQL = {
     "p2_found": _P2 + "SELECT session, first_filename, last_filename, n_rows FROM turns WHERE n_rows >= 2",
     "p2_turns": _P2 + "SELECT session, first_filename, last_filename, n_rows, elapsed_ms FROM turns",

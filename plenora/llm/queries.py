@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plenora.llm.canon import canonical, look_alike_pairs, look_alike_rows
 from plenora.llm.groupsplit import assign_splits, label_profiles, plan_rows
+from plenora.llm.packing import pack, token_counts
 from plenora.llm.sampling import consistent_sample
 from plenora.llm.turns import collapse_runs
 from plenora.operators.segments import usable_spans
@@ -26,6 +27,16 @@ def p2_found(spark: SparkSession, root: str) -> DataFrame:
     return p2_turns(spark, root).filter("n_rows >= 2").select("session", "first_filename", "last_filename", "n_rows")
 
 
+#: Tokens in a training sequence.
+CAPACITY = 2048
+
+
+def p7_packed(spark: SparkSession, root: str) -> DataFrame:
+    """Every document's place in a training sequence of CAPACITY tokens."""
+    docs = table(spark, root, "documents")
+    return pack(token_counts(docs, "doc_id", "text"), "doc_id", CAPACITY, total=docs.count())
+
+
 _P2 = """
 WITH latest AS (
   SELECT *, row_number() OVER (PARTITION BY filename ORDER BY ingested_at DESC NULLS LAST, session DESC NULLS LAST, "start" DESC NULLS LAST, "end" DESC NULLS LAST, speaker_id DESC NULLS LAST, local_speaker_id DESC NULLS LAST) AS rn
@@ -106,7 +117,7 @@ UNION ALL
 SELECT 'speaker', speaker FROM named WHERE speaker IS NOT NULL GROUP BY speaker HAVING count(DISTINCT part) > 1
 """
 
-QUERIES = {"p2_found": p2_found, "p2_turns": p2_turns, "p3_sample": p3_sample, "p4_found": p4_found, "p4_splits": p4_splits, "p6_found": p6_found, "p6_forms": p6_forms}
+QUERIES = {"p2_found": p2_found, "p2_turns": p2_turns, "p3_sample": p3_sample, "p4_found": p4_found, "p4_splits": p4_splits, "p6_found": p6_found, "p6_forms": p6_forms, "p7_packed": p7_packed}
 SQL = {
     "p2_found": _P2 + "SELECT session, first_filename, last_filename, n_rows FROM turns WHERE n_rows >= 2",
     "p2_turns": _P2 + "SELECT session, first_filename, last_filename, n_rows, elapsed_ms FROM turns",

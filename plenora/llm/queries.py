@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plenora.llm.canon import canonical, look_alike_pairs, look_alike_rows
 from plenora.llm.groupsplit import assign_splits, label_profiles, plan_rows
+from plenora.llm.leakage import leaks
 from plenora.llm.packing import pack, token_counts
 from plenora.llm.sampling import consistent_sample
 from plenora.llm.turns import collapse_runs
@@ -37,6 +38,17 @@ def p7_packed(spark: SparkSession, root: str) -> DataFrame:
     return pack(token_counts(docs, "doc_id", "text"), "doc_id", CAPACITY, total=docs.count())
 
 
+def p8_found(spark: SparkSession, root: str) -> DataFrame:
+    """Documents that hold a passage of a benchmark item, with the item."""
+    return leaks(table(spark, root, "documents"), "doc_id", "text", table(spark, root, "benchmark"), "item_id", "text")
+
+
+def p8_items(spark: SparkSession, root: str) -> DataFrame:
+    """Every benchmark item with the number of documents that leak it."""
+    per = p8_found(spark, root).groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
+    return table(spark, root, "benchmark").select("item_id", "lang").join(per, "item_id", "left").select("item_id", "lang", F.coalesce("n", F.lit(0)).alias("n_documents"))
+
+
 _P2 = """
 WITH latest AS (
   SELECT *, row_number() OVER (PARTITION BY filename ORDER BY ingested_at DESC NULLS LAST, session DESC NULLS LAST, "start" DESC NULLS LAST, "end" DESC NULLS LAST, speaker_id DESC NULLS LAST, local_speaker_id DESC NULLS LAST) AS rn
@@ -117,7 +129,7 @@ UNION ALL
 SELECT 'speaker', speaker FROM named WHERE speaker IS NOT NULL GROUP BY speaker HAVING count(DISTINCT part) > 1
 """
 
-QUERIES = {"p2_found": p2_found, "p2_turns": p2_turns, "p3_sample": p3_sample, "p4_found": p4_found, "p4_splits": p4_splits, "p6_found": p6_found, "p6_forms": p6_forms, "p7_packed": p7_packed}
+QUERIES = {"p2_found": p2_found, "p2_turns": p2_turns, "p3_sample": p3_sample, "p4_found": p4_found, "p4_splits": p4_splits, "p6_found": p6_found, "p6_forms": p6_forms, "p7_packed": p7_packed, "p8_found": p8_found, "p8_items": p8_items}
 SQL = {
     "p2_found": _P2 + "SELECT session, first_filename, last_filename, n_rows FROM turns WHERE n_rows >= 2",
     "p2_turns": _P2 + "SELECT session, first_filename, last_filename, n_rows, elapsed_ms FROM turns",

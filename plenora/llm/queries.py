@@ -10,6 +10,7 @@ from plenora.llm.groupsplit import assign_splits, label_profiles, plan_rows
 from plenora.llm.leakage import leaks
 from plenora.llm.packing import pack, token_counts
 from plenora.llm.sampling import consistent_sample
+from plenora.llm.truncation import truncated
 from plenora.llm.turns import collapse_runs
 from plenora.operators.segments import usable_spans
 from plenora.sources.tables import table
@@ -49,6 +50,17 @@ def p8_items(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "benchmark").select("item_id", "lang").join(per, "item_id", "left").select("item_id", "lang", F.coalesce("n", F.lit(0)).alias("n_documents"))
 
 
+def p9_found(spark: SparkSession, root: str) -> DataFrame:
+    """Documents whose text was cut off."""
+    return truncated(table(spark, root, "documents"), "doc_id", "text", "source").filter("cut").select("doc_id")
+
+
+def p9_sources(spark: SparkSession, root: str) -> DataFrame:
+    """Per source: texts, cut texts and their share."""
+    rows = truncated(table(spark, root, "documents"), "doc_id", "text", "source")
+    return rows.groupBy("source").agg(F.count(F.lit(1)).alias("n_texts"), F.count_if("cut").alias("n_cut"), F.round(F.avg(F.col("cut").cast("double")), 6).alias("share_cut"))
+
+
 _P2 = """
 WITH latest AS (
   SELECT *, row_number() OVER (PARTITION BY filename ORDER BY ingested_at DESC NULLS LAST, session DESC NULLS LAST, "start" DESC NULLS LAST, "end" DESC NULLS LAST, speaker_id DESC NULLS LAST, local_speaker_id DESC NULLS LAST) AS rn
@@ -129,7 +141,7 @@ UNION ALL
 SELECT 'speaker', speaker FROM named WHERE speaker IS NOT NULL GROUP BY speaker HAVING count(DISTINCT part) > 1
 """
 
-QUERIES = {"p2_found": p2_found, "p2_turns": p2_turns, "p3_sample": p3_sample, "p4_found": p4_found, "p4_splits": p4_splits, "p6_found": p6_found, "p6_forms": p6_forms, "p7_packed": p7_packed, "p8_found": p8_found, "p8_items": p8_items}
+QUERIES = {"p2_found": p2_found, "p2_turns": p2_turns, "p3_sample": p3_sample, "p4_found": p4_found, "p4_splits": p4_splits, "p6_found": p6_found, "p6_forms": p6_forms, "p7_packed": p7_packed, "p8_found": p8_found, "p8_items": p8_items, "p9_found": p9_found, "p9_sources": p9_sources}
 SQL = {
     "p2_found": _P2 + "SELECT session, first_filename, last_filename, n_rows FROM turns WHERE n_rows >= 2",
     "p2_turns": _P2 + "SELECT session, first_filename, last_filename, n_rows, elapsed_ms FROM turns",

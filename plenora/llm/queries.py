@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from plenora.llm.canon import canonical, look_alike_pairs, look_alike_rows
 from plenora.llm.groupsplit import assign_splits, label_profiles, plan_rows
 from plenora.llm.leakage import leaks
+from plenora.llm.names import attribute, learn_lexicon, linked_pairs, name_readings
 from plenora.llm.packing import pack, token_counts
 from plenora.llm.sampling import consistent_sample
 from plenora.llm.truncation import truncated
@@ -16,6 +17,20 @@ from plenora.operators.segments import usable_spans
 from plenora.sources.tables import table
 
 
+def p1_entities(spark: SparkSession, root: str) -> DataFrame:
+    """The entity of every spelling that can be read as a name."""
+    variants, roster = table(spark, root, "mk_name_variants"), table(spark, root, "mk_metadata")
+    lexicon = learn_lexicon(variants, "variant", roster)
+    found = attribute(name_readings(variants, "variant_id", "variant", "person_id", lexicon))
+    return found.select(F.col("row").alias("variant_id"), F.col("person").alias("person_id"), "entity")
+
+
+def p1_found(spark: SparkSession, root: str) -> DataFrame:
+    """Pairs of rows that name the same person, at least one of them unresolved."""
+    rows = p1_entities(spark, root).select(F.col("variant_id").alias("row"), F.col("person_id").alias("person"), "entity")
+    return linked_pairs(rows).select(F.col("a").alias("variant_id_a"), F.col("b").alias("variant_id_b"))
+
+
 def p2_turns(spark: SparkSession, root: str) -> DataFrame:
     """Every turn, single rows included, with row count, talk and elapsed time in ms."""
     spans = usable_spans(table(spark, root, "segments"), ["speaker_id", "local_speaker_id"])
@@ -141,7 +156,7 @@ UNION ALL
 SELECT 'speaker', speaker FROM named WHERE speaker IS NOT NULL GROUP BY speaker HAVING count(DISTINCT part) > 1
 """
 
-QUERIES = {"p2_found": p2_found, "p2_turns": p2_turns, "p3_sample": p3_sample, "p4_found": p4_found, "p4_splits": p4_splits, "p6_found": p6_found, "p6_forms": p6_forms, "p7_packed": p7_packed, "p8_found": p8_found, "p8_items": p8_items, "p9_found": p9_found, "p9_sources": p9_sources}
+QUERIES = {"p1_found": p1_found, "p1_entities": p1_entities, "p2_found": p2_found, "p2_turns": p2_turns, "p3_sample": p3_sample, "p4_found": p4_found, "p4_splits": p4_splits, "p6_found": p6_found, "p6_forms": p6_forms, "p7_packed": p7_packed, "p8_found": p8_found, "p8_items": p8_items, "p9_found": p9_found, "p9_sources": p9_sources}
 SQL = {
     "p2_found": _P2 + "SELECT session, first_filename, last_filename, n_rows FROM turns WHERE n_rows >= 2",
     "p2_turns": _P2 + "SELECT session, first_filename, last_filename, n_rows, elapsed_ms FROM turns",

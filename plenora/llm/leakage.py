@@ -136,53 +136,41 @@ class ItemBlock:
         self.bits = np.zeros(1 << 22, bool)
         self.bits[(self.seed & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
         # All items in one array with blanks between, for comparing around many seeds at once.
-        pad = 24
-        self.offset, parts, flags, pos = [], [np.zeros(pad, np.int64)], [np.zeros(pad, bool)], pad
+        pos, offset, parts, flags = _PAD, [], [np.full(_PAD, -1, np.int32)], [np.zeros(_PAD, bool)]
         for ids, c in zip(self.items, self.content):
-            self.offset.append(pos)
-            parts += [ids, np.full(pad, -1, np.int64)]
-            flags += [c, np.zeros(pad, bool)]
-            pos += len(ids) + pad
-        self.flat, self.flat_content, self.offset = np.concatenate(parts), np.concatenate(flags), np.array(self.offset, np.int64)
+            offset.append(pos)
+            parts += [ids.astype(np.int32), np.full(_PAD, -1, np.int32)]
+            flags += [c, np.zeros(_PAD, bool)]
+            pos += len(ids) + _PAD
+        self.flat, self.flat_content = np.concatenate(parts), np.concatenate(flags)
+        self.seed_flat = np.array(offset, np.int64)[self.seed_item] + self.seed_at if len(self.seed) else np.empty(0, np.int64)
 
 
-#: How far around a seed words are compared, and by how much they may be shifted.
-_AROUND, _SHIFT = np.arange(-16, 20), 2
+#: How far around a seed words are compared, by how much they may be shifted, and the blanks that keep texts apart.
+_AROUND, _SHIFT, _PAD = np.arange(SEED - MIN_WORDS - 1, MIN_WORDS), MIN_WORDS // PER_ERROR, 24
 
 
-def candidates(doc: np.ndarray, block: ItemBlock) -> dict[int, list[int]]:
-    """Items with a seed in the document whose surroundings agree: item number -> seed places in the document."""
-    h = _hashes(doc, SEED)
-    if not len(h):
-        return {}
-    hit = np.flatnonzero(block.bits[(h & np.uint64((1 << 22) - 1)).astype(np.int64)])
-    if not len(hit):
-        return {}
+def candidates(flat: np.ndarray, block: ItemBlock) -> tuple[np.ndarray, np.ndarray]:
+    """(place, item number) of the seeds whose surroundings agree, in texts laid end to end with blanks (0) between."""
+    h = _hashes(flat, SEED)
+    hit = np.flatnonzero(block.bits[(h & np.uint64(len(block.bits) - 1)).astype(np.int64)])
     lo, hi = np.searchsorted(block.seed, h[hit], "left"), np.searchsorted(block.seed, h[hit], "right")
     n = hi - lo
     at = np.repeat(hit, n)
-    if not len(at):
-        return {}
     row = np.repeat(lo, n) + np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
-    item, ip = block.seed_item[row], block.seed_at[row]
-    pad = 24
-    padded = np.concatenate([np.zeros(pad, np.int64), doc, np.zeros(pad, np.int64)])
-    out: dict[int, list[int]] = {}
+    keep = np.zeros(len(at), bool)
     for a in range(0, len(at), 20_000):
         sl = slice(a, a + 20_000)
-        fi = (block.offset[item[sl]] + ip[sl])[:, None] + _AROUND
-        # Beyond the item's own ends the blanks (-1) match nothing.
-        inside = (fi >= block.offset[item[sl]][:, None]) & (fi < (block.offset + np.array([len(x) for x in block.items]))[item[sl]][:, None])
-        fi = np.where(inside, fi, 0)
-        want = np.where(inside, block.flat[fi], -1)
+        here, there = at[sl], block.seed_flat[row[sl]]
+        want = block.flat[there[:, None] + _AROUND]
+        # The blanks beyond an item's ends (-1) match nothing; the blanks between items are wider than the window.
         same = np.zeros(want.shape, bool)
         for d in range(-_SHIFT, _SHIFT + 1):
-            di = np.clip(at[sl][:, None] + pad + _AROUND + d, 0, len(padded) - 1)
-            same |= padded[di] == want
-        good = (same & block.flat_content[fi] & inside).sum(1) >= MIN_WORDS - MIN_WORDS // PER_ERROR
-        for k, p in zip(item[sl][good].tolist(), at[sl][good].tolist()):
-            out.setdefault(k, []).append(p)
-    return out
+            same |= flat[here[:, None] + _AROUND + d] == want
+        # A passage with one word in six wrong has a stretch of twelve with two wrong at most, and a seed in it.
+        run = np.cumsum(same, axis=1, dtype=np.int16)
+        keep[sl] = (run[:, MIN_WORDS:] - run[:, :-MIN_WORDS]).max(1) >= MIN_WORDS - MIN_WORDS // PER_ERROR
+    return at[keep], block.seed_item[row[keep]]
 
 
 def tiles(a: np.ndarray, b: np.ndarray, least: int = 1) -> list[tuple[int, int, int]]:
@@ -191,8 +179,7 @@ def tiles(a: np.ndarray, b: np.ndarray, least: int = 1) -> list[tuple[int, int,
     length = 1 << max(0, int(math.log2(max(1, min(len(a), len(b))))))
     while length >= least:
         ha, hb = _hashes(a, length), _hashes(b, length)
-        open_a = np.array([free_a[p : p + length].all() for p in range(len(ha))], bool)
-        open_b = np.array([free_b[p : p + length].all() for p in range(len(hb))], bool)
+        open_a, open_b = (np.convolve(~f, np.ones(length, int))[length - 1 : len(f)] == 0 for f in (free_a, free_b))
         place: dict[int, list[int]] = {}
         for q in np.flatnonzero(open_b).tolist():
             place.setdefault(int(hb[q]), []).append(q)
@@ -234,19 +221,30 @@ def holds_passage(a: np.ndarray, b: np.ndarray, content: np.ndarray) -> bool:
     return False
 
 
-def leaked_items(doc: np.ndarray, block: ItemBlock) -> list[int]:
-    """Numbers of the block's items of which the document holds a passage in one place."""
-    out = []
-    for k, places in candidates(doc, block).items():
-        b, reach = block.items[k], len(block.items[k]) + 16
-        end = -1
-        for p in sorted(places):
-            if p < end - reach // 2:
-                continue
-            lo, end = max(0, p - reach), min(len(doc), p + reach)
-            if holds_passage(doc[lo:end], b, block.content[k]):
-                out.append(k)
-                break
+def leaked_items(docs: list[np.ndarray], block: ItemBlock) -> list[list[int]]:
+    """Per document the numbers of the block's items of which it holds a passage in one place."""
+    parts, begin, pos = [np.zeros(_PAD, np.int64)], [], _PAD
+    for d in docs:
+        begin.append(pos)
+        parts += [d, np.zeros(_PAD, np.int64)]
+        pos += len(d) + _PAD
+    out: list[list[int]] = [[] for _ in docs]
+    at, item = candidates(np.concatenate(parts), block)
+    doc = np.searchsorted(np.array(begin, np.int64), at, "right") - 1
+    done: set[tuple[int, int]] = set()
+    reached: dict[tuple[int, int], int] = {}
+    for k in np.lexsort((at, item, doc)).tolist():
+        key = (int(doc[k]), int(item[k]))
+        p, b = int(at[k]) - begin[key[0]], block.items[key[1]]
+        reach = len(b) + 16
+        # A stretch already tiled holds the seeds of its inner part with all that surrounds them.
+        if key in done or p < reached.get(key, -reach) - reach // 2:
+            continue
+        reached[key] = p + reach
+        text = docs[key[0]]
+        if holds_passage(text[max(0, p - reach) : p + reach], b, block.content[key[1]]):
+            done.add(key)
+            out[key[0]].append(key[1])
     return out
 
 
@@ -277,9 +275,7 @@ def leaks(docs: DataFrame, doc_id: str, text_col: str, items: DataFrame, item_id
             get = index.vocabulary.get
             for b in batches:
                 enc = b.column(1).dictionary_encode()
-                per = []
-                for t in enc.dictionary.to_pylist():
-                    per.append(leaked_items(np.array([get(w, 0) for w in words_of(t, form)], np.int64), index))
+                per = leaked_items([np.array([get(w, 0) for w in words_of(t, form)], np.int64) for t in enc.dictionary.to_pylist()], index)
                 rows_at, its = [], []
                 for r, c in enumerate(enc.indices.to_pylist()):
                     for k in per[c]:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from plenora.plans import intervals
+from plenora.plans import corpus, intervals, scoring
 
-MODULES = [intervals]
-FLAGSHIP = "p5_found"
+MODULES = [scoring, corpus, intervals]
+FLAGSHIP = "per_speaker_error_map"
 
 
 def queries() -> dict:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from plenora.functions.text import tokens
+from plenora.functions.text import let, tokens
 
 #: A hypothesis of more than so many times the reference's words is a runaway.
 RUNAWAY = 3
@@ -20,10 +21,13 @@ def word_distance(ref: Column, hyp: Column) -> Column:
     distance is taken. Exact while both sides together have at most 6,400
     tokens; null beyond that (use ``edit_counts`` there). Null counts as ''.
     """
-    r, h = tokens(ref), tokens(hyp)
-    every = F.array_distinct(F.concat(r, h))
-    code = lambda arr: F.decode(F.unhex(F.array_join(F.transform(arr, lambda t: F.hex(F.array_position(every, t) + F.lit(_FIRST - 1))), "")), "UTF-16BE")
-    return F.when(F.size(r) + F.size(h) <= NATIVE_LIMIT, F.levenshtein(code(r), code(h)))
+    sides = F.struct(tokens(ref).alias("r"), tokens(hyp).alias("h"))
+
+    def distance(x: Column) -> Column:
+        code = lambda arr: F.decode(F.unhex(F.array_join(F.transform(arr, lambda t: F.hex(F.array_position(x["v"], t) + F.lit(_FIRST - 1))), "")), "UTF-16BE")
+        return F.when(F.size(x["r"]) + F.size(x["h"]) <= NATIVE_LIMIT, F.levenshtein(code(x["r"]), code(x["h"])))
+
+    return let(let(sides, lambda s: F.struct(s["r"].alias("r"), s["h"].alias("h"), F.array_distinct(F.concat(s["r"], s["h"])).alias("v"))), distance)
 
 
 def runaway(ref_n: Column, hyp_n: Column) -> Column:
@@ -67,7 +71,10 @@ def edit_ops(r: list[str], h: list[str]) -> list[tuple[str, int, int]]:
     return out[::-1]
 
 
-COUNTS = "struct<S: int, D: int, I: int, werr: int, n_words: int, hyp_words: int>"
+# Types, not DDL strings: these need no session when the module is imported.
+COUNTS = T.StructType([T.StructField(n, T.IntegerType()) for n in ("S", "D", "I", "werr", "n_words", "hyp_words")])
+OPS = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("op", "ref", "hyp")]))
+RESTORED = T.StructType([T.StructField("text", T.StringType()), T.StructField("n_inserted", T.IntegerType())])
 
 
 @F.pandas_udf(COUNTS)
@@ -84,7 +91,7 @@ def edit_counts(ref, hyp):  # noqa: ANN001, ANN201
     return pd.DataFrame(rows, columns=["S", "D", "I", "werr", "n_words", "hyp_words"], dtype="int32")
 
 
-@F.pandas_udf("array<struct<op: string, ref: string, hyp: string>>")
+@F.pandas_udf(OPS)
 def edit_stream(ref, hyp):  # noqa: ANN001, ANN201
     """The differences in order: op with the reference's and the hypothesis's word; to be exploded."""
     out = []
@@ -94,7 +101,7 @@ def edit_stream(ref, hyp):  # noqa: ANN001, ANN201
     return ref.__class__(out)
 
 
-@F.pandas_udf("struct<text: string, n_inserted: int>")
+@F.pandas_udf(RESTORED)
 def restore_shared(ref, hyp, other):  # noqa: ANN001, ANN201
     """The reference with words put back that both hypotheses have in addition.
 

@@ -10,6 +10,7 @@ import zlib
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Title words that may lead a speaker's name; an optional last letter is in brackets.
 CHAIR_TITLES = ['היו"ר', "היו״ר", 'יו"ר', "יו״ר", 'מ"מ היו"ר', "מ״מ היו״ר", 'ממלא[ת] מקום היו"ר', "היושב[ת] ראש", "היושב[ת]-ראש"]
@@ -39,7 +40,7 @@ def normalize_text(col: Column) -> Column:
     return F.trim(F.regexp_replace(bare, "[^\\p{L}\\p{M}\\p{N}_]+|_+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(values):  # noqa: ANN001, ANN201
     """Compatibility composition (an Arrow UDF: there is no builtin); once per distinct value of a batch."""
     import unicodedata
@@ -48,6 +49,11 @@ def nfkc(values):  # noqa: ANN001, ANN201
     return values.map(known, na_action="ignore")
 
 
+def let(value: Column, body):  # noqa: ANN001, ANN201
+    """``body`` of a value that is evaluated once: an expression used inside a lambda is otherwise evaluated per element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def tokens(col: Column) -> Column:
     """Array of blank-separated tokens; '' and null give an empty array (a plain split would give one token)."""
     s = F.coalesce(col, F.lit(""))
@@ -166,7 +172,7 @@ def name_field(col: Column, key: str) -> Column:
     return F.nullif(F.regexp_extract(col, rf"(?:^|_){key}([0-9.eE+-]+)(?:_|$)", 1), F.lit(""))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def compression_ratio(values):  # noqa: ANN001, ANN201
     """UTF-8 bytes over zlib-compressed bytes, 0 for '' and null (an Arrow UDF: there is no builtin)."""
     raw = [v.encode() if isinstance(v, str) else b"" for v in values]
@@ -179,12 +185,23 @@ def is_transient_error(col: Column) -> Column:
 
 
 def repeats_ngram(col: Column, n: int = 3, times: int = 3) -> Column:
-    """Whether some run of n tokens occurs at least ``times`` times; false for null and short texts."""
-    t = tokens(col)
-    grams = F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.array_join(F.slice(t, i, n), " "))).otherwise(F.array().cast("array<string>"))
-    # Sorted, equal grams are neighbours: one that equals its (times - 1)-th successor occurs that often.
-    s = F.array_sort(grams)
-    return F.size(F.filter(F.transform(s, lambda g, i: g == F.get(s, i + times - 1)), lambda same: F.coalesce(same, F.lit(False)))) > 0
+    """Whether some run of n tokens occurs at least ``times`` times; false for null and short texts.
+
+    An Arrow UDF: counting takes time in proportion to the text, which nested
+    array functions, evaluated anew per element, do not.
+    """
+
+    @F.pandas_udf("boolean")
+    def loops(values):  # noqa: ANN001, ANN202
+        from collections import Counter
+
+        def one(t: str | None) -> bool:
+            w = t.split() if isinstance(t, str) else []
+            return max(Counter(zip(*(w[k:] for k in range(n)))).values(), default=0) >= times
+
+        return values.map(one).astype(bool)
+
+    return loops(col)
 
 
 def age_years(on: Column, born: Column) -> Column:

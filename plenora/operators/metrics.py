@@ -124,5 +124,5 @@ def threshold_sweep(df: DataFrame, keys: Sequence[str], value: str, thresholds:
 def weighted_shares(df: DataFrame, group: str, weight: str) -> DataFrame:
     """Share of each group by rows and by weight."""
     g = df.filter(F.col(group).isNotNull()).groupBy(group).agg(F.count(F.lit(1)).alias("n"), total(weight).alias("w"))
-    tot = g.agg(F.sum("n").alias("N"), F.sum("w").alias("TW"))
-    return g.crossJoin(F.broadcast(tot)).select(group, (F.col("n") / F.col("N")).alias("share_rows"), safe_ratio(F.col("w"), F.col("TW")).alias("share_weight"))
+    tot = g.agg(F.sum("n").alias("all_n"), F.sum("w").alias("all_w"))
+    return g.crossJoin(F.broadcast(tot)).select(group, (F.col("n") / F.col("all_n")).alias("share_rows"), safe_ratio(F.col("w"), F.col("all_w")).alias("share_weight"))

@@ -19,18 +19,18 @@ from plenora.operators.sequence import average_rank
 
 
 def resampled_sums(df: DataFrame, group: str, order: Sequence[str], cols: Sequence[str], n_boot: int, seed: str = "boot") -> DataFrame:
-    """(group, b, sums of ``cols``): each replicate draws as many rows as the group has, with replacement.
+    """(group, __b, sums of ``cols``): each replicate draws as many rows as the group has, with replacement.
 
     Rows are numbered per group in a total order; draws are counted per
     (group, replicate, row) before they meet the rows, and the draws are spread
     over (group, replicate), so a large group is worked on by many tasks.
     """
-    numbered = df.filter(F.col(group).isNotNull()).withColumn("__i", F.row_number().over(W.partitionBy(group).orderBy(*order)) - 1).select(F.col(group).alias("g"), "__i", *cols)
-    sizes = numbered.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-    reps = sizes.select("g", "n", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("b"))
-    draws = reps.select("g", "n", "b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("j"))
-    picked = draws.select("g", "b", hash_draw(seed, F.col("g"), F.col("b"), F.col("j"), n=F.col("n")).alias("__i")).groupBy("g", "b", "__i").agg(F.count(F.lit(1)).alias("k"))
-    return picked.join(numbered, ["g", "__i"]).groupBy("g", "b").agg(*[F.sum(F.col(c) * F.col("k")).alias(c) for c in cols]).withColumnRenamed("g", group)
+    numbered = df.filter(F.col(group).isNotNull()).withColumn("__i", F.row_number().over(W.partitionBy(group).orderBy(*order)) - 1).select(F.col(group).alias("__g"), "__i", *cols)
+    sizes = numbered.groupBy("__g").agg(F.count(F.lit(1)).alias("__n"))
+    reps = sizes.select("__g", "__n", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("__b"))
+    draws = reps.select("__g", "__n", "__b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1)).alias("__j"))
+    picked = draws.select("__g", "__b", hash_draw(seed, F.col("__g"), F.col("__b"), F.col("__j"), n=F.col("__n")).alias("__i")).groupBy("__g", "__b", "__i").agg(F.count(F.lit(1)).alias("__k"))
+    return picked.join(numbered, ["__g", "__i"]).groupBy("__g", "__b").agg(*[F.sum(F.col(c) * F.col("__k")).alias(c) for c in cols]).withColumnRenamed("__g", group)
 
 
 def ratio_intervals(df: DataFrame, group: str, order: Sequence[str], ratios: Mapping[str, tuple[Column, Column]], cols: Sequence[str], n_boot: int = 1000, seed: str = "boot", digits: int = 9) -> DataFrame:
@@ -43,11 +43,11 @@ def ratio_intervals(df: DataFrame, group: str, order: Sequence[str], ratios: Map
 
 def paired_bootstrap(df: DataFrame, group: str, order: Sequence[str], base: str, tuned: str, words: str, n_boot: int = 2000, seed: str = "paired", digits: int = 9) -> DataFrame:
     """Per group the difference of two pooled rates, its relative size, interval and two-sided p."""
-    point = df.groupBy(group).agg(F.sum(base).alias("eb"), F.sum(tuned).alias("et"), F.sum(words).alias("w"))
-    point = point.select(group, safe_ratio(F.col("eb") - F.col("et"), F.col("w")).alias("delta"), safe_ratio(F.col("eb") - F.col("et"), F.col("eb")).alias("delta_rel"))
-    sums = resampled_sums(df, group, order, [base, tuned, words], n_boot, seed).withColumn("d", safe_ratio(F.col(base) - F.col(tuned), F.col(words)))
-    sides = F.least(F.avg((F.col("d") <= 0).cast("double")), F.avg((F.col("d") >= 0).cast("double")))
-    ci = sums.groupBy(group).agg(F.round(F.percentile("d", 0.025), digits).alias("ci_lo"), F.round(F.percentile("d", 0.975), digits).alias("ci_hi"), F.least(2 * sides, F.lit(1.0)).alias("p_boot"))
+    point = df.groupBy(group).agg(F.sum(base).alias("__eb"), F.sum(tuned).alias("__et"), F.sum(words).alias("__w"))
+    point = point.select(group, safe_ratio(F.col("__eb") - F.col("__et"), F.col("__w")).alias("delta"), safe_ratio(F.col("__eb") - F.col("__et"), F.col("__eb")).alias("delta_rel"))
+    sums = resampled_sums(df, group, order, [base, tuned, words], n_boot, seed).withColumn("__d", safe_ratio(F.col(base) - F.col(tuned), F.col(words)))
+    sides = F.least(F.avg((F.col("__d") <= 0).cast("double")), F.avg((F.col("__d") >= 0).cast("double")))
+    ci = sums.groupBy(group).agg(F.round(F.percentile("__d", 0.025), digits).alias("ci_lo"), F.round(F.percentile("__d", 0.975), digits).alias("ci_hi"), F.least(2 * sides, F.lit(1.0)).alias("p_boot"))
     return point.join(ci, group).withColumns({c: F.round(c, digits) for c in ("delta", "delta_rel")})
 
 

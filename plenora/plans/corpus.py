@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plenora.functions import text as tx
@@ -185,7 +184,7 @@ def holdout_judgement(spark: SparkSession, root: str) -> DataFrame:
 def latest_delivery(spark: SparkSession, root: str) -> DataFrame:
     """Per filename the latest delivery with usable times, else the latest one."""
     s = table(spark, root, "segments").filter("filename IS NOT NULL")
-    return ledger.latest_success(s, ["filename"], F.col("start").isNotNull() & F.col("end").isNotNull(), "ingested_at", ["speaker_id", "local_speaker_id"])
+    return ledger.latest_success(s, ["filename"], F.col("start").isNotNull() & F.col("end").isNotNull(), "ingested_at", ["speaker_id", "local_speaker_id"]).withColumn("ingested_at", F.unix_micros("ingested_at"))
 
 
 def speaking_time_shares(spark: SparkSession, root: str) -> DataFrame:
@@ -393,7 +392,7 @@ _JUDGE = """CASE WHEN sid > 0 AND sid = gid THEN 'correct' WHEN sid > 0 AND gid
 SQL = {
     "speaker_turns": _USABLE + "SELECT session, CAST(turn AS BIGINT) AS turn, speaker_id, count(*) AS n_rows, min(sm) AS start_ms, max(em) AS end_ms FROM turns WHERE speaker_id > 0 GROUP BY ALL",
     "merged_speech": _USABLE + ", r AS (SELECT session, turn, sm, em, filename, max(em) OVER (PARTITION BY session, turn ORDER BY sm, em, filename ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM turns), i AS (SELECT *, sum(CASE WHEN reach IS NULL OR sm - reach >= 300 THEN 1 ELSE 0 END) OVER (PARTITION BY session, turn ORDER BY sm, em, filename ROWS UNBOUNDED PRECEDING) AS isl FROM r) SELECT session, CAST(turn AS BIGINT) AS turn, min(sm) AS start_ms, max(em) AS end_ms, count(*) AS n_spans FROM i GROUP BY session, turn, isl",
-    "longest_good_run": _USABLE.replace("speaker_id, local_speaker_id, CAST", "quality, CAST").split("marked AS")[0].rstrip().rstrip(",").replace("speaker_id DESC NULLS LAST, local_speaker_id DESC NULLS LAST", "quality DESC NULLS LAST") + ", f AS (SELECT *, coalesce(quality >= 0.7, false) AS good, row_number() OVER (PARTITION BY session ORDER BY s, e, filename) - row_number() OVER (PARTITION BY session, coalesce(quality >= 0.7, false) ORDER BY s, e, filename) AS k FROM spans), r AS (SELECT session, k, good, CASE WHEN good THEN count(*) ELSE 0 END AS n FROM f GROUP BY ALL) SELECT session, max(n) AS longest FROM r GROUP BY session",
+    "longest_good_run": _USABLE.replace("speaker_id, local_speaker_id, CAST", "quality, CAST").split("marked AS")[0].rstrip().rstrip(",").replace("speaker_id DESC NULLS LAST, local_speaker_id DESC NULLS LAST", "quality DESC NULLS LAST") + ", f AS (SELECT *, coalesce(quality >= 0.7, false) AS good, row_number() OVER (PARTITION BY session ORDER BY s, e, filename) - row_number() OVER (PARTITION BY session, coalesce(quality >= 0.7, false) ORDER BY s, e, filename) AS k FROM spans), r AS (SELECT session, k, good, count(*) FILTER (good) AS n FROM f GROUP BY ALL) SELECT session, max(n) AS longest FROM r GROUP BY session",
     "session_quality": _USABLE.replace("speaker_id, local_speaker_id, CAST", "quality, CAST").split("marked AS")[0].rstrip().rstrip(",").replace("speaker_id DESC NULLS LAST, local_speaker_id DESC NULLS LAST", "quality DESC NULLS LAST") + """, v AS (SELECT session, quality AS v, CAST(em - sm AS DOUBLE) AS w, row_number() OVER (PARTITION BY session ORDER BY quality, em - sm, filename) AS i FROM spans WHERE quality IS NOT NULL),
 c AS (SELECT *, sum(w) OVER (PARTITION BY session ORDER BY i) - w / 2 AS p, sum(w) OVER (PARTITION BY session) / 2 AS half FROM v),
 n AS (SELECT *, lag(v) OVER (PARTITION BY session ORDER BY i) AS pv, lag(p) OVER (PARTITION BY session ORDER BY i) AS pp FROM c)
@@ -419,7 +418,7 @@ SELECT label_path, given, split_part(x, '|', 1) AS label, nullif(split_part(x, '
     "demoted_rows": "WITH d AS (SELECT *, coalesce(duration_s > 30 OR duration_s < 1, false) AS bad FROM segments) SELECT CASE WHEN bad THEN 'unresolved' ELSE label END AS label, CASE WHEN bad THEN 'bad_length' ELSE reason END AS reason, count(*) AS n, count(*) FILTER (NOT bad AND speaker_id > 0) AS with_id, count(*) FILTER (NOT bad AND speaker_name IS NOT NULL) AS named, count(*) FILTER (CASE WHEN bad THEN true ELSE starts_with(filename, '0_') END) AS zero_names FROM d GROUP BY 1, 2",
     "demographics": "WITH w AS (SELECT DISTINCT speaker_id AS person_id FROM segments WHERE speaker_id > 0) SELECT w.person_id, m.gender, m.place_of_birth, m.religion FROM w LEFT JOIN mk_metadata m ON w.person_id = m.person_id",
     "holdout_judgement": f"WITH j AS (SELECT *, coalesce(speaker_id, 0) AS sid, coalesce(TRY_CAST(gold_speaker_id AS BIGINT), 0) AS gid FROM segments), v AS (SELECT *, {_JUDGE} AS verdict FROM j) SELECT verdict, knesset, match_method AS method, count(*) AS n, CAST(sum(CAST(round_even(coalesce(duration_s, 0) * 1000, 0) AS BIGINT)) AS BIGINT) AS ms FROM v GROUP BY GROUPING SETS ((verdict), (verdict, knesset), (verdict, match_method))",
-    "latest_delivery": 'WITH r AS (SELECT *, "start" IS NOT NULL AND "end" IS NOT NULL AS ok, row_number() OVER (PARTITION BY filename ORDER BY "start" IS NOT NULL AND "end" IS NOT NULL DESC, ingested_at DESC NULLS LAST, speaker_id DESC NULLS LAST, local_speaker_id DESC NULLS LAST) AS k FROM segments WHERE filename IS NOT NULL) SELECT filename, ok, ingested_at, speaker_id, local_speaker_id FROM r WHERE k = 1',
+    "latest_delivery": 'WITH r AS (SELECT *, "start" IS NOT NULL AND "end" IS NOT NULL AS ok, row_number() OVER (PARTITION BY filename ORDER BY "start" IS NOT NULL AND "end" IS NOT NULL DESC, ingested_at DESC NULLS LAST, speaker_id DESC NULLS LAST, local_speaker_id DESC NULLS LAST) AS k FROM segments WHERE filename IS NOT NULL) SELECT filename, ok, epoch_us(ingested_at) AS ingested_at, speaker_id, local_speaker_id FROM r WHERE k = 1',
     "speaking_time_shares": "WITH g AS (SELECT label, count(*) AS n, sum(CAST(round_even(coalesce(duration_s, 0) * 1000, 0) AS BIGINT)) AS w FROM segments WHERE label IS NOT NULL GROUP BY 1) SELECT label, round(n / sum(n) OVER (), 9) AS share_rows, round(w / sum(w) OVER (), 9) AS share_weight FROM g",
     "quality_sweep": "SELECT speaker_id, threshold, CAST(coalesce(sum(CAST(round_even(coalesce(duration_s, 0) * 1000, 0) AS BIGINT)) FILTER (quality >= threshold), 0) AS BIGINT) AS surviving FROM segments CROSS JOIN (SELECT unnest([0.5, 0.7, 0.9, 0.95])::DOUBLE AS threshold) WHERE speaker_id > 0 GROUP BY ALL",
     "quality_histogram": "SELECT CAST(least(floor(quality / (1.0::DOUBLE / 20)), 19) AS INT) AS bin, count(*) AS n, CAST(sum(CAST(round_even(coalesce(duration_s, 0) * 1000, 0) AS BIGINT)) AS BIGINT) AS weight FROM segments WHERE quality >= 0 AND quality <= 1 GROUP BY 1",

@@ -229,12 +229,12 @@ SQL = {
     "paired_test": SCORED + _DRAWS.format(seed="paired") + ", p AS (SELECT g AS knesset, round(sum(err_a - err_b) / sum(words), 9) AS delta, round(sum(err_a - err_b) / nullif(sum(err_a), 0), 9) AS delta_rel FROM s GROUP BY g), d AS (SELECT knesset, (ea - eb) / w AS d FROM sums) SELECT p.*, round(quantile_cont(d, 0.025), 9) AS ci_lo, round(quantile_cont(d, 0.975), 9) AS ci_hi, least(2 * least(avg((d <= 0)::INT), avg((d >= 0)::INT)), 1.0) AS p_boot FROM p JOIN d USING (knesset) GROUP BY ALL",
     "rule_ranking": ATTRIBUTES + _LONG + """, v AS (SELECT rule, grp, speaker_id AS k, round((err_a - err_b) / words, 6) AS y, count(*) OVER (PARTITION BY rule, grp) AS n FROM long WHERE grp IS NOT NULL AND grp NOT IN ('Unknown', 'Unrecorded')),
 ok AS (SELECT * FROM v WHERE n >= 3),
-obs AS (SELECT rule, count(DISTINCT grp) AS groups, count(*) AS n, sum(y) AS S, sum(y * y) AS Q FROM ok GROUP BY rule),
-ob AS (SELECT rule, sum(s * s / n) AS B FROM (SELECT rule, grp, sum(y) AS s, count(*) AS n FROM ok GROUP BY ALL) GROUP BY rule),
-o AS (SELECT obs.rule, groups, n, S, Q, round((B - S * S / n) / nullif(Q - S * S / n, 0), 7) AS eta2 FROM obs JOIN ob ON obs.rule = ob.rule),
+obs AS (SELECT rule, count(DISTINCT grp) AS groups, count(*) AS n, sum(y) AS t1, sum(y * y) AS t2 FROM ok GROUP BY rule),
+ob AS (SELECT rule, sum(gs * gs / gn) AS btw FROM (SELECT rule, grp, sum(y) AS gs, count(*) AS gn FROM ok GROUP BY ALL) GROUP BY rule),
+o AS (SELECT obs.rule, groups, n, t1, t2, round((btw - t1 * t1 / n) / nullif(t2 - t1 * t1 / n, 0), 7) AS eta2 FROM obs JOIN ob ON obs.rule = ob.rule),
 x AS (SELECT rule, b, grp, k, y, row_number() OVER (PARTITION BY rule, b ORDER BY k) AS i, row_number() OVER (PARTITION BY rule, b ORDER BY md5('perm|' || b || '|' || k), k) AS j FROM ok CROSS JOIN (SELECT unnest(range(100)) AS b)),
-nb AS (SELECT rule, b, sum(s * s / n) AS B FROM (SELECT l.rule, l.b, l.grp, sum(r.y) AS s, count(*) AS n FROM x l JOIN x r ON l.rule = r.rule AND l.b = r.b AND l.i = r.j GROUP BY ALL) GROUP BY ALL),
-e AS (SELECT o.rule, round((B - S * S / n) / nullif(Q - S * S / n, 0), 7) AS e, eta2 FROM nb JOIN o ON nb.rule = o.rule)
+nb AS (SELECT rule, b, sum(gs * gs / gn) AS btw FROM (SELECT l.rule, l.b, l.grp, sum(r.y) AS gs, count(*) AS gn FROM x l JOIN x r ON l.rule = r.rule AND l.b = r.b AND l.i = r.j GROUP BY ALL) GROUP BY ALL),
+e AS (SELECT o.rule, round((btw - t1 * t1 / n) / nullif(t2 - t1 * t1 / n, 0), 7) AS e, eta2 FROM nb JOIN o ON nb.rule = o.rule)
 SELECT o.rule, groups, n, o.eta2, round(quantile_cont(e, 0.95), 7) AS null95, round(avg((e >= e.eta2)::INT), 7) AS p FROM o JOIN e ON o.rule = e.rule GROUP BY ALL""",
     "flagged_sessions": SCORED + "SELECT session, count(*) AS chunks, sum(words) AS words, sum(err_a) AS err_a, sum(err_b) AS err_b FROM scored WHERE session IS NOT NULL GROUP BY session HAVING count(*) >= 5 AND sum(err_a) / sum(words) > 0.08 AND sum(err_b) / sum(words) > 0.08",
     "adaptation_candidates": SCORED + f", g AS (SELECT speaker_id, {_POOL} FROM scored WHERE quality >= 0.7 AND speaker_id > 0 GROUP BY 1 HAVING count(*) >= 20), r AS (SELECT speaker_id, round((rate_A - rate_B) / nullif(rate_A, 0), 9) AS gain_rel FROM g) SELECT speaker_id, gain_rel, round((rank() OVER (ORDER BY gain_rel) + (count(*) OVER (PARTITION BY gain_rel) - 1) / 2) / count(*) OVER (), 9) AS rank_pct FROM r",

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 RUN_LOG = T.StructType([T.StructField(n, t) for n, t in [("chunk_id", T.StringType()), ("arm", T.StringType()), ("provider", T.StringType()), ("model", T.StringType()), ("speaker_id", T.LongType()), ("session", T.LongType()), ("session_date", T.StringType()), ("knesset", T.IntegerType()), ("duration_s", T.DoubleType()), ("quality", T.DoubleType()), ("reference", T.StringType()), ("hypothesis", T.StringType()), ("latency_s", T.DoubleType()), ("exec_s", T.DoubleType()), ("queue_s", T.DoubleType()), ("language", T.StringType()), ("error", T.StringType()), ("ts", T.TimestampType())]])
-SESSION_DOC = T.StructType.fromDDL("session_id BIGINT, text STRING, segments ARRAY<STRUCT<text: STRING, words: ARRAY<STRUCT<word: STRING, start: DOUBLE, end: DOUBLE, probability: DOUBLE>>>>, map ARRAY<STRUCT<start_char: INT>>, speakers MAP<BIGINT, STRING>, spk_segments ARRAY<STRUCT<local_speaker_id: BIGINT, start: INT, end: INT>>, meta STRUCT<session_date: STRING, knesset_num: STRING, committee_name: STRING>")
-GOLD_DOC = T.StructType.fromDDL("protocol_sentences ARRAY<STRUCT<sentence_text: STRING, speaker_id: STRING, speaker_name: STRING, is_valid_speaker: BOOLEAN>>")
+SESSION_DOC = "session_id BIGINT, text STRING, segments ARRAY<STRUCT<text: STRING, words: ARRAY<STRUCT<word: STRING, start: DOUBLE, end: DOUBLE, probability: DOUBLE>>>>, map ARRAY<STRUCT<start_char: INT>>, speakers MAP<STRING, STRING>, spk_segments ARRAY<STRUCT<local_speaker_id: BIGINT, start: INT, end: INT>>, meta STRUCT<session_date: STRING, knesset_num: STRING, committee_name: STRING>"
+GOLD_DOC = "protocol_sentences ARRAY<STRUCT<sentence_text: STRING, speaker_id: STRING, speaker_name: STRING, is_valid_speaker: BOOLEAN>>"
 
 
 def coerce(df: DataFrame, schema: T.StructType) -> DataFrame:

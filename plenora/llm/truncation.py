@@ -37,9 +37,9 @@ NEVER_LAST = 0.005
 ATTESTED = 20
 #: A source's texts end with a full stop (or a sign-off) as a rule from this share on.
 RULE_SHARE = 0.3
-#: A length is a limit if so many distinct texts have it, so many times what the lengths around it have on average,
-#: and this share of what the source's most frequent length has.
-SPIKE_LEAST, SPIKE_TIMES, SPIKE_WINDOW, SPIKE_OF_TOP = 5, 6.0, 0.2, 0.1
+#: A length is a limit if so many distinct texts have it, so many times what the lengths within SPIKE_REACH have on
+#: average, and this share of what the source's most frequent length has.
+SPIKE_LEAST, SPIKE_TIMES, SPIKE_REACH, SPIKE_OF_TOP = 5, 8.0, 24, 0.1
 
 _FEATURES = "row long, source string, digest long, chars long, bytes long, broken boolean, marked boolean, closed boolean, tail string, prior string, short boolean"
 
@@ -179,11 +179,11 @@ def field_limits(ends: DataFrame) -> DataFrame:
     unit = F.explode(F.array(F.struct(F.lit("chars").alias("u"), F.col("chars").alias("s")), F.struct(F.lit("bytes").alias("u"), F.col("bytes").alias("s")))).alias("x")
     hist = every.select("source", unit).groupBy("source", F.col("x.u").alias("unit"), F.col("x.s").alias("size")).agg(F.count(F.lit(1)).alias("c"))
     opened = open_.select("source", unit).groupBy("source", F.col("x.u").alias("unit"), F.col("x.s").alias("size")).agg(F.count(F.lit(1)).alias("c_open")).filter(F.col("c_open") >= SPIKE_LEAST)
-    # Lengths in steps of a fifth of an octave give the density around each length; the top length of a step is left out of its own.
-    band = hist.withColumn("band", F.floor(F.log(F.col("size").cast("double")) / F.lit(SPIKE_WINDOW)))
-    per = W.partitionBy("source", "unit", "band")
-    around = band.withColumn("total", F.sum("c").over(per)).withColumn("width", F.greatest(F.lit(1.0), F.exp((F.col("band") + 1) * SPIKE_WINDOW) - F.exp(F.col("band") * SPIKE_WINDOW)))
-    spikes = around.filter((F.col("c") >= SPIKE_LEAST) & (F.col("c") >= SPIKE_TIMES * (F.col("total") - F.col("c")) / F.col("width") + 1))
+    # A limit stands out from the lengths on both sides; a usual length of a source has others like it next to it.
+    per = W.partitionBy("source", "unit").orderBy("size")
+    far, near = F.sum("c").over(per.rangeBetween(-SPIKE_REACH, SPIKE_REACH)), F.sum("c").over(per.rangeBetween(-3, 3))
+    around = hist.withColumn("around", (far - near) / (2 * SPIKE_REACH - 6))
+    spikes = around.filter((F.col("c") >= SPIKE_LEAST) & (F.col("c") >= SPIKE_TIMES * F.col("around") + 1))
     cut = spikes.join(opened, [spikes["source"].eqNullSafe(opened["source"]), spikes["unit"] == opened["unit"], spikes["size"] == opened["size"]], "left_semi").filter("c > 0")
     # Bytes and characters go together; the unit with the sharper peak is the one that is limited.
     top = W.partitionBy("source").orderBy(F.desc("c"), "unit", "size").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)

@@ -76,20 +76,33 @@ def _char_map(strip_marks: bool) -> dict[int, str]:
     return Table()
 
 
+#: Anything but characters that stay as they are: ASCII without the grave accent, Hebrew letters, Arabic letters that do not decompose.
+_SPECIAL = re.compile("[^\n !-_a-~א-תءا-غف-ي]")
+
+
 class Canoniser:
-    """Callable text -> canonical form. One per task; its table fills as characters turn up."""
+    """Callable text -> canonical form. One per task; its table fills as characters turn up.
+
+    ``lines`` keeps line breaks; blanks at either end go unless ``trim`` is false.
+    """
 
-    def __init__(self, fold_case: bool = False, strip_marks: bool = False, trim: bool = True):
-        self.fold_case, self.strip_marks, self.trim = fold_case, strip_marks, trim
+    def __init__(self, fold_case: bool = False, strip_marks: bool = False, trim: bool = True, lines: bool = False):
+        self.fold_case, self.trim, self.lines = fold_case, trim, lines
         self.table = _char_map(strip_marks)
+        if lines:
+            self.table[10] = "\n"
 
     def __call__(self, text: str) -> str:
-        s = text.translate(self.table)
-        if not s.isascii():
-            s = unicodedata.normalize("NFC", s)
+        if _SPECIAL.search(text):
+            s = text.translate(self.table)
+            if not s.isascii():
+                s = unicodedata.normalize("NFC", s)
+        else:
+            s = text if self.lines else text.replace("\n", " ")
         if self.fold_case:
-            s = unicodedata.normalize("NFC", s.casefold())
-        return " ".join(s.split(" ")).strip() if self.trim else s
+            folded = s.casefold()
+            s = folded if folded.isascii() or folded == s else unicodedata.normalize("NFC", folded)
+        return s.strip() if self.trim else s
 
 
 def canonical(col: Column, fold_case: bool = False, strip_marks: bool = False) -> Column:

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -41,6 +42,9 @@ RULE_SHARE = 0.3
 #: average, and this share of what the source's most frequent length has.
 SPIKE_LEAST, SPIKE_TIMES, SPIKE_REACH, SPIKE_OF_TOP = 5, 8.0, 24, 0.1
 
+#: Values sampled per partition to set the borders of the sort.
+SAMPLE_A_PART = 50
+
 _FEATURES = "row long, source string, digest long, chars long, bytes long, broken boolean, marked boolean, closed boolean, tail string, prior string, short boolean"
 
 
@@ -92,49 +96,64 @@ def endings(docs: DataFrame, row: str, text_col: str, source: str) -> DataFrame:
 def prefix_copies(docs: DataFrame, text_col: str, least: int = 24) -> DataFrame:
     """Digests of the texts whose letters and digits are a strict prefix of another text's.
 
-    Distinct values are sorted over the cluster; a value that is a prefix of any
-    other is one of its direct successor. Values that end a sorted partition
-    meet the first value of the next in a second, tiny step. Texts of fewer than
-    ``least`` letters are left out.
+    Values are sorted over the cluster; one that is a prefix of any other is a
+    prefix of the next different one. Values that end a sorted partition meet
+    the first value of the next in a second, tiny step. A batch gives each text
+    once, so a text that fills a third of the rows comes to one partition once
+    per ten thousand rows. Texts of fewer than ``least`` letters are left out.
     """
 
-    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        form = Canoniser(fold_case=True, strip_marks=True)
-        for b in batches:
-            keys, digests = [], []
-            for t in b.column(0).unique().to_pylist():
-                if t:
-                    k = "".join(re.findall(r"[^\W_]+", form(_REMARK.sub("", _DOTS.sub("", t.rstrip().rstrip("�"))))))
-                    if len(k) >= least:
-                        keys.append(k)
-                        digests.append(int.from_bytes(hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(digests, pa.int64())], names=["k", "digest"])
+    rows = docs.select(text_col)
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+
+    def keyed(source: DataFrame, borders: list[str]) -> DataFrame:
+        def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            form, gap = Canoniser(fold_case=True, strip_marks=True), re.compile(r"[\W_]+")
+            for b in batches:
+                keys, digests = [], []
+                for t in b.column(0).unique().to_pylist():
+                    if t:
+                        k = gap.sub("", form(_REMARK.sub("", _DOTS.sub("", t.rstrip().rstrip("�")))))
+                        if len(k) >= least:
+                            keys.append(k)
+                            digests.append(int.from_bytes(hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True))
+                parts = [bisect_right(borders, k) for k in keys]
+                yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(keys, pa.string()), pa.array(digests, pa.int64())], names=["part", "k", "digest"])
+
+        return source.mapInArrow(work, "part int, k string, digest long")
+
+    # Borders from a sample of bounded size, so that the values themselves are formed once; every row is sorted between them.
+    total = rows.count()
+    some = sorted({r[0] for r in keyed(rows.sample(min(1.0, SAMPLE_A_PART * n / max(total, 1)), seed=7), []).select("k").collect()})
+    borders = [some[len(some) * i // n] for i in range(1, n)] if some else []
+    values = keyed(rows, borders)
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, last = TaskContext.get().partitionId(), None
+        part, last, texts = TaskContext.get().partitionId(), None, set()
         schema = pa.schema([("kind", pa.string()), ("part", pa.int64()), ("k", pa.string()), ("digest", pa.int64())])
         for b in batches:
             out = []
             for k, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if last is None:
-                    out.append({"kind": "first", "part": part, "k": k, "digest": d})
-                elif len(k) > len(last[0]) and k.startswith(last[0]):
-                    out.append({"kind": "hit", "part": part, "k": None, "digest": last[1]})
-                last = (k, d)
+                if k != last:
+                    if last is None:
+                        out.append({"kind": "first", "part": part, "k": k, "digest": d})
+                    elif k.startswith(last):
+                        out += [{"kind": "hit", "part": part, "k": None, "digest": x} for x in texts]
+                    last, texts = k, set()
+                texts.add(d)
             yield from pa.Table.from_pylist(out, schema=schema).to_batches()
         if last is not None:
-            yield from pa.Table.from_pylist([{"kind": "last", "part": part, "k": last[0], "digest": last[1]}], schema=schema).to_batches()
+            yield from pa.Table.from_pylist([{"kind": "last", "part": part, "k": last, "digest": x} for x in texts], schema=schema).to_batches()
 
-    values = docs.select(text_col).mapInArrow(work, "k string, digest long").groupBy("k").agg(F.min("digest").alias("digest"))
-    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    scanned = cut_lineage(values.repartitionByRange(n, "k").sortWithinPartitions("k").mapInArrow(scan, "kind string, part long, k string, digest long"))
+    scanned = cut_lineage(values.repartitionById(n, "part").select("k", "digest").sortWithinPartitions("k").mapInArrow(scan, "kind string, part long, k string, digest long"))
     firsts = scanned.filter("kind = 'first'").select(F.col("part").alias("p2"), F.col("k").alias("k2"))
     lasts = scanned.filter("kind = 'last'")
-    # Empty partitions lie between at most; the next first is the least above.
-    nexts = lasts.join(firsts, F.col("p2") > F.col("part")).groupBy("part", "k", "digest").agg(F.min_by("k2", "p2").alias("k2"))
-    across = nexts.filter(F.col("k2").startswith(F.col("k")) & (F.length("k2") > F.length("k"))).select("digest")
+    # At most one row a partition: the first value of the next partition that has any.
+    order = W.orderBy(F.desc("p2"))
+    nexts = firsts.withColumn("to", F.lag("p2").over(order)).withColumn("k_to", F.lag("k2").over(order))
+    across = lasts.join(nexts, F.col("p2") == F.col("part")).filter(F.col("k_to").startswith(F.col("k")) & (F.length("k_to") > F.length("k"))).select("digest")
     return scanned.filter("kind = 'hit'").select("digest").union(across).distinct()
 
 
@@ -143,8 +162,7 @@ def word_uses(docs: DataFrame, text_col: str) -> DataFrame:
     or line, and uses as the last word of a text. Counted over whole texts, summed per batch first."""
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        form = Canoniser(fold_case=True, strip_marks=True, trim=False)
-        form.table[10] = "\n"
+        form = Canoniser(fold_case=True, strip_marks=True, trim=False, lines=True)
         token = re.compile(r"[^\W_]+(?:['\"][^\W_]+)*|[.?!؟\n]")
         for b in batches:
             uses, ends, lasts = Counter(), Counter(), Counter()

@@ -81,3 +81,24 @@ def next_shard(names: DataFrame, col: str) -> DataFrame:
     """One row: 1 + the greatest number in ``...-<digits>.ext``, 0 for no such name."""
     n = F.nullif(F.regexp_extract(F.col(col), r"-(\d+)\.\w+$", 1), F.lit("")).try_cast("int")
     return names.agg((F.coalesce(F.max(n), F.lit(-1)) + 1).alias("next_shard"))
+
+
+def latency_summary(df: DataFrame, keys: Sequence[str], seconds: str, amount: str | None = None) -> DataFrame:
+    """Per key: rows, median, 95 % point and maximum of a duration and, with ``amount``, amount per second overall."""
+    aggs = [F.count(F.lit(1)).alias("n"), F.percentile(seconds, 0.5).alias("median_s"), F.percentile(seconds, 0.95).alias("p95_s"), F.max(seconds).alias("max_s")]
+    if amount:
+        aggs.append((F.sum(amount) / F.nullif(F.sum(seconds), F.lit(0))).alias("per_second"))
+    return df.groupBy(*keys).agg(*aggs)
+
+
+def progress(df: DataFrame, ok: Column, amount: str, ts: str, total: float, cost_per_unit: float) -> DataFrame:
+    """One row about a run log: rows done and failed, amount done, spend, projected spend, rate and seconds left."""
+    done = F.coalesce(F.sum(F.when(ok, F.col(amount))), F.lit(0.0))
+    a = df.agg(F.count_if(ok).alias("done"), F.count_if(~F.coalesce(ok, F.lit(False))).alias("failed"), done.alias("amount"), (F.unix_micros(F.max(F.col(ts).cast("timestamp"))) - F.unix_micros(F.min(F.col(ts).cast("timestamp")))).alias("us"))
+    rate = F.col("amount") / F.nullif(F.col("us") / 1e6, F.lit(0.0))
+    return a.select("done", "failed", "amount", (F.col("amount") * cost_per_unit).alias("spend"), F.lit(total * cost_per_unit).alias("projected"), rate.alias("rate"), ((F.lit(float(total)) - F.col("amount")) / F.nullif(rate, F.lit(0.0))).alias("seconds_left"))
+
+
+def queue_rollup(jobs: DataFrame, status: str, est: str, actual: str) -> DataFrame:
+    """Jobs by status: count, estimated and actual minutes, and the median of actual over estimate."""
+    return jobs.groupBy(status).agg(F.count(F.lit(1)).alias("n"), F.sum(est).alias("est"), F.sum(actual).alias("actual"), F.percentile(F.col(actual) / F.nullif(F.col(est), F.lit(0.0)), 0.5).alias("ratio"))

@@ -119,3 +119,15 @@ def early_stop(curve: DataFrame, keys: Sequence[str], step: str, loss: str, pati
     bad = seg.withColumn("__bad", F.sum(F.when((F.col("__new") == 0) & (F.col("__check") == 1), 1).otherwise(0)).over(in_seg))
     stop = F.min(F.when(F.col("__bad") >= patience, F.col(step)))
     return bad.groupBy(*keys).agg(F.min_by(step, F.struct(loss, step)).alias("best_step"), F.coalesce(stop, F.max(step)).alias("stop_step"))
+
+
+def trailing_mean(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], value: str, n: int, out: str) -> DataFrame:
+    """Mean of the row and the n - 1 rows before it, of as many as there are."""
+    w = W.partitionBy(*keys).orderBy(*order).rowsBetween(1 - n, 0)
+    return df.withColumn(out, F.avg(value).over(w))
+
+
+def suffix_share(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], value: str, out: str) -> DataFrame:
+    """Share of the group's total that the row and all rows after it hold; null for a total of 0."""
+    rest = W.partitionBy(*keys).orderBy(*order).rowsBetween(0, W.unboundedFollowing)
+    return df.withColumn(out, F.sum(value).over(rest) / F.nullif(F.sum(value).over(W.partitionBy(*keys)), F.lit(0)))

@@ -90,3 +90,19 @@ def extends_plan(old: DataFrame, new: DataFrame, speaker: str, chunk: str) -> Da
     prefix = F.bool_and(~(F.coalesce(F.col("o_part"), F.lit("")) == "train") | (F.col("n_part").eqNullSafe(F.lit("train")) & F.col("o_at").eqNullSafe(F.col("n_at"))))
     known = F.bool_or(F.col("o_part").isNotNull())
     return both.groupBy("who").agg(same.alias("same_held"), prefix.alias("prefix"), known.alias("known")).filter("known").select(F.col("who").alias(speaker), "same_held", "prefix")
+
+
+def second_test_set(base: DataFrame, corpus: DataFrame, speaker: str, session: str, chunk: str, quality: str, least: float = 0.7) -> DataFrame:
+    """Chunks of the base plan's test meetings (per speaker) at a lower quality bound, with ``hq`` for those in the
+    base test. Base test chunks below the bound stay out; compare with ``ledger.compare_sets`` to assert a superset."""
+    test = base.filter("part = 'test'")
+    held = corpus.filter(F.col(quality) >= least).join(test.select(speaker, session).distinct(), [speaker, session], "left_semi")
+    flag = test.select(chunk).distinct().withColumn("hq", F.lit(True))
+    return held.join(flag, chunk, "left").withColumn("hq", F.coalesce("hq", F.lit(False)))
+
+
+def companions(df: DataFrame, who: str, session: str, target: int, n: int) -> DataFrame:
+    """The n others who share most meetings with ``target``, ties by id. Rows without identity (0, null) are left out."""
+    met = df.filter(F.col(who) == target).select(session).distinct()
+    shared = df.filter((F.col(who) > 0) & (F.col(who) != target)).select(who, session).distinct().join(met, session, "left_semi")
+    return shared.groupBy(who).agg(F.count(F.lit(1)).alias("shared")).orderBy(F.desc("shared"), who).limit(n)

@@ -129,3 +129,20 @@ def flagged_groups(df: DataFrame, group: str, words: str, errors: Sequence[str],
     for e in errors:
         bad = bad & (safe_ratio(F.col(e), F.col("words")) > above)
     return g.filter(F.coalesce(bad, F.lit(False)))
+
+
+def curve_delta(df: DataFrame, key: str, order: Sequence[str], seed_col: str, own: tuple[str, str], control: tuple[str, str], base: str, n_boot: int = 2000, seed: str = "curve", digits: int = 9) -> DataFrame:
+    """Change of a personal margin between a reference and a top budget, with an interval.
+
+    ``df`` has one row per (seed, item); ``own`` and ``control`` name the error
+    counts at (reference, top), ``base`` those of the base. The margin is
+    sum(control - own) / sum(base) per seed, averaged over the seeds; the result
+    is top minus reference. All seeds and both budgets share one draw of items.
+    """
+    per = df.groupBy(key, *order).agg(*[F.sum(c).alias(c) for c in dict.fromkeys((*own, *control))], F.max(base).alias(base), F.countDistinct(seed_col).alias("__seeds"))
+    cols = [*dict.fromkeys((*own, *control)), base, "__w"]
+    wide = per.withColumn("__w", F.col(base) * F.col("__seeds"))
+    margin = lambda k: safe_ratio(F.col(control[k]) - F.col(own[k]), F.col("__w"))
+    point = wide.groupBy(key).agg(*[F.sum(c).alias(c) for c in cols]).select(key, F.round(margin(1) - margin(0), digits).alias("delta"))
+    sums = resampled_sums(wide, key, list(order), cols, n_boot, seed).withColumn("__d", margin(1) - margin(0))
+    return point.join(sums.groupBy(key).agg(F.round(F.percentile("__d", 0.025), digits).alias("ci_lo"), F.round(F.percentile("__d", 0.975), digits).alias("ci_hi")), key)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from plenora.plans import corpus, intervals, scoring
+from plenora.plans import corpus, intervals, runs, scoring
 
-MODULES = [scoring, corpus, intervals]
+MODULES = [scoring, corpus, runs, intervals]
 FLAGSHIP = "per_speaker_error_map"
 
 

@@ -195,6 +195,22 @@ def test_bootstrap(spark):
     assert p["x"] < 1e-6 and p["same"] == 1.0
 
 
+def test_curve_delta(spark):
+    rows = [("p", i, s, 9, 10, 10, 10, 10) for i in range(40) for s in (0, 1)]  # own 10 % better than the control at the top, equal at the reference
+    df = frame(spark, [(k, i, s, ot, orf, ct, cr, b) for k, i, s, ot, orf, ct, cr, b in rows], "who string, item int, seed int, own_top int, own_ref int, con_top int, con_ref int, base int")
+    r = stats.curve_delta(df, "who", ["item"], "seed", ("own_ref", "own_top"), ("con_ref", "con_top"), "base", 20).first()
+    assert (r.delta, r.ci_lo, r.ci_hi) == (0.1, 0.1, 0.1)
+
+
+def test_queue_and_second_test(spark):
+    q = ledger.queue_rollup(frame(spark, [("done", 2.0, 4.0), ("done", 2.0, 2.0), ("hold", 1.0, None)], "status string, est double, actual double"), "status", "est", "actual")
+    assert {r.status: (r.n, r.ratio) for r in q.collect()} == {"done": (2, 1.5), "hold": (1, None)}
+    base = frame(spark, [(1, 5, "a", "test"), (1, 6, "b", "train")], "speaker int, session int, chunk string, part string")
+    corpus = frame(spark, [(1, 5, "a", 0.95), (1, 5, "c", 0.75), (1, 5, "d", 0.5), (1, 6, "b", 0.99)], "speaker int, session int, chunk string, quality double")
+    got = splits.second_test_set(base, corpus, "speaker", "session", "chunk", "quality").collect()
+    assert {(r.chunk, r.hq) for r in got} == {("a", True), ("c", False)}
+
+
 def test_replace_incumbent(spark):
     def run(gains, lack=False):
         rows = [("inc", s, 0.10) for s in "abcd"] + [("new", s, 0.10 + g) for s, g in zip("abcd", gains)][: 3 if lack else 4]

@@ -203,21 +203,32 @@ def holds_passage(a: np.ndarray, b: np.ndarray, content: np.ndarray) -> bool:
     """Whether a chain of tiles in order covers MIN_WORDS words of b that are not fixed phrases,
     with no more than one word in PER_ERROR changed, missing or added."""
     t = sorted(tiles(a, b), key=lambda x: (x[1], x[0]))
-    words = np.concatenate([[0], np.cumsum(content)])
-    best: list[tuple[float, int, int]] = []  # score, first word in b, errors
-    for j, (p, q, n) in enumerate(t):
-        score, first, wrong = float(n), q, 0
-        for i in range(j):
-            pi, qi, ni = t[i]
-            ga, gb = p - pi - ni, q - qi - ni
-            if ga < 0 or gb < 0 or max(ga, gb) > 8:
-                continue
-            e = max(ga, gb)
-            if best[i][0] - 2.5 * e + n > score:
-                score, first, wrong = best[i][0] - 2.5 * e + n, best[i][1], best[i][2] + e
-        best.append((score, first, wrong))
-        if words[q + n] - words[first] >= MIN_WORDS and wrong * PER_ERROR <= q + n - first:
-            return True
+    words = np.concatenate([[0], np.cumsum(content)]).tolist()
+    # No passage has a gap of more errors than the whole item allows; tiles do not overlap, so each has few before it.
+    widest = len(b) // PER_ERROR
+    before: list[list[tuple[int, int]]] = []  # per tile the tiles that may go before it, with the errors between
+    for j, (p, q, _) in enumerate(t):
+        near, i = [], j - 1
+        while i >= 0 and q - t[i][1] - t[i][2] <= widest:
+            ga = p - t[i][0] - t[i][2]
+            if 0 <= ga <= widest:
+                near.append((i, max(ga, q - t[i][1] - t[i][2])))
+            i -= 1
+        before.append(near)
+    # First and last tile fix the words of a chain, so the fewest errors between each two decide.
+    for start, (_, first, _) in enumerate(t):
+        if words[-1] - words[first] < MIN_WORDS:
+            break
+        fewest = {start: 0}
+        for j in range(start, len(t)):
+            if j > start:
+                wrong = min((fewest[i] + e for i, e in before[j] if i in fewest), default=None)
+                if wrong is None:
+                    continue
+                fewest[j] = wrong
+            end = t[j][1] + t[j][2]
+            if words[end] - words[first] >= MIN_WORDS and fewest[j] * PER_ERROR <= end - first:
+                return True
     return False
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from plenora.llm import queries as Q
 from plenora.llm.canon import Canoniser, canonical, look_alike_pairs, look_alike_rows
 from plenora.llm.groupsplit import assign_splits, components, label_profiles, min_cost_quotas, part_of, plan_rows
-from plenora.llm.leakage import ItemBlock, fixed_phrases, leaked_items, leaks, tiles, words_of
+from plenora.llm.leakage import ItemBlock, fixed_phrases, holds_passage, leaked_items, leaks, tiles, words_of
 from plenora.llm.names import _near, attribute, learn_lexicon, linked_pairs, name_readings, surname_neighbours
 from plenora.llm.packing import first_fit_decreasing, pack, token_counts
 from plenora.llm.sampling import consistent_sample, inclusion_weights, stored_state
@@ -245,6 +245,15 @@ def test_tiles_cover_and_do_not_overlap():
         assert len({x for _, q, n in t for x in range(q, q + n)}) == sum(n for *_, n in t)
 
 
+@pytest.mark.parametrize("runs", [[11, -4, 7, -1, 5], [8, -3, 4, -1, 4, -1, 2]])
+def test_passages_behind_dense_errors(runs):
+    item = np.arange(1, sum(map(abs, runs)) + 1)
+    right = np.concatenate([np.full(abs(n), n > 0) for n in runs])
+    text = np.where(right, item, 0)
+    assert holds_passage(text, item, np.ones(len(item), bool))
+    assert not holds_passage(text[: runs[0] + 4], item, np.ones(len(item), bool))
+
+
 def test_leaks(spark):
     rnd = random.Random(11)
     items = [(k, _sentence(rnd, 40)) for k in range(30)]

@@ -24,6 +24,7 @@ from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +37,7 @@ PER_ERROR = 6
 SEED = 4
 #: Characters of item text in one broadcast block.
 BLOCK_CHARS = 8_000_000
-#: A sentence of at most this many words that stands in at least PHRASE_SHARE of the distinct texts is a fixed phrase.
+#: A sentence of at most this many words that stands in at least PHRASE_SHARE of the distinct texts, those that leak an item with it left out, is a fixed phrase.
 PHRASE_WORDS, PHRASE_SHARE, PHRASE_LEAST = 8, 0.001, 5
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -66,32 +67,49 @@ def _hashes(ids: np.ndarray, k: int) -> np.ndarray:
     return out ^ (out >> np.uint64(29))
 
 
+def _digest(text: str) -> int:
+    import hashlib
+
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
+def _short_sentences(text: str, form: Canoniser, memo: dict[str, list[str]]) -> list[str]:
+    """The text's sentences of 2 to PHRASE_WORDS words, as their words in one form."""
+    out = []
+    for s in {s for s in map(str.strip, _SENTENCE.split(text)) if 3 < len(s) < 90 and s.count(" ") < PHRASE_WORDS + 2}:
+        if s not in memo:
+            if len(memo) > 200_000:
+                memo.clear()
+            memo[s] = _WORD.findall(form(s))
+        if 2 <= len(memo[s]) <= PHRASE_WORDS:
+            out.append(" ".join(memo[s]))
+    return out
+
+
+def _phrase_floor(rows: int) -> int:
+    return max(PHRASE_LEAST, math.ceil(rows * PHRASE_SHARE))
+
+
 def fixed_phrases(docs: DataFrame, text_col: str) -> DataFrame:
     """Short sentences (as their words in one form) that stand in many distinct texts.
 
+    An item that leaks widely brings its own sentences here; ``leaks`` takes
+    those out again (``owned_sentences``).
+
     Distinct texts are counted, so copies of one document make no phrase. The
     result is small by construction: a text has few short sentences, and each
     phrase takes up at least PHRASE_SHARE of the texts.
     """
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import hashlib
-
         form, memo = Canoniser(fold_case=True, strip_marks=True), {}
         for b in batches:
             said, where = [], []
             for t in b.column(0).unique().to_pylist():
-                if not t:
-                    continue
-                digest = int.from_bytes(hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
-                for s in {s for s in map(str.strip, _SENTENCE.split(t)) if 3 < len(s) < 90 and s.count(" ") < PHRASE_WORDS + 2}:
-                    if s not in memo:
-                        if len(memo) > 200_000:
-                            memo.clear()
-                        memo[s] = _WORD.findall(form(s))
-                    if 2 <= len(memo[s]) <= PHRASE_WORDS:
-                        said.append(" ".join(memo[s]))
-                        where.append(digest)
+                if t:
+                    short = _short_sentences(t, form, memo)
+                    said += short
+                    where += [_digest(t)] * len(short)
             yield pa.RecordBatch.from_arrays([pa.array(said, pa.string()), pa.array(where, pa.int64())], names=["phrase", "text"])
 
     texts = docs.select(text_col).mapInArrow(work, "phrase string, text long")
@@ -100,29 +118,60 @@ def fixed_phrases(docs: DataFrame, text_col: str) -> DataFrame:
     return per.crossJoin(F.broadcast(total)).filter(F.col("n_texts") >= F.greatest(F.lit(PHRASE_LEAST), F.ceil(F.col("__n") * PHRASE_SHARE))).select("phrase", "n_texts")
 
 
+def owned_sentences(docs: DataFrame, text_col: str, blocks: Iterable[Broadcast]) -> DataFrame:
+    """(phrase, n_owned): in how many distinct texts a sentence stands that leak, every word counted, an item with it.
+
+    The blocks are ItemBlocks in which all words count.
+    """
+    found = None
+    for block in blocks:
+
+        def work(batches: Iterable[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+            index, form, memo = block.value, Canoniser(fold_case=True, strip_marks=True), {}
+            get = index.vocabulary.get
+            for b in batches:
+                texts = [t for t in b.column(0).unique().to_pylist() if t]
+                said, where = [], []
+                for t, hit in zip(texts, leaked_items([np.array([get(w, 0) for w in words_of(t, form)], np.int64) for t in texts], index)):
+                    if hit:
+                        own = set().union(*(index.held[k] for k in hit)).intersection(_short_sentences(t, form, memo))
+                        said += sorted(own)
+                        where += [_digest(t)] * len(own)
+                yield pa.RecordBatch.from_arrays([pa.array(said, pa.string()), pa.array(where, pa.int64())], names=["phrase", "text"])
+
+        one = docs.select(text_col).mapInArrow(work, "phrase string, text long")
+        found = one if found is None else found.unionByName(one)
+    return found.distinct().groupBy("phrase").agg(F.count(F.lit(1)).alias("n_owned"))
+
+
 class ItemBlock:
-    """The items of a block as numbered words, with the sorted hashes of their seeds."""
+    """The items of a block as numbered words, with the sorted hashes of their seeds.
 
-    def __init__(self, items: list[tuple[int, str]], phrases: list[str]):
+    ``held`` are the phrases in each item; with ``count_all`` their words count like others.
+    """
+
+    def __init__(self, items: list[tuple[int, str]], phrases: list[str], count_all: bool = False):
         form = Canoniser(fold_case=True, strip_marks=True)
         lists = [(i, words_of(t, form)) for i, t in items if t]
         self.vocabulary: dict[str, int] = {}
         number = lambda w: self.vocabulary.setdefault(w, len(self.vocabulary) + 1)
         self.item_ids = [i for i, _ in lists]
         self.items = [np.array([number(w) for w in ws], np.int64) for _, ws in lists]
-        known: dict[int, set[tuple[int, ...]]] = {}
+        known: dict[int, dict[tuple[int, ...], str]] = {}
         for p in phrases:
             ws = p.split(" ")
             if all(w in self.vocabulary for w in ws):
-                known.setdefault(len(ws), set()).add(tuple(self.vocabulary[w] for w in ws))
-        self.content = []
+                known.setdefault(len(ws), {})[tuple(self.vocabulary[w] for w in ws)] = p
+        self.content, self.held = [], []
         for ids in self.items:
-            fixed = np.zeros(len(ids), bool)
+            fixed, held = np.zeros(len(ids), bool), set()
             for n, seqs in known.items():
                 for p in range(len(ids) - n + 1):
-                    if tuple(ids[p : p + n].tolist()) in seqs:
-                        fixed[p : p + n] = True
+                    if (phrase := seqs.get(tuple(ids[p : p + n].tolist()))) is not None:
+                        fixed[p : p + n] = not count_all
+                        held.add(phrase)
             self.content.append(~fixed)
+            self.held.append(held)
         hs, it, at = [], [], []
         for k, ids in enumerate(self.items):
             h = _hashes(ids, SEED)
@@ -266,20 +315,39 @@ def leaks(docs: DataFrame, doc_id: str, text_col: str, items: DataFrame, item_id
     MIN_WORDS words give no row. Each copy of a document counts by its own row;
     repeated (doc, item) rows are reduced to one. Reads the items and the fixed
     phrases when called.
+
+    A sentence is a fixed phrase by the texts that say it without leaking an
+    item that holds it, so an item's own sentences count however widely it
+    leaks. One said only where one item leaks cannot be told from the item.
     """
     spark = docs.sparkSession
     d_type, i_type = (x.simpleString() for x in (docs.schema[doc_id].dataType, items.schema[item_id].dataType))
-    phrases = [r[0] for r in fixed_phrases(docs, text_col).select("phrase").orderBy("phrase").toLocalIterator()]
+    said = {r[0]: r[1] for r in fixed_phrases(docs, text_col).orderBy("phrase").toLocalIterator()}
     some = items.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).filter("t IS NOT NULL AND t <> ''")
     chars = some.agg(F.sum(F.length("t"))).first()[0] or 0
     n_blocks = max(1, math.ceil(chars / block_chars))
     schema = f"`{doc_id}` {d_type}, `{item_id}` {i_type}"
     rows = docs.select(doc_id, text_col).filter(F.col(text_col).isNotNull() & (F.col(text_col) != ""))
+
+    def block_of(n: int, phrases: list[str], count_all: bool = False) -> Broadcast | None:
+        part = [(r[0], r[1]) for r in some.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n_blocks)) == n).orderBy("i", "t").collect()]
+        whole = ItemBlock(part, phrases, count_all)
+        if count_all:
+            # Only items that hold a sentence in question matter.
+            of = {i for i, held in zip(whole.item_ids, whole.held) if held}
+            if not of:
+                return None
+            whole = ItemBlock([x for x in part if x[0] in of], phrases, count_all)
+        # A plain namespace: workers need none of this module's classes to read it.
+        return spark.sparkContext.broadcast(SimpleNamespace(**vars(whole)))
+
+    asked = [b for b in (block_of(n, list(said), True) for n in range(n_blocks)) if b is not None] if said else []
+    owned = {r[0]: r[1] for r in owned_sentences(rows, text_col, asked).toLocalIterator()} if asked else {}
+    least = _phrase_floor(docs.count()) if owned else 0
+    phrases = [p for p, c in said.items() if c - owned.get(p, 0) >= least]
     found = None
     for n in range(n_blocks):
-        part = some.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n_blocks)) == n).orderBy("i", "t").collect()
-        # A plain namespace: workers need none of this module's classes to read it.
-        block = spark.sparkContext.broadcast(SimpleNamespace(**vars(ItemBlock([(r[0], r[1]) for r in part], phrases))))
+        block = block_of(n, phrases)
 
         def work(batches: Iterable[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             index, form = block.value, Canoniser(fold_case=True, strip_marks=True)

@@ -305,6 +305,20 @@ def test_fixed_phrases_do_not_count(spark):
 # ---- truncation -------------------------------------------------------------
 
 
+def test_sentences_of_a_widely_leaked_item_count(spark):
+    rnd = random.Random(9)
+    phrase = "please keep order in this room now"
+    own = [" ".join(f"{w}{k}" for w in ("owl", "ran", "far", "off", "then")) for k in range(4)]
+    item = ". ".join([*own, phrase])
+    docs = [(k, f"{' '.join(_sentence(rnd, 30))}. {item}. {' '.join(_sentence(rnd, 9))}") for k in range(30)]
+    docs += [(100 + k, f"{' '.join(_sentence(rnd, 30))}. {phrase}. {own[0].replace('0', '')} {k}") for k in range(20)]
+    docs += [(200, f"{' '.join(_sentence(rnd, 30))}. {own[2]}. {own[3][:-6]} {phrase}")]  # ten words and a phrase
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    i = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert {r.phrase for r in fixed_phrases(d, "text").collect()} == {*own, phrase}
+    assert {r.doc_id for r in leaks(d, "doc_id", "text", i, "item_id", "text").collect()} == set(range(30))
+
+
 def test_prefix_copies(spark):
     rnd = random.Random(9)
     long = [" ".join(_sentence(rnd, 40)) for _ in range(60)]

@@ -228,7 +228,8 @@ def truncated(docs: DataFrame, id_col: str, text_col: str, source: str) -> DataF
     frequent = lines.crossJoin(F.broadcast(total)).filter("n_prior >= greatest(5, ceil(n_rows * 0.0005)) AND length(prior) <= 40").select("prior", F.lit(True).alias("greets"))
     signed = ends.join(frequent, "prior", "left").withColumn("signed", ~F.col("closed") & F.col("short") & F.coalesce("greets", F.lit(False)) & ~F.col("marked") & ~F.col("broken")).drop("greets")
 
-    share = signed.groupBy("source").agg(F.avg(F.col("closed").cast("double")).alias("p_closed"), F.avg(F.col("signed").cast("double")).alias("p_signed"))
+    # Copies show nothing about how a source's texts end as a rule: each text of a source is asked once.
+    share = signed.select("source", "digest", "closed", "signed").distinct().groupBy("source").agg(F.avg(F.col("closed").cast("double")).alias("p_closed"), F.avg(F.col("signed").cast("double")).alias("p_signed"))
     share = share.withColumnRenamed("source", "__s")
     ruled = signed.join(share, signed["source"].eqNullSafe(share["__s"])).drop("__s")
 

@@ -353,6 +353,17 @@ def test_truncated(spark):
     assert truncated(spark.createDataFrame([], "id long, t string, src string"), "id", "t", "src").count() == 0
 
 
+def test_copies_of_a_cut_text_do_not_hide_it(spark):
+    rnd = random.Random(4)
+    vocab = ["budget", "committee", "minister", "reported", "district", "approved", "measure", "council", "delayed", "hearing"]
+    text = lambda: " ".join("The " + " ".join(rnd.choice(vocab) for _ in range(rnd.randrange(6, 12))) + "." for _ in range(rnd.randrange(3, 9)))
+    rows = [(i, text(), "letters") for i in range(40)]
+    cut = text()[:-1]
+    rows += [(100 + i, cut, "letters") for i in range(200)]
+    found = truncated(spark.createDataFrame(rows, "id long, t string, src string"), "id", "t", "src")
+    assert {r.id for r in found.filter("array_contains(evidence, 'unclosed')").collect()} == set(range(100, 300))
+
+
 # ---- names ------------------------------------------------------------------
 
 

@@ -27,8 +27,6 @@ from plenora.session import cut_lineage
 TITLES = """מר גב גב' גברת אדון ד"ר דר דר' פרופ פרופ' פרופסור ח"כ חה"כ חבר חברת הכנסת השר השרה שר שרה סגן סגנית היו"ר יו"ר היור יור עו"ד עוד הרב רב אלוף מ"מ
 mr mrs ms dr prof sir mk minister chair г-н г-жа др депутат""".split()
 
-#: A given name or nickname is known if it makes up this share of the rows, so at most 1 / LEXICON_SHARE times the names of a row are.
-LEXICON_SHARE = 1 / 5000
 #: Log-likelihoods of what the channel does.
 NICK, INITIAL, GIVEN_TYPO, GLUED, SURNAME_TYPO, MIDDLE, ROSTER = -1.0, -2.0, -4.0, -3.0, -5.0, -1.0, 3.0
 #: Surnames shorter than this must be equal.
@@ -80,7 +78,7 @@ class Lexicon:
     """Known given names and nicknames: form -> given name."""
 
     def __init__(self, given: list[str], nicks: dict[str, str]):
-        self.of = {g: g for g in given} | {n: g for n, g in nicks.items() if n not in set(given)}
+        self.of = nicks | {g: g for g in given}
         self.near: dict[str, set[str]] = {}
         for w in self.of:
             if len(w) >= 3:
@@ -113,18 +111,21 @@ class Lexicon:
                 for x in self.near.get(k, ()):
                     if rest and len(w) >= 3 and _near(w, x):
                         out.append(("weak", self.of[x], "".join(rest), GIVEN_TYPO))
-        for x, g in self.of.items():
-            if len(x) >= 3 and words[0].startswith(x) and len("".join(words)) - len(x) >= MIN_TYPO:
-                out.append(("weak", g, words[0][len(x) :] + "".join(words[1:]), GLUED))
-            if len(x) >= 3 and words[-1].endswith(x) and len("".join(words)) - len(x) >= MIN_TYPO:
-                out.append(("weak", g, "".join(words[:-1]) + words[-1][: -len(x)], GLUED))
+        # Beginnings and ends are looked up, not searched for, so a large lexicon costs no more than a small one.
+        letters = len("".join(words))
+        for n in range(3, letters - MIN_TYPO + 1):
+            if n <= len(words[0]) and (g := self.of.get(words[0][:n])) is not None:
+                out.append(("weak", g, words[0][n:] + "".join(words[1:]), GLUED))
+            if n <= len(words[-1]) and (g := self.of.get(words[-1][-n:])) is not None:
+                out.append(("weak", g, "".join(words[:-1]) + words[-1][:-n], GLUED))
         return list(dict.fromkeys(out)) or [("none", "", "".join(words), 0.0)]
 
 
 def learn_lexicon(variants: DataFrame, variant: str, roster: DataFrame | None = None, first_name: str = "first_name") -> Lexicon:
     """Given names from a roster's first names (or, without one, from the first words of names) and
-    nicknames from names that carry one in brackets or quotes. Only shares of at least LEXICON_SHARE
-    of the rows reach the driver, whatever the size of the data."""
+    nicknames from names that carry one in brackets or quotes. Every given name of the roster and every
+    nickname of one of them is known, however rare: one attestation is enough at any size of the data.
+    The lexicon comes to the driver whole; it grows with the distinct names, not with the rows."""
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         form = Canoniser(fold_case=True, strip_marks=True)
@@ -141,16 +142,16 @@ def learn_lexicon(variants: DataFrame, variant: str, roster: DataFrame | None =
             yield pa.RecordBatch.from_arrays([pa.array(given, pa.string()), pa.array(nick, pa.string())], names=["given", "nick"])
 
     said = variants.select(variant).mapInArrow(work, "given string, nick string").filter("given <> ''")
-    total = variants.count()
     if roster is not None:
-        named = roster.select(first_name).mapInArrow(work, "given string, nick string").filter("given <> ''").groupBy("given").count()
-        least = max(1, int(roster.count() * LEXICON_SHARE))
+        named, least = roster.select(first_name).mapInArrow(work, "given string, nick string").filter("given <> ''").groupBy("given").count(), 1
     else:
-        named, least = said.filter("nick IS NULL").groupBy("given").count(), max(5, int(total * 0.002))
-    given = [r[0] for r in named.filter(F.col("count") >= least).orderBy("given").collect()]
-    pairs = said.filter("nick IS NOT NULL").groupBy("nick", "given").count().filter(F.col("count") >= max(1, int(total * LEXICON_SHARE)))
+        named, least = said.filter("nick IS NULL").groupBy("given").count(), max(5, int(variants.count() * 0.002))
+    known = named.filter(F.col("count") >= least).select("given")
+    given = [r[0] for r in known.orderBy("given").collect()]
+    # A nickname beside a surname or a misspelt given name says nothing; the given names' own pairs decide.
+    pairs = said.filter("nick IS NOT NULL").groupBy("nick", "given").count().join(known, "given", "left_semi")
     best = pairs.groupBy("nick").agg(F.max_by("given", F.struct("count", "given")).alias("given")).orderBy("nick").collect()
-    return Lexicon(given, {r["nick"]: r["given"] for r in best if r["given"] in set(given)})
+    return Lexicon(given, {r["nick"]: r["given"] for r in best})
 
 
 def surname_neighbours(surnames: DataFrame) -> DataFrame:

@@ -399,6 +399,16 @@ def test_names(spark):
     assert linked_pairs(attribute(name_readings(df.filter("false"), "id", "variant", "person", lex))).count() == 0
 
 
+def test_rare_names_are_known_at_any_size(spark):
+    rows = [(f"David Kohavi{chr(97 + k % 26)}",) for k in range(10_000)] + [('Zelda "Zuzi" Brandt',), ('Brandt "Zuzi" Zelda',), ("David (Dudu) Kohavi",)]
+    roster = spark.createDataFrame([("David",)] * 10_000 + [("Zelda",)], "first_name string")
+    lex = learn_lexicon(spark.createDataFrame(rows, "variant string"), "variant", roster)
+    assert lex.of == {"david": "david", "zelda": "zelda", "dudu": "david", "zuzi": "zelda"}
+    form = Canoniser(fold_case=True, strip_marks=True)
+    assert lex.readings("Zuzi Brandt", form) == [("strong", "zelda", "brandt", -1.0)]
+    assert lex.readings("ZeldaBrandt", form) == [("weak", "zelda", "brandt", -3.0)] and lex.readings("BrandtZelda", form) == [("weak", "zelda", "brandt", -3.0)]
+
+
 # ---- the queries as a whole -------------------------------------------------
 
 

@@ -36,6 +36,8 @@ _END = re.compile(r"(?:[.?!؟。！？]+[\"')\]]*|(?:^|\s)\"[^\s\"]+\")$")
 NEVER_LAST = 0.005
 #: Uses from which that share is trusted.
 ATTESTED = 20
+#: A word that only ends texts is a beginning if the texts are at most so many times the uses of the longer words it begins.
+LAST_TIMES = 2
 #: A source's texts end with a full stop (or a sign-off) as a rule from this share on.
 RULE_SHARE = 0.3
 #: A length is a limit if so many distinct texts have it, so many times what the lengths within SPIKE_REACH have on
@@ -159,14 +161,15 @@ def prefix_copies(docs: DataFrame, text_col: str, least: int = 24) -> DataFrame:
 
 def word_uses(docs: DataFrame, text_col: str) -> DataFrame:
     """(word, n, n_end, n_last): uses other than as a text's last word, those of them that end a sentence
-    or line, and uses as the last word of a text. Counted over whole texts, summed per batch first."""
+    or line, and uses as the last word of a text. Counted over whole texts, summed per batch first; each different text counts
+    once, wherever its copies lie. Copies are dropped before the shuffle, so a hot text meets itself once a task."""
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         form = Canoniser(fold_case=True, strip_marks=True, trim=False, lines=True)
         token = re.compile(r"[^\W_]+(?:['\"][^\W_]+)*|[.?!؟\n]")
         for b in batches:
             uses, ends, lasts = Counter(), Counter(), Counter()
-            for t in b.column(0).unique().to_pylist():
+            for t in b.column(0).to_pylist():
                 if not t:
                     continue
                 ws = token.findall(form(t))
@@ -183,7 +186,7 @@ def word_uses(docs: DataFrame, text_col: str) -> DataFrame:
             words = list(uses.keys() | lasts.keys())
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *[pa.array([c[w] for w in words], pa.int64()) for c in (uses, ends, lasts)]], names=["word", "n", "n_end", "n_last"])
 
-    return docs.select(text_col).mapInArrow(work, "word string, n long, n_end long, n_last long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_end").alias("n_end"), F.sum("n_last").alias("n_last"))
+    return docs.select(text_col).distinct().mapInArrow(work, "word string, n long, n_end long, n_last long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_end").alias("n_end"), F.sum("n_last").alias("n_last"))
 
 
 def field_limits(ends: DataFrame) -> DataFrame:
@@ -251,7 +254,7 @@ def truncated(docs: DataFrame, id_col: str, text_col: str, source: str) -> DataF
     copies = prefix_copies(rows, text_col).withColumn("copied", F.lit(True))
     full = known.join(copies, "digest", "left")
     n, longer_, end, last = (F.coalesce(c, F.lit(0)) for c in ("n", "n_longer", "n_end", "n_last"))
-    word = ((n == 0) & (longer_ > 0) & (last <= 2)) | ((longer_ >= 5) & (n * 50 <= longer_) & (end == 0))
+    word = ((n == 0) & (longer_ > 0) & (last <= LAST_TIMES * longer_)) | ((longer_ >= 5) & (n * 50 <= longer_) & (end == 0))
     sentence = (n >= ATTESTED) & (end <= n * NEVER_LAST)
     open_end = ~F.col("closed")
     unclosed = ((F.col("p_closed") >= RULE_SHARE) | (F.col("p_signed") >= RULE_SHARE)) & ~F.col("signed")

@@ -12,7 +12,7 @@ from plenora.llm.leakage import ItemBlock, fixed_phrases, holds_passage, leaked_
 from plenora.llm.names import _near, attribute, learn_lexicon, linked_pairs, name_readings, surname_neighbours
 from plenora.llm.packing import first_fit_decreasing, pack, token_counts
 from plenora.llm.sampling import consistent_sample, inclusion_weights, stored_state
-from plenora.llm.truncation import prefix_copies, truncated
+from plenora.llm.truncation import prefix_copies, truncated, word_uses
 from plenora.llm.turns import collapse_runs
 from plenora.operators.segments import usable_spans
 from tests.conftest import DATA
@@ -364,6 +364,20 @@ def test_copies_of_a_cut_text_do_not_hide_it(spark):
     assert {r.id for r in found.filter("array_contains(evidence, 'unclosed')").collect()} == set(range(100, 300))
 
 
+def test_word_uses_count_each_text_once(spark):
+    texts = ["the council met and then the coun"] * 9 + [f"number {k} of the council met and left for zanzibar in may zanz" for k in (1, 2, 3)] + [None, ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(4)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1)
+    try:
+        got = {r.word: (r.n, r.n_end, r.n_last) for r in word_uses(df, "t").collect()}
+        rows = spark.createDataFrame([(i, t, "spoken") for i, t in enumerate(texts)], "id long, t string, src string").repartition(4)
+        found = {r.id for r in truncated(rows, "id", "t", "src").filter("array_contains(evidence, 'word')").collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000)
+    assert got["coun"] == (0, 0, 1) and got["council"] == (4, 0, 0) and got["zanz"] == (0, 0, 3) and got["zanzibar"] == (3, 0, 0)
+    assert found == set(range(12))
+
+
 # ---- names ------------------------------------------------------------------
 
 

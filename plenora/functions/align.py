@@ -19,7 +19,7 @@ def word_distance(ref: Column, hyp: Column) -> Column:
 
     Every distinct token becomes one private-use character and the characters'
     distance is taken. Exact while both sides together have at most 6,400
-    tokens; null beyond that (use ``edit_counts`` there). Null counts as ''.
+    tokens; null beyond that (``exact_distance`` goes on there). Null counts as ''.
     """
     sides = F.struct(tokens(ref).alias("r"), tokens(hyp).alias("h"))
 
@@ -30,6 +30,34 @@ def word_distance(ref: Column, hyp: Column) -> Column:
     return let(let(sides, lambda s: F.struct(s["r"].alias("r"), s["h"].alias("h"), F.array_distinct(F.concat(s["r"], s["h"])).alias("v"))), distance)
 
 
+def distance(r: list[str], h: list[str]) -> int:
+    """Levenshtein distance of two word lists of any length, by bit vectors (Myers; one bit a word of ``r``)."""
+    if not r:
+        return len(h)
+    at: dict[str, int] = {}
+    for i, w in enumerate(r):
+        at[w] = at.get(w, 0) | 1 << i
+    full, top = (1 << len(r)) - 1, 1 << (len(r) - 1)
+    more, less, d = full, 0, len(r)
+    for w in h:
+        eq = at.get(w, 0)
+        x = (((eq & more) + more) ^ more) | eq | less
+        up, down = less | (full & ~(x | more)), more & x
+        d += bool(up & top) - bool(down & top)
+        up, down = (up << 1 | 1) & full, down << 1 & full
+        v = eq | less
+        more, less = down | (full & ~(v | up)), up & v
+    return d
+
+
+def exact_distance(ref: Column, hyp: Column) -> Column:
+    """Levenshtein distance over tokens, at any length: ``word_distance``, and beyond its limit ``distance``."""
+    texts = [F.coalesce(c, F.lit("")) for c in (ref, hyp)]
+    # Python sees only texts that may be beyond the limit: a token has at least one character.
+    beyond = F.length(texts[0]) + F.length(texts[1]) > NATIVE_LIMIT
+    return F.coalesce(word_distance(ref, hyp), long_distance(*[F.when(beyond, tokens(c)) for c in texts]))
+
+
 def runaway(ref_n: Column, hyp_n: Column) -> Column:
     """Whether the hypothesis is longer than RUNAWAY times the reference (at least one word)."""
     return hyp_n > RUNAWAY * F.greatest(ref_n, F.lit(1))
@@ -77,6 +105,12 @@ OPS = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("op",
 RESTORED = T.StructType([T.StructField("text", T.StringType()), T.StructField("n_inserted", T.IntegerType())])
 
 
+@F.pandas_udf(T.IntegerType())
+def long_distance(ref, hyp):  # noqa: ANN001, ANN201
+    """Levenshtein distance of two arrays of words; null where either is."""
+    return ref.__class__([None if a is None or b is None else distance(list(a), list(b)) for a, b in zip(ref, hyp)], dtype="Int32")
+
+
 @F.pandas_udf(COUNTS)
 def edit_counts(ref, hyp):  # noqa: ANN001, ANN201
     """Substitutions, deletions, insertions and their sum for two normalised texts; null counts as ''."""

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plenora.functions.align import edit_counts, error_content, runaway, word_distance
+from plenora.functions.align import edit_counts, error_content, exact_distance, runaway
 from plenora.functions.binning import cut, quantile_bins
 from plenora.functions.text import blank_to_null, normalize_text, safe_ratio, to_ms, token_count, tokens
 from plenora.operators import metrics, stats
@@ -32,7 +32,7 @@ def scored_chunks(spark: SparkSession, root: str) -> DataFrame:
     ref = tokens(normalize_text(F.col("text")))
     a = _keep(F.transform(ref, lambda t, i: F.when(i % 7 == 2, "x").otherwise(t)), 5, 3)
     texts = one.withColumns({"ref": F.array_join(ref, " "), "hyp_a": F.array_join(a, " "), "hyp_b": F.array_join(_keep(ref, 9, 4), " ")})
-    counted = texts.withColumns({"words": token_count(F.col("ref")), "err_a": word_distance(F.col("ref"), F.col("hyp_a")), "err_b": word_distance(F.col("ref"), F.col("hyp_b")), "ms": to_ms(F.col("duration_s"))})
+    counted = texts.withColumns({"words": token_count(F.col("ref")), "err_a": exact_distance(F.col("ref"), F.col("hyp_a")), "err_b": exact_distance(F.col("ref"), F.col("hyp_b")), "ms": to_ms(F.col("duration_s"))})
     return counted.filter("words > 0")
 
 

@@ -1,11 +1,14 @@
+import random
 from datetime import date
 
 import pytest
 from pyspark.sql import functions as F
 
 from plenora.functions import text as tx
-from plenora.functions.align import edit_counts, edit_ops, restore_shared, runaway, word_distance
+from plenora.functions.align import distance, edit_counts, edit_ops, exact_distance, restore_shared, runaway, word_distance
 from plenora.functions.binning import cut, weighted_median
+from plenora.plans.scoring import scored_chunks
+from tests.conftest import DATA
 
 
 @pytest.mark.parametrize("raw,want", [('צה"ל', "צה ל"), ("אונ׳", "אונ"), ("בין-לאומי", "בין לאומי"), ("שָׁלוֹם", "שלום"), ("Hello, world! 123", "Hello world 123"), (None, ""), ("", ""), ("a_b", "a b")])
@@ -79,6 +82,25 @@ def test_distances(lit):
     assert lit(runaway(F.lit(4), F.lit(13))) is True and lit(runaway(F.lit(4), F.lit(12))) is False
 
 
+def test_distance_beyond_the_native_limit(spark, lit, tmp_path):
+    rnd = random.Random(3)
+    for _ in range(300):
+        r, h = ([rnd.choice("abcd") for _ in range(rnd.randrange(0, 80))] for _ in range(2))
+        assert distance(r, h) == sum(o != "=" for o, _, _ in edit_ops(r, h))
+    long = [f"w{k}" for k in range(4000)]
+    short = [w for k, w in enumerate(long) if k % 9 != 4]
+    texts = F.lit(" ".join(long)), F.lit(" ".join(short))
+    assert lit(word_distance(*texts)) is None
+    assert lit(exact_distance(*texts)) == len(long) - len(short)
+    chunk = spark.read.parquet(f"{DATA}/sf0.001/chunk_index.parquet").filter("chunk_id IS NOT NULL").limit(1)
+    two = chunk.withColumns({"chunk_id": F.lit("long"), "text": texts[0]}).unionByName(chunk.withColumns({"chunk_id": F.lit("brief"), "text": F.lit("a b c d e f")}))
+    two.write.parquet(str(tmp_path / "chunk_index.parquet"))
+    got = {r.chunk_id: (r.words, r.err_a, r.err_b) for r in scored_chunks(spark, str(tmp_path)).collect()}
+    changed = [w if k % 7 != 2 else "x" for k, w in enumerate(long)]
+    assert got["long"] == (4000, distance(long, [w for k, w in enumerate(changed) if k % 5 != 3]), len(long) - len(short))
+    assert got["brief"] == (6, 2, 1)
+
+
 def test_edit_ops_invariants():
     import random
 

@@ -92,7 +92,8 @@ def permutation_rank(df: DataFrame, rules: Mapping[str, str], key: str, value: s
     w = W.partitionBy("rule", "b")
     a = perms.select("rule", "b", "grp", F.row_number().over(w.orderBy("k")).alias("i"))
     y = perms.select("rule", "b", "y", F.row_number().over(w.orderBy(F.md5(F.concat_ws("|", F.lit(seed), F.col("b").cast("string"), F.col("k").cast("string"))), "k")).alias("i"))
-    null = eta_squared(a.join(y, ["rule", "b", "i"]), ["rule", "b"], "grp", "y").select("rule", F.round("eta2", digits).alias("e"))
+    # Both sides have a row per rule, permutation and key: never one to broadcast, however small it is when compressed.
+    null = eta_squared(a.join(y.hint("merge"), ["rule", "b", "i"]), ["rule", "b"], "grp", "y").select("rule", F.round("eta2", digits).alias("e"))
     back = null.join(obs.select("rule", F.round("eta2", digits).alias("o")), "rule")
     p = back.groupBy("rule").agg(F.round(F.percentile("e", 0.95), digits).alias("null95"), F.round(F.avg((F.col("e") >= F.col("o")).cast("double")), digits).alias("p"))
     return obs.join(p, "rule").select("rule", "groups", "n", F.round("eta2", digits).alias("eta2"), "null95", "p")

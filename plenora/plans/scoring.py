@@ -149,17 +149,35 @@ def split_half_reliability(spark: SparkSession, root: str) -> DataFrame:
     return stats.split_half(scored_chunks(spark, root).filter("speaker_id > 0"), "speaker_id", "session", "words", "err_a", 50, 7)
 
 
-def bootstrap_intervals(spark: SparkSession, root: str) -> DataFrame:
-    """Intervals of both pooled rates and their difference per legislature, 100 replicates."""
+def _intervals(spark: SparkSession, root: str, n_boot: int) -> DataFrame:
     s = scored_chunks(spark, root).filter("knesset IS NOT NULL").select("knesset", "chunk_id", "words", "err_a", "err_b")
     w = F.col("words")
-    return stats.ratio_intervals(s, "knesset", ["chunk_id"], {"rate_A": (F.col("err_a"), w), "rate_B": (F.col("err_b"), w), "gain": (F.col("err_a") - F.col("err_b"), w)}, ["words", "err_a", "err_b"], 100, "boot")
+    return stats.ratio_intervals(s, "knesset", ["chunk_id"], {"rate_A": (F.col("err_a"), w), "rate_B": (F.col("err_b"), w), "gain": (F.col("err_a") - F.col("err_b"), w)}, ["words", "err_a", "err_b"], n_boot, "boot")
 
 
-def paired_test(spark: SparkSession, root: str) -> DataFrame:
-    """Paired bootstrap of the two arms per legislature, 100 replicates."""
+def bootstrap_intervals(spark: SparkSession, root: str) -> DataFrame:
+    """Intervals of both pooled rates and their difference per legislature, 100 replicates: as many as the SQL beside it draws."""
+    return _intervals(spark, root, 100)
+
+
+def bootstrap_intervals_1000(spark: SparkSession, root: str) -> DataFrame:
+    """``bootstrap_intervals`` with the project's 1,000 replicates."""
+    return _intervals(spark, root, 1000)
+
+
+def _paired(spark: SparkSession, root: str, n_boot: int) -> DataFrame:
     s = scored_chunks(spark, root).filter("knesset IS NOT NULL").select("knesset", "chunk_id", "words", "err_a", "err_b")
-    return stats.paired_bootstrap(s, "knesset", ["chunk_id"], "err_a", "err_b", "words", 100, "paired")
+    return stats.paired_bootstrap(s, "knesset", ["chunk_id"], "err_a", "err_b", "words", n_boot, "paired")
+
+
+def paired_test(spark: SparkSession, root: str) -> DataFrame:
+    """Paired bootstrap of the two arms per legislature, 100 replicates: as many as the SQL beside it draws."""
+    return _paired(spark, root, 100)
+
+
+def paired_test_2000(spark: SparkSession, root: str) -> DataFrame:
+    """``paired_test`` with the project's 2,000 replicates."""
+    return _paired(spark, root, 2000)
 
 
 def signed_rank_test(spark: SparkSession, root: str) -> DataFrame:
@@ -167,10 +185,19 @@ def signed_rank_test(spark: SparkSession, root: str) -> DataFrame:
     return stats.wilcoxon(scored_chunks(spark, root).filter("knesset IS NOT NULL").select("knesset", "err_a", "err_b"), "knesset", "err_a", "err_b")
 
 
-def rule_ranking(spark: SparkSession, root: str) -> DataFrame:
-    """Share of variance in the speakers' gain that each rule explains, with a permutation null (100 permutations)."""
+def _ranking(spark: SparkSession, root: str, n_perm: int) -> DataFrame:
     a = speaker_attributes(spark, root).withColumn("gain", F.round((F.col("err_a") - F.col("err_b")) / F.col("words"), 6))
-    return stats.permutation_rank(a, RULES, "speaker_id", "gain", 100, "perm", digits=7)
+    return stats.permutation_rank(a, RULES, "speaker_id", "gain", n_perm, "perm", digits=7)
+
+
+def rule_ranking(spark: SparkSession, root: str) -> DataFrame:
+    """Share of variance in the speakers' gain that each rule explains, with a permutation null of 100 permutations: as many as the SQL beside it draws."""
+    return _ranking(spark, root, 100)
+
+
+def rule_ranking_2000(spark: SparkSession, root: str) -> DataFrame:
+    """``rule_ranking`` with the project's 2,000 permutations."""
+    return _ranking(spark, root, 2000)
 
 
 def flagged_sessions(spark: SparkSession, root: str) -> DataFrame:
@@ -212,7 +239,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         per_speaker_error_map, qc_effect, rates_by_duration, subgroup_viability, speaker_bands, volume_table, chunk_distribution, error_correlation, split_half_reliability, bootstrap_intervals,
-        paired_test, signed_rank_test, rule_ranking, flagged_sessions, adaptation_candidates, edit_operations, edit_totals,
+        bootstrap_intervals_1000, paired_test, paired_test_2000, signed_rank_test, rule_ranking, rule_ranking_2000, flagged_sessions, adaptation_candidates, edit_operations, edit_totals,
     )
 }
 SQL = {

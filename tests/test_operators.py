@@ -1,3 +1,4 @@
+import inspect
 import random
 
 import pytest
@@ -6,7 +7,23 @@ from pyspark.sql import functions as F
 from plenora.operators import checks, decide, ledger, metrics, resolve, sequence, splits, stats
 from plenora.operators.chunked import next_value, running_sum
 from plenora.operators.intervals import merge_close, periods_and_gaps, point_in_span
+from plenora.plans import scoring
 from plenora.sources import io
+from tests.conftest import DATA
+
+
+@pytest.mark.parametrize("name,operator,count", [("bootstrap_intervals_1000", "ratio_intervals", "n_boot"), ("paired_test_2000", "paired_bootstrap", "n_boot"), ("rule_ranking_2000", "permutation_rank", "n_perm")])
+def test_full_replicates(spark, monkeypatch, name, operator, count):
+    plain, drawn = getattr(stats, operator), []
+
+    def seen(*args, **more):
+        bound = inspect.signature(plain).bind(*args, **more)
+        drawn.append(bound.arguments[count])
+        return plain(*args, **more)
+
+    monkeypatch.setattr(stats, operator, seen)
+    assert {"rule", "knesset"} & set(scoring.QUERIES[name](spark, f"{DATA}/sf0.001").columns)
+    assert set(drawn) == {int(name.rsplit("_", 1)[1])}
 
 
 def frame(spark, rows, schema):

@@ -1,45 +1,48 @@
 """Evaluation passages inside training documents.
 
-Greedy string tiling of each document against the items it shares seeds with.
-Seeds are exact runs of SEED words, the longest run that a passage of twelve
-words with up to one word in six changed must still hold; they are found by
-rolling Karp-Rabin hashes of the whole document looked up in the hashes of the
-items. A seed survives if the words around it agree with the item's closely
-enough; its stretch is then tiled: the longest unmarked matches are marked
-again and again, by Karp-Rabin with falling lengths, and a chain of tiles in
-the item's order decides.
-
-The items are a stated query set: they are taken in blocks of bounded size,
-each block is broadcast and every document runs against it where it lies. No
-document text is shuffled and no pair of documents is ever formed, so neither
-hot copies nor common words build up in one place.
+Greedy string tiling of documents against the items they share seeds with.
+
+1. Documents are read once. Every word becomes a 32-bit number and every place
+   gives rolling Karp-Rabin hashes of its seeds: runs of five words, and runs of
+   four with two more words beyond a gap of at most one. Any passage of twelve
+   words with up to two of them wrong holds such a seed. Seeds that may be an
+   item's (a bit set of bounded size) are kept, with the words around them as
+   bytes, beside the document's words and its short sentences.
+2. The seeds of documents and items are joined; a pair stays if the words around
+   the seed agree closely enough. Seeds that fill a large share of either side
+   are salted.
+3. Each (document, item) that is left is tiled: the longest unmarked matches are
+   marked again and again, by Karp-Rabin with falling lengths, and a chain of
+   tiles in the item's order decides.
+4. Short sentences that stand in many texts which do not leak an item with that
+   sentence are fixed phrases; passages that need their words are taken back.
+
+No item, seed or document comes to the driver. Bit sets do, and their size has
+a stated bound.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections.abc import Iterable, Iterator
-from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plenora.llm.canon import Canoniser
+from plenora.operators.skew import filter_bits, hot_keys, in_filter, key_filter, salted_join
+from plenora.session import written
 
 MIN_WORDS = 12
 #: One word in so many may be changed, missing or added.
 PER_ERROR = 6
-#: floor(12 words with 2 errors: 10 words in 3 runs) + 1.
-SEED = 4
-#: Characters of item text in one broadcast block.
-BLOCK_CHARS = 8_000_000
 #: A sentence of at most this many words that stands in at least PHRASE_SHARE of the distinct texts, those that leak an item with it left out, is a fixed phrase.
 PHRASE_WORDS, PHRASE_SHARE, PHRASE_LEAST = 8, 0.001, 5
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+_BASE, _MASK = np.uint64(0x9E3779B97F4A7C15), (1 << 64) - 1
 
 _TIME = re.compile(r"[\[(]?\b\d{1,2}:\d{2}(?::\d{2})?(?:[.,]\d+)?\b[\])]?")
 _NUMBERED = re.compile(r"^[^\S\n]*\(?\d{1,3}[.)](?=\s)", re.M)
@@ -47,6 +50,9 @@ _LABEL = re.compile(r"^[^\n.!?:]{1,40}:[^\S\n]*$", re.M)
 _WORD = re.compile(r"[^\W_]+(?:['\"][^\W_]+)*")
 _SENTENCE = re.compile(r"[.!?:;\n…]+")
 
+#: Blanks between texts laid end to end, and how far around a seed words are kept and by how much they may be shifted.
+_PAD, _BEFORE, _AFTER, _SHIFT = 24, 9, 12, MIN_WORDS // PER_ERROR
+
 
 def words_of(text: str, form: Canoniser) -> list[str]:
     """Words in one form: times, list numbers and speaker labels on lines of their own are marks, not words."""
@@ -56,6 +62,19 @@ def words_of(text: str, form: Canoniser) -> list[str]:
     return _WORD.findall(form(_NUMBERED.sub(" ", bare)))
 
 
+class WordNumbers(dict):
+    """Callable words -> 32-bit numbers, never 0: the same on every executor. Remembers what it has seen, up to a bound."""
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=4).digest(), "little") or 1
+        return n
+
+    def __call__(self, words: list[str]) -> np.ndarray:
+        if len(self) > 500_000:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), np.uint32, len(words))
+
+
 def _hashes(ids: np.ndarray, k: int) -> np.ndarray:
     """Karp-Rabin hashes (mod 2**64) of all runs of k ids."""
     n = len(ids) - k + 1
@@ -67,159 +86,187 @@ def _hashes(ids: np.ndarray, k: int) -> np.ndarray:
     return out ^ (out >> np.uint64(29))
 
 
-def _digest(text: str) -> int:
-    import hashlib
+def seeds(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, hash) of every seed of texts laid end to end with blanks (0) between.
+
+    Ten right words of twelve lie in three runs at most. Either one run has
+    five words, or one has four and another of at least two begins or ends one
+    wrong, missing or added word away from it.
+    """
+    blank = np.concatenate([[0], np.cumsum(flat == 0)])
+    four, two = _hashes(flat, 4), _hashes(flat, 2)
+    at, out = [], []
+
+    def add(h: np.ndarray, span: int, kind: int) -> None:
+        h = h[: max(0, len(flat) - span + 1)]
+        ok = np.flatnonzero(blank[span : span + len(h)] == blank[: len(h)])
+        at.append(ok)
+        mixed = (h[ok] + np.uint64(kind)) * _BASE
+        out.append(mixed ^ (mixed >> np.uint64(31)))
+
+    add(_hashes(flat, 5), 5, 0)
+    for gap in (0, 1):
+        n = max(0, len(flat) - 6 - gap + 1)
+        add(four[:n] * _BASE + two[4 + gap : 4 + gap + n], 6 + gap, 1)
+        add(two[:n] * _BASE + four[2 + gap : 2 + gap + n], 6 + gap, 2)
+    return np.concatenate(at), np.concatenate(out)
+
+
+def _laid(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(all words end to end with blanks before, between and after; where each text begins)."""
+    parts, begin, pos = [np.zeros(_PAD, np.uint32)], [], _PAD
+    for t in texts:
+        begin.append(pos)
+        parts += [t, np.zeros(_PAD, np.uint32)]
+        pos += len(t) + _PAD
+    return np.concatenate(parts), np.array(begin, np.int64)
 
+
+def _around(flat: np.ndarray, at: np.ndarray, more: int, blank: int) -> pa.Array:
+    """The words around each place as one byte each; blanks get a byte of their own."""
+    small = np.where(flat == 0, blank, flat % np.uint32(254) + 1).astype(np.uint8)
+    width = _BEFORE + _AFTER + 2 * more
+    view = np.lib.stride_tricks.sliding_window_view(small, width)[at - _BEFORE - more]
+    return pa.Array.from_buffers(pa.binary(width), len(at), [None, pa.py_buffer(np.ascontiguousarray(view))]).cast(pa.binary())
+
+
+def _digest(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
-def _short_sentences(text: str, form: Canoniser, memo: dict[str, list[str]]) -> list[str]:
-    """The text's sentences of 2 to PHRASE_WORDS words, as their words in one form."""
-    out = []
+def _phrase(words: np.ndarray) -> int:
+    """What ``_hashes`` gives for all of a few words, with their number, as a signed 64-bit number."""
+    h = 0
+    for w in words.tolist():
+        h = (h * int(_BASE) + w) & _MASK
+    h = ((h ^ (h >> 29)) + len(words)) & _MASK
+    return h - (1 << 64) if h >> 63 else h
+
+
+def short_sentences(text: str, form: Canoniser, number: WordNumbers, memo: dict[str, int]) -> set[int]:
+    """Hashes of the text's sentences of 2 to PHRASE_WORDS words."""
+    out = set()
     for s in {s for s in map(str.strip, _SENTENCE.split(text)) if 3 < len(s) < 90 and s.count(" ") < PHRASE_WORDS + 2}:
         if s not in memo:
             if len(memo) > 200_000:
                 memo.clear()
-            memo[s] = _WORD.findall(form(s))
-        if 2 <= len(memo[s]) <= PHRASE_WORDS:
-            out.append(" ".join(memo[s]))
+            ws = _WORD.findall(form(s))
+            memo[s] = _phrase(number(ws)) if 2 <= len(ws) <= PHRASE_WORDS else 0
+        if memo[s]:
+            out.add(memo[s])
     return out
 
 
-def _phrase_floor(rows: int) -> int:
-    return max(PHRASE_LEAST, math.ceil(rows * PHRASE_SHARE))
+def _arrow(kind: str) -> pa.DataType:
+    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
 
 
-def fixed_phrases(docs: DataFrame, text_col: str) -> DataFrame:
-    """Short sentences (as their words in one form) that stand in many distinct texts.
+_ROWS = ("kind", "unit", "digest", "ids", "words", "key", "at", "around")
 
-    An item that leaks widely brings its own sentences here; ``leaks`` takes
-    those out again (``owned_sentences``).
 
-    Distinct texts are counted, so copies of one document make no phrase. The
-    result is small by construction: a text has few short sentences, and each
-    phrase takes up at least PHRASE_SHARE of the texts.
+def scan_documents(docs: DataFrame, doc_id: str, text_col: str, bits: np.ndarray) -> DataFrame:
+    """What one reading of the documents gives, as rows of three kinds.
+
+    0: a text (``unit``, its digest, the ids of the batch's rows that have it and, if it holds a seed, its words);
+    1: a seed (unit, key, place, the words around it); 2: a short sentence (key) of a text (digest).
+    Equal texts of a batch are one unit, so a text that fills a third of all
+    rows is worked on once per batch. Units are numbered by partition and order.
     """
+    id_type = docs.schema[doc_id].dataType.simpleString()
+    types = [pa.int8(), pa.int64(), pa.int64(), pa.list_(_arrow(id_type)), pa.binary(), pa.int64(), pa.int32(), pa.binary()]
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        form, memo = Canoniser(fold_case=True, strip_marks=True), {}
+        from pyspark import TaskContext
+
+        form, number, memo = Canoniser(fold_case=True, strip_marks=True), WordNumbers(), {}
+        unit = TaskContext.get().partitionId() << 33
+
+        def batch(n: int, kind: int, **cols: pa.Array) -> pa.RecordBatch:
+            have = cols | {"kind": pa.array(np.full(n, kind, np.int8))}
+            return pa.RecordBatch.from_arrays([have[c].cast(t) if c in have else pa.nulls(n, t) for c, t in zip(_ROWS, types)], names=list(_ROWS))
+
         for b in batches:
+            enc = b.column(1).dictionary_encode()
+            if not len(enc.dictionary):
+                continue
+            texts, code = enc.dictionary.to_pylist(), enc.indices.to_numpy(zero_copy_only=False)
+            order = np.argsort(code, kind="stable")
+            edges = np.searchsorted(code[order], np.arange(len(texts) + 1))
+            words = [number(words_of(t, form)) for t in texts]
+            flat, begin = _laid(words)
+            at, h = seeds(flat)
+            maybe = in_filter(bits, h)
+            at, h = at[maybe], h[maybe]
+            of = np.searchsorted(begin, at, "right") - 1
+            held = np.zeros(len(texts), bool)
+            held[of] = True
+            digests = [_digest(t) for t in texts]
+            units = unit + np.arange(len(texts))
+            unit += len(texts)
+            ids = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), b.column(0).take(pa.array(order)))
+            yield batch(len(texts), 0, unit=pa.array(units), digest=pa.array(digests, pa.int64()), ids=ids, words=pa.array([w.tobytes() if k else None for w, k in zip(words, held)], pa.binary()))
+            for k in range(0, len(at), 50_000):
+                s = slice(k, k + 50_000)
+                yield batch(len(at[s]), 1, unit=pa.array(units[of[s]]), key=pa.array(h[s].view(np.int64)), at=pa.array((at[s] - begin[of[s]]).astype(np.int32)), around=_around(flat, at[s], _SHIFT, 0))
             said, where = [], []
-            for t in b.column(0).unique().to_pylist():
-                if t:
-                    short = _short_sentences(t, form, memo)
-                    said += short
-                    where += [_digest(t)] * len(short)
-            yield pa.RecordBatch.from_arrays([pa.array(said, pa.string()), pa.array(where, pa.int64())], names=["phrase", "text"])
+            for t, d in zip(texts, digests):
+                own = short_sentences(t, form, number, memo)
+                said += own
+                where += [d] * len(own)
+            yield batch(len(said), 2, key=pa.array(said, pa.int64()), digest=pa.array(where, pa.int64()))
 
-    texts = docs.select(text_col).mapInArrow(work, "phrase string, text long")
-    per = texts.distinct().groupBy("phrase").agg(F.count(F.lit(1)).alias("n_texts"))
-    total = docs.select(F.count(F.lit(1)).alias("__n"))
-    return per.crossJoin(F.broadcast(total)).filter(F.col("n_texts") >= F.greatest(F.lit(PHRASE_LEAST), F.ceil(F.col("__n") * PHRASE_SHARE))).select("phrase", "n_texts")
+    rows = docs.select(doc_id, text_col).filter(F.col(text_col).isNotNull() & (F.col(text_col) != ""))
+    return rows.mapInArrow(work, f"kind byte, unit long, digest long, ids array<{id_type}>, words binary, key long, at int, around binary")
 
 
-def owned_sentences(docs: DataFrame, text_col: str, blocks: Iterable[Broadcast]) -> DataFrame:
-    """(phrase, n_owned): in how many distinct texts a sentence stands that leak, every word counted, an item with it.
+def item_words(items: DataFrame, item_id: str, item_text: str) -> DataFrame:
+    """(item, id, words as 32-bit numbers) of every item text of at least MIN_WORDS words; ``item`` is a number of its own per id and text."""
+    kind = items.schema[item_id].dataType.simpleString()
 
-    The blocks are ItemBlocks in which all words count.
-    """
-    found = None
-    for block in blocks:
-
-        def work(batches: Iterable[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            index, form, memo = block.value, Canoniser(fold_case=True, strip_marks=True), {}
-            get = index.vocabulary.get
-            for b in batches:
-                texts = [t for t in b.column(0).unique().to_pylist() if t]
-                said, where = [], []
-                for t, hit in zip(texts, leaked_items([np.array([get(w, 0) for w in words_of(t, form)], np.int64) for t in texts], index)):
-                    if hit:
-                        own = set().union(*(index.held[k] for k in hit)).intersection(_short_sentences(t, form, memo))
-                        said += sorted(own)
-                        where += [_digest(t)] * len(own)
-                yield pa.RecordBatch.from_arrays([pa.array(said, pa.string()), pa.array(where, pa.int64())], names=["phrase", "text"])
-
-        one = docs.select(text_col).mapInArrow(work, "phrase string, text long")
-        found = one if found is None else found.unionByName(one)
-    return found.distinct().groupBy("phrase").agg(F.count(F.lit(1)).alias("n_owned"))
-
-
-class ItemBlock:
-    """The items of a block as numbered words, with the sorted hashes of their seeds.
-
-    ``held`` are the phrases in each item; with ``count_all`` their words count like others.
-    """
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        form, number = Canoniser(fold_case=True, strip_marks=True), WordNumbers()
+        for b in batches:
+            made = [number(words_of(t, form)) for t in b.column(2).to_pylist()]
+            ok = pa.array([len(w) >= MIN_WORDS for w in made], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([w.tobytes() for w in made], pa.binary())], names=["item", "id", "words"]).filter(ok)
+
+    some = items.select(F.col(item_id).alias("id"), F.col(item_text).alias("t")).filter("id IS NOT NULL AND t IS NOT NULL AND t <> ''").distinct()
+    return some.select(F.xxhash64("id", "t").alias("item"), "id", "t").mapInArrow(work, f"item long, id {kind}, words binary")
+
+
+def item_seeds(words: DataFrame) -> DataFrame:
+    """(key, item, around) of every seed of every item."""
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                flat, begin = _laid([np.frombuffer(w, np.uint32) for w in b.column("words").to_pylist()])
+                at, h = seeds(flat)
+                of = np.searchsorted(begin, at, "right") - 1
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), b.column(0).take(pa.array(of)), _around(flat, at, 0, 255)], names=["key", "item", "around"])
+
+    return words.mapInArrow(work, "key long, item long, around binary")
 
-    def __init__(self, items: list[tuple[int, str]], phrases: list[str], count_all: bool = False):
-        form = Canoniser(fold_case=True, strip_marks=True)
-        lists = [(i, words_of(t, form)) for i, t in items if t]
-        self.vocabulary: dict[str, int] = {}
-        number = lambda w: self.vocabulary.setdefault(w, len(self.vocabulary) + 1)
-        self.item_ids = [i for i, _ in lists]
-        self.items = [np.array([number(w) for w in ws], np.int64) for _, ws in lists]
-        known: dict[int, dict[tuple[int, ...], str]] = {}
-        for p in phrases:
-            ws = p.split(" ")
-            if all(w in self.vocabulary for w in ws):
-                known.setdefault(len(ws), {})[tuple(self.vocabulary[w] for w in ws)] = p
-        self.content, self.held = [], []
-        for ids in self.items:
-            fixed, held = np.zeros(len(ids), bool), set()
-            for n, seqs in known.items():
-                for p in range(len(ids) - n + 1):
-                    if (phrase := seqs.get(tuple(ids[p : p + n].tolist()))) is not None:
-                        fixed[p : p + n] = not count_all
-                        held.add(phrase)
-            self.content.append(~fixed)
-            self.held.append(held)
-        hs, it, at = [], [], []
-        for k, ids in enumerate(self.items):
-            h = _hashes(ids, SEED)
-            live = np.array([self.content[k][p : p + SEED].any() for p in range(len(h))], bool) if len(h) else np.empty(0, bool)
-            hs.append(h[live])
-            at.append(np.flatnonzero(live))
-            it.append(np.full(int(live.sum()), k))
-        h = np.concatenate(hs) if hs else np.empty(0, np.uint64)
-        order = np.argsort(h, kind="stable")
-        self.seed, self.seed_item, self.seed_at = h[order], np.concatenate(it or [[]])[order].astype(np.int64), np.concatenate(at or [[]])[order].astype(np.int64)
-        self.bits = np.zeros(1 << 22, bool)
-        self.bits[(self.seed & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
-        # All items in one array with blanks between, for comparing around many seeds at once.
-        pos, offset, parts, flags = _PAD, [], [np.full(_PAD, -1, np.int32)], [np.zeros(_PAD, bool)]
-        for ids, c in zip(self.items, self.content):
-            offset.append(pos)
-            parts += [ids.astype(np.int32), np.full(_PAD, -1, np.int32)]
-            flags += [c, np.zeros(_PAD, bool)]
-            pos += len(ids) + _PAD
-        self.flat, self.flat_content = np.concatenate(parts), np.concatenate(flags)
-        self.seed_flat = np.array(offset, np.int64)[self.seed_item] + self.seed_at if len(self.seed) else np.empty(0, np.int64)
-
-
-#: How far around a seed words are compared, by how much they may be shifted, and the blanks that keep texts apart.
-_AROUND, _SHIFT, _PAD = np.arange(SEED - MIN_WORDS - 1, MIN_WORDS), MIN_WORDS // PER_ERROR, 24
-
-
-def candidates(flat: np.ndarray, block: ItemBlock) -> tuple[np.ndarray, np.ndarray]:
-    """(place, item number) of the seeds whose surroundings agree, in texts laid end to end with blanks (0) between."""
-    h = _hashes(flat, SEED)
-    hit = np.flatnonzero(block.bits[(h & np.uint64(len(block.bits) - 1)).astype(np.int64)])
-    lo, hi = np.searchsorted(block.seed, h[hit], "left"), np.searchsorted(block.seed, h[hit], "right")
-    n = hi - lo
-    at = np.repeat(hit, n)
-    row = np.repeat(lo, n) + np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
-    keep = np.zeros(len(at), bool)
-    for a in range(0, len(at), 20_000):
-        sl = slice(a, a + 20_000)
-        here, there = at[sl], block.seed_flat[row[sl]]
-        want = block.flat[there[:, None] + _AROUND]
-        # The blanks beyond an item's ends (-1) match nothing; the blanks between items are wider than the window.
-        same = np.zeros(want.shape, bool)
-        for d in range(-_SHIFT, _SHIFT + 1):
-            same |= flat[here[:, None] + _AROUND + d] == want
-        # A passage with one word in six wrong has a stretch of twelve with two wrong at most, and a seed in it.
-        run = np.cumsum(same, axis=1, dtype=np.int16)
-        keep[sl] = (run[:, MIN_WORDS:] - run[:, :-MIN_WORDS]).max(1) >= MIN_WORDS - MIN_WORDS // PER_ERROR
-    return at[keep], block.seed_item[row[keep]]
+
+def agreeing(pairs: DataFrame) -> DataFrame:
+    """(unit, item, at) of the seed pairs with ten words of some twelve around them alike, shifted by two at most."""
+    width, wide = _BEFORE + _AFTER, _BEFORE + _AFTER + 2 * _SHIFT
+
+    def plain(a: pa.Array, n: int) -> np.ndarray:
+        return np.frombuffer(b"".join(a.to_pylist()), np.uint8).reshape(-1, n)
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                doc, want = plain(b.column(3), wide), plain(b.column(4), width)
+                same = np.zeros(want.shape, bool)
+                for d in range(2 * _SHIFT + 1):
+                    same |= doc[:, d : d + width] == want
+                run = np.cumsum(np.concatenate([np.zeros((len(same), 1), bool), same], axis=1), axis=1, dtype=np.int16)
+                keep = (run[:, MIN_WORDS:] - run[:, :-MIN_WORDS]).max(1) >= MIN_WORDS - MIN_WORDS // PER_ERROR
+                yield b.select(["unit", "item", "at"]).filter(pa.array(keep))
+
+    return pairs.select("unit", "item", "at", "d_around", "i_around").mapInArrow(work, "unit long, item long, at int")
 
 
 def tiles(a: np.ndarray, b: np.ndarray, least: int = 1) -> list[tuple[int, int, int]]:
@@ -248,13 +295,13 @@ def tiles(a: np.ndarray, b: np.ndarray, least: int = 1) -> list[tuple[int, int,
     return out
 
 
-def holds_passage(a: np.ndarray, b: np.ndarray, content: np.ndarray) -> bool:
-    """Whether a chain of tiles in order covers MIN_WORDS words of b that are not fixed phrases,
-    with no more than one word in PER_ERROR changed, missing or added."""
-    t = sorted(tiles(a, b), key=lambda x: (x[1], x[0]))
+def chain_holds(t: list[tuple[int, int, int]], content: np.ndarray) -> bool:
+    """Whether a chain of tiles in order covers MIN_WORDS words of the item (``content`` marks those that are no fixed
+    phrases) with no more than one word in PER_ERROR changed, missing or added."""
+    t = sorted(t, key=lambda x: (x[1], x[0]))
     words = np.concatenate([[0], np.cumsum(content)]).tolist()
     # No passage has a gap of more errors than the whole item allows; tiles do not overlap, so each has few before it.
-    widest = len(b) // PER_ERROR
+    widest = len(content) // PER_ERROR
     before: list[list[tuple[int, int]]] = []  # per tile the tiles that may go before it, with the errors between
     for j, (p, q, _) in enumerate(t):
         near, i = [], j - 1
@@ -281,91 +328,126 @@ def holds_passage(a: np.ndarray, b: np.ndarray, content: np.ndarray) -> bool:
     return False
 
 
-def leaked_items(docs: list[np.ndarray], block: ItemBlock) -> list[list[int]]:
-    """Per document the numbers of the block's items of which it holds a passage in one place."""
-    parts, begin, pos = [np.zeros(_PAD, np.int64)], [], _PAD
-    for d in docs:
-        begin.append(pos)
-        parts += [d, np.zeros(_PAD, np.int64)]
-        pos += len(d) + _PAD
-    out: list[list[int]] = [[] for _ in docs]
-    at, item = candidates(np.concatenate(parts), block)
-    doc = np.searchsorted(np.array(begin, np.int64), at, "right") - 1
-    done: set[tuple[int, int]] = set()
-    reached: dict[tuple[int, int], int] = {}
-    for k in np.lexsort((at, item, doc)).tolist():
-        key = (int(doc[k]), int(item[k]))
-        p, b = int(at[k]) - begin[key[0]], block.items[key[1]]
-        reach = len(b) + 16
-        # A stretch already tiled holds the seeds of its inner part with all that surrounds them.
-        if key in done or p < reached.get(key, -reach) - reach // 2:
-            continue
-        reached[key] = p + reach
-        text = docs[key[0]]
-        if holds_passage(text[max(0, p - reach) : p + reach], b, block.content[key[1]]):
-            done.add(key)
-            out[key[0]].append(key[1])
-    return out
+def holds_passage(a: np.ndarray, b: np.ndarray, content: np.ndarray) -> bool:
+    """Whether text ``a`` holds a passage of item ``b``; see ``chain_holds``."""
+    return chain_holds(tiles(a, b), content)
+
+
+def tiled(found: DataFrame) -> DataFrame:
+    """(unit, digest, item, id, words of the item, tiles) of every stretch of a text that holds a passage, all words counted.
+
+    ``found`` has unit, digest, item, id, ats (places of seeds), words (of the text), i_words.
+    """
+    kind = found.schema["id"].dataType.simpleString()
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row, size, made = [], [], []
+            for r, (ats, text, item) in enumerate(zip(*(b.column(k).to_pylist() for k in ("ats", "words", "i_words")))):
+                a, i = np.frombuffer(text, np.uint32), np.frombuffer(item, np.uint32)
+                reach, last = len(i) + 16, None
+                for p in ats:
+                    # A stretch already tiled holds the seeds of its inner part with all that surrounds them.
+                    if last is not None and p < last + reach // 2:
+                        continue
+                    last = p
+                    t = tiles(a[max(0, p - reach) : p + reach], i)
+                    if chain_holds(t, np.ones(len(i), bool)):
+                        row.append(r)
+                        size.append(len(i))
+                        made.append(np.array(t, np.int32).tobytes())
+            at = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(b.column(k).take(at) for k in ("unit", "digest", "item", "id")), pa.array(size, pa.int32()), pa.array(made, pa.binary())], names=["unit", "digest", "item", "id", "size", "tiles"])
+
+    return found.select("unit", "digest", "item", "id", "ats", "words", "i_words").mapInArrow(work, f"unit long, digest long, item long, id {kind}, size int, tiles binary")
+
+
+def phrase_places(words: DataFrame, bits: np.ndarray) -> DataFrame:
+    """(key, item, first, n): where in an item a sequence of 2 to PHRASE_WORDS words stands that may be in the bit set."""
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row, key, first, size = [], [], [], []
+            for r, raw in enumerate(b.column("words").to_pylist()):
+                w = np.frombuffer(raw, np.uint32)
+                for n in range(2, PHRASE_WORDS + 1):
+                    h = _hashes(w, n) + np.uint64(n)
+                    for p in np.flatnonzero(in_filter(bits, h)).tolist():
+                        row.append(r)
+                        key.append(int(h[p : p + 1].view(np.int64)[0]))
+                        first.append(p)
+                        size.append(n)
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), b.column("item").take(pa.array(row, pa.int64())), pa.array(first, pa.int32()), pa.array(size, pa.int32())], names=["key", "item", "first", "n"])
+
+    return words.mapInArrow(work, "key long, item long, first int, n int")
+
+
+def kept(found: DataFrame) -> DataFrame:
+    """(unit, id) of the stretches that hold a passage also when the words of fixed phrases (``fixed``: first, n) do not count."""
+    kind = found.schema["id"].dataType.simpleString()
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = []
+            for size, raw, fixed in zip(*(b.column(k).to_pylist() for k in ("size", "tiles", "fixed"))):
+                content = np.ones(size, bool)
+                for x in fixed or ():
+                    content[x["first"] : x["first"] + x["n"]] = False
+                ok.append(not fixed or chain_holds([tuple(x) for x in np.frombuffer(raw, np.int32).reshape(-1, 3).tolist()], content))
+            yield b.select(["unit", "id"]).filter(pa.array(ok, pa.bool_()))
+
+    return found.select("unit", "id", "size", "tiles", "fixed").mapInArrow(work, f"unit long, id {kind}")
 
 
-def leaks(docs: DataFrame, doc_id: str, text_col: str, items: DataFrame, item_id: str, item_text: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def leaks(docs: DataFrame, doc_id: str, text_col: str, items: DataFrame, item_id: str, item_text: str) -> DataFrame:
     """(doc_id, item_id) of every document row that holds a passage of an item.
 
-    Whole texts are read; null and empty texts and items of fewer than
-    MIN_WORDS words give no row. Each copy of a document counts by its own row;
-    repeated (doc, item) rows are reduced to one. Reads the items and the fixed
-    phrases when called.
+    Whole texts are read, once; null and empty texts, null ids and items of
+    fewer than MIN_WORDS words give no row. Each copy of a document counts by
+    its own row; repeated (doc, item) rows are reduced to one. Several texts
+    under one item id are all looked for. Starts jobs when called.
 
     A sentence is a fixed phrase by the texts that say it without leaking an
     item that holds it, so an item's own sentences count however widely it
     leaks. One said only where one item leaks cannot be told from the item.
     """
-    spark = docs.sparkSession
-    d_type, i_type = (x.simpleString() for x in (docs.schema[doc_id].dataType, items.schema[item_id].dataType))
-    said = {r[0]: r[1] for r in fixed_phrases(docs, text_col).orderBy("phrase").toLocalIterator()}
-    some = items.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).filter("t IS NOT NULL AND t <> ''")
-    chars = some.agg(F.sum(F.length("t"))).first()[0] or 0
-    n_blocks = max(1, math.ceil(chars / block_chars))
-    schema = f"`{doc_id}` {d_type}, `{item_id}` {i_type}"
-    rows = docs.select(doc_id, text_col).filter(F.col(text_col).isNotNull() & (F.col(text_col) != ""))
-
-    def block_of(n: int, phrases: list[str], count_all: bool = False) -> Broadcast | None:
-        part = [(r[0], r[1]) for r in some.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n_blocks)) == n).orderBy("i", "t").collect()]
-        whole = ItemBlock(part, phrases, count_all)
-        if count_all:
-            # Only items that hold a sentence in question matter.
-            of = {i for i, held in zip(whole.item_ids, whole.held) if held}
-            if not of:
-                return None
-            whole = ItemBlock([x for x in part if x[0] in of], phrases, count_all)
-        # A plain namespace: workers need none of this module's classes to read it.
-        return spark.sparkContext.broadcast(SimpleNamespace(**vars(whole)))
-
-    asked = [b for b in (block_of(n, list(said), True) for n in range(n_blocks)) if b is not None] if said else []
-    owned = {r[0]: r[1] for r in owned_sentences(rows, text_col, asked).toLocalIterator()} if asked else {}
-    least = _phrase_floor(docs.count()) if owned else 0
-    phrases = [p for p, c in said.items() if c - owned.get(p, 0) >= least]
-    found = None
-    for n in range(n_blocks):
-        block = block_of(n, phrases)
-
-        def work(batches: Iterable[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            index, form = block.value, Canoniser(fold_case=True, strip_marks=True)
-            get = index.vocabulary.get
-            for b in batches:
-                enc = b.column(1).dictionary_encode()
-                per = leaked_items([np.array([get(w, 0) for w in words_of(t, form)], np.int64) for t in enc.dictionary.to_pylist()], index)
-                rows_at, its = [], []
-                for r, c in enumerate(enc.indices.to_pylist()):
-                    for k in per[c]:
-                        rows_at.append(r)
-                        its.append(index.item_ids[k])
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows_at, pa.int64())), pa.array(its).cast(_arrow(i_type)) if its else pa.array([], _arrow(i_type))], names=[doc_id, item_id])
-
-        one = rows.mapInArrow(work, schema)
-        found = one if found is None else found.unionByName(one)
-    return found.distinct()
+    words = written(item_words(items, item_id, item_text))
+    asked = item_seeds(words)
+    log2 = filter_bits(5 * (words.agg(F.sum(F.length("words") / 4)).first()[0] or 0))
+    read = written(scan_documents(docs, doc_id, text_col, key_filter(asked, F.col("key"), log2)), "kind")
+    units = read.filter("kind = 0").select("unit", "digest", "ids", "words")
+    own = read.filter("kind = 1").select("key", "unit", "at", F.col("around").alias("d_around"))
+    said = read.filter("kind = 2").select("key", "digest").distinct()
+
+    # Only seeds that some document may hold are shuffled on the items' side.
+    n_own = own.count()
+    theirs = _passing(asked, key_filter(own, F.col("key"), filter_bits(n_own))).select("key", "item", F.col("around").alias("i_around"))
+    pairs = salted_join(own, theirs, "key", hot_keys(own, "key", n_own), ["unit", "at"])
+    near = written(agreeing(pairs).groupBy("unit", "item").agg(F.array_sort(F.collect_set("at")).alias("ats")))
+    numbered = words.select("item", "id", F.col("words").alias("i_words"))
+    n_near = near.count()
+    some = _passing(units.filter("words IS NOT NULL"), key_filter(near, F.xxhash64("unit"), filter_bits(n_near)), "unit")
+    full = salted_join(near.join(some.select("unit", "digest", "words"), "unit"), numbered, "item", hot_keys(near, "item", n_near), ["unit"])
+    leaked = written(tiled(full))
+
+    least = max(PHRASE_LEAST, math.ceil(units.select("digest").distinct().count() * PHRASE_SHARE))
+    often = written(said.groupBy("key").agg(F.count(F.lit(1)).alias("n_texts")).filter(F.col("n_texts") >= least))
+    places = phrase_places(words, key_filter(often, F.col("key"), filter_bits(often.count(), 23))).join(often, "key")
+    hot_items = hot_keys(leaked, "item", leaked.count())
+    owned = salted_join(leaked.select("digest", "item").distinct(), places.select("item", "key").distinct(), "item", hot_items, ["digest"]).select("key", "digest").distinct()
+    n_owned = owned.join(said, ["key", "digest"], "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("n_owned"))
+    fixed = often.join(n_owned, "key", "left").filter(F.col("n_texts") - F.coalesce("n_owned", F.lit(0)) >= least)
+    marks = places.join(fixed.select("key"), "key", "left_semi").groupBy("item").agg(F.collect_set(F.struct("first", "n")).alias("fixed"))
+    final = kept(salted_join(leaked, marks, "item", hot_items, ["unit"], "left"))
+    rows = final.distinct().join(units.select("unit", F.explode("ids").alias(doc_id)), "unit").filter(F.col(doc_id).isNotNull())
+    return rows.select(doc_id, F.col("id").alias(item_id)).distinct()
+
+
+def _passing(df: DataFrame, bits: np.ndarray, key: str | None = None) -> DataFrame:
+    """Rows whose ``key`` column (itself a hash, or with ``key`` given the xxhash64 of that column) may be in the bit set."""
+    hashed = df.withColumn("__h", F.xxhash64(key) if key else F.col("key"))
 
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(in_filter(bits, b.column("__h").to_numpy(zero_copy_only=False).view(np.uint64))))
 
-def _arrow(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    return hashed.mapInArrow(work, hashed.schema).drop("__h")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from plenora.llm import queries as Q
 from plenora.llm.canon import Canoniser, canonical, look_alike_pairs, look_alike_rows
 from plenora.llm.groupsplit import assign_splits, components, label_profiles, min_cost_quotas, part_of, plan_rows
-from plenora.llm.leakage import ItemBlock, fixed_phrases, holds_passage, leaked_items, leaks, tiles, words_of
+from plenora.llm.leakage import holds_passage, leaks, seeds, tiles
 from plenora.llm.names import _near, attribute, learn_lexicon, linked_pairs, name_readings, surname_neighbours
 from plenora.llm.packing import first_fit_decreasing, pack, token_counts
 from plenora.llm.sampling import consistent_sample, inclusion_weights, stored_state
@@ -283,23 +283,45 @@ def test_leaks(spark):
     i = spark.createDataFrame([(k, " ".join(w)) for k, w in items] + [(99, None), (98, "short one")], "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in leaks(d, "doc_id", "text", i, "item_id", "text").collect()}
     assert got == want
-    blocks = {(r.doc_id, r.item_id) for r in leaks(d, "doc_id", "text", i, "item_id", "text", block_chars=1500).collect()}
-    assert blocks == want
+    twice = {(r.doc_id, r.item_id) for r in leaks(d.union(d), "doc_id", "text", i.union(i).withColumn("words", F.lit(1)), "item_id", "text").collect()}
+    assert twice == want
     assert leaks(d.filter("false"), "doc_id", "text", i, "item_id", "text").count() == 0
     assert leaks(d, "doc_id", "text", i.filter("false"), "item_id", "text").count() == 0
 
 
+def test_every_short_passage_holds_a_seed():
+    rnd = random.Random(3)
+    for _ in range(300):
+        item = np.arange(1, 13, dtype=np.uint32)
+        text = item.tolist()
+        for _ in range(2):
+            p, kind = rnd.randrange(len(text)), rnd.choice("change add drop".split())
+            text[p : p + (kind != "add")] = [] if kind == "drop" else [900 + rnd.randrange(90)]
+        pad = lambda x: np.concatenate([np.zeros(24, np.uint32), np.array(x, np.uint32), np.zeros(24, np.uint32)])
+        if sum(x < 900 for x in text) >= 10:
+            assert set(seeds(pad(item))[1].tolist()) & set(seeds(pad(text))[1].tolist())
+
+
 def test_fixed_phrases_do_not_count(spark):
     rnd = random.Random(5)
     phrase = "please keep order in this room now"
+    item = " ".join(_sentence(rnd, 8))
     docs = [(k, f"{' '.join(_sentence(rnd, 30))}. {phrase}. {' '.join(_sentence(rnd, 9))}") for k in range(40)] + [(100 + k, "same text again. " * 3) for k in range(50)]
-    found = {r.phrase for r in fixed_phrases(spark.createDataFrame(docs, "id long, t string"), "t").collect()}
-    assert found == {phrase}
-    item = _sentence(rnd, 8)
-    block = ItemBlock([(1, phrase + ". " + " ".join(item))], [phrase])
-    form = Canoniser(fold_case=True, strip_marks=True)
-    ids = lambda t: np.array([block.vocabulary.get(w, 0) for w in words_of(t, form)], np.int64)
-    assert leaked_items([ids(f"x {phrase}. {' '.join(item)} y")], block) == [[]]
+    docs += [(200, f"x. {phrase}. {item} y"), (201, f"x. {item} and more. {phrase}")]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    i = spark.createDataFrame([(1, f"{phrase}. {item}"), (2, f"{phrase} {' '.join(_sentence(rnd, 12))}")], "item_id long, text string")
+    assert leaks(d, "doc_id", "text", i, "item_id", "text").count() == 0  # eight words beside the phrase
+    few = d.filter("doc_id >= 198 OR doc_id < 3")
+    assert [tuple(r) for r in leaks(few, "doc_id", "text", i, "item_id", "text").collect()] == [(200, 1)]  # three texts make no phrase
+
+
+@pytest.mark.parametrize("copies", [3, 6, 90])
+def test_widely_leaked_short_sentences_are_found(spark, copies):
+    rnd = random.Random(copies)
+    item = ". ".join(" ".join(_sentence(rnd, 7)) for _ in range(3)) + "."
+    docs = [(k, f"{' '.join(_sentence(rnd, 40))}. " + (item if k < copies else "") + f" {' '.join(_sentence(rnd, 20))}.") for k in range(200)]
+    got = leaks(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text", spark.createDataFrame([(7, item)], "item_id long, text string"), "item_id", "text")
+    assert {r.doc_id for r in got.collect()} == set(range(copies))
 
 
 # ---- truncation -------------------------------------------------------------
@@ -315,7 +337,6 @@ def test_sentences_of_a_widely_leaked_item_count(spark):
     docs += [(200, f"{' '.join(_sentence(rnd, 30))}. {own[2]}. {own[3][:-6]} {phrase}")]  # ten words and a phrase
     d = spark.createDataFrame(docs, "doc_id long, text string")
     i = spark.createDataFrame([(1, item)], "item_id long, text string")
-    assert {r.phrase for r in fixed_phrases(d, "text").collect()} == {*own, phrase}
     assert {r.doc_id for r in leaks(d, "doc_id", "text", i, "item_id", "text").collect()} == set(range(30))
 
 

@@ -43,20 +43,24 @@ def salted_join(left: DataFrame, right: DataFrame, on: str, hot: Sequence, sprea
     return left.withColumn("__salt", salt).join(right.withColumn("__salt", F.explode(copies)), [on, "__salt"], how).drop("__salt")
 
 
+#: Where in a hash the probes of a bit set begin.
+_PROBES = (0, 17, 34)
+
+
 def filter_bits(n: int, most: int = 30) -> int:
-    """log2 of the size of a bit set for ``n`` hashes: about eight bits each, at most 2**most bits (2**30: 128 MB)."""
-    return int(min(most, max(16, np.ceil(np.log2(8.0 * max(n, 1))))))
+    """log2 of the size of a bit set for ``n`` hashes: 16 to 32 bits each, which let at most one in 200 others through, and at most 2**most bits (2**30: 128 MB)."""
+    return int(min(most, max(16, np.ceil(np.log2(16.0 * max(n, 1))))))
 
 
 def key_filter(df: DataFrame, key: Column, log2_bits: int) -> np.ndarray:
-    """64-bit words of a bit set of ``2**log2_bits`` bits in which the low bits of every hash are set.
+    """64-bit words of a bit set of ``2**log2_bits`` bits in which three bits of every 64-bit hash are set.
 
     The words are made by an aggregate, so what comes to the driver is at most
     the bit set itself, however many hashes there are. Never misses a hash that
     was put in; a full set only lets more through.
     """
-    low = key.bitwiseAND(F.lit((1 << log2_bits) - 1))
-    words = df.select(F.shiftright(low, 6).alias("i"), F.call_function("shiftleft", F.lit(1).cast("long"), low.bitwiseAND(F.lit(63)).cast("int")).alias("w"))
+    low = df.select(F.explode(F.array(*[F.shiftrightunsigned(key, p).bitwiseAND(F.lit((1 << log2_bits) - 1)) for p in _PROBES])).alias("x"))
+    words = low.select(F.shiftright("x", 6).alias("i"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("x").bitwiseAND(F.lit(63)).cast("int")).alias("w"))
     got = words.groupBy("i").agg(F.bit_or("w").alias("w")).toArrow()
     out = np.zeros(1 << (log2_bits - 6), np.int64)
     out[got.column("i").to_numpy()] = got.column("w").to_numpy()
@@ -65,5 +69,10 @@ def key_filter(df: DataFrame, key: Column, log2_bits: int) -> np.ndarray:
 
 def in_filter(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Whether each (uint64) hash may be in the set."""
-    low = hashes & np.uint64(len(bits) * 64 - 1)
-    return (bits[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63))) & np.uint64(1) != 0
+    mask, out = np.uint64(len(bits) * 64 - 1), np.zeros(len(hashes), bool)
+    live = np.arange(len(hashes))
+    for p in _PROBES:
+        low = (hashes[live] >> np.uint64(p)) & mask
+        live = live[(bits[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63))) & np.uint64(1) != 0]
+    out[live] = True
+    return out

@@ -4,19 +4,24 @@ Records that share a meeting or a person form connected components; a
 component goes into one split as a whole. Components of the same size and label
 profile are bundled, a min-cost flow fills the splits' quotas from the bundles
 (cost: rows that leave the part they had, and rows beyond a quota), the flow is
-rounded to whole components, and the members of a bundle take their split by
-the order of their hashes. Only the bundles, whose number is bounded by the
-kinds of size and profile, reach the driver.
+rounded to whole components at the least cost that moves and swaps of components
+find, and the members of a bundle take their split by the order of their hashes.
+Only the bundles, whose number is bounded by the kinds of size and profile,
+reach the driver.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plenora.operators.chunked import running_sum
-from plenora.session import cut_lineage
+from plenora.operators.skew import hot_keys, salted_join
+from plenora.session import cut_lineage, written
 
 PARTS = ("train", "dev", "test")
 # Spellings that plainly mean a part, in lower case.
@@ -27,6 +32,8 @@ SPELLINGS = {
 }
 #: Sizes up to this are bundled exactly, larger ones by sixteenths of an octave.
 EXACT_SIZE = 64
+#: So many edges of a spanning forest are joined up in one task; more take star rounds.
+ONE_TASK_EDGES = 1_000_000
 
 
 def part_of(col: Column) -> Column:
@@ -49,32 +56,56 @@ def plan_rows(plan: DataFrame) -> DataFrame:
     return plan.select("chunk_id", meeting_of(F.col("session")).alias("meeting"), F.when(F.col("speaker_id") > 0, F.col("speaker_id")).alias("speaker"), part_of(F.col("part")).alias("part"))
 
 
-def label_profiles(rows: DataFrame) -> DataFrame:
+def label_profiles(rows: DataFrame, *more: Column) -> DataFrame:
     """Per meeting and per person: rows in all and in each part, and the number of parts.
 
     A map-side aggregate over one exploded copy; a person with a third of all
     rows is one row per task after it. Output: group_kind, group_id, n_rows,
-    n_train, n_dev, n_test, n_parts.
+    n_train, n_dev, n_test, n_parts and ``more`` aggregates.
     """
-    each = rows.select("part", F.explode(F.array(F.struct(F.lit("session").alias("k"), F.col("meeting").alias("i")), F.struct(F.lit("speaker").alias("k"), F.col("speaker").alias("i")))).alias("g")).filter("g.i IS NOT NULL")
+    each = rows.select("*", F.explode(F.array(F.struct(F.lit("session").alias("k"), F.col("meeting").alias("i")), F.struct(F.lit("speaker").alias("k"), F.col("speaker").alias("i")))).alias("g")).filter("g.i IS NOT NULL")
     counts = [F.count_if(F.col("part") == p).alias(f"n_{p}") for p in PARTS]
-    per = each.groupBy(F.col("g.k").alias("group_kind"), F.col("g.i").alias("group_id")).agg(F.count(F.lit(1)).alias("n_rows"), *counts)
+    per = each.groupBy(F.col("g.k").alias("group_kind"), F.col("g.i").alias("group_id")).agg(F.count(F.lit(1)).alias("n_rows"), *counts, *more)
     return per.withColumn("n_parts", sum(((F.col(f"n_{p}") > 0).cast("int") for p in PARTS), F.lit(0)))
 
 
-def components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
-    """Connected components of an undirected graph: node, component (its least node).
+def forest(edges: DataFrame, last: bool = False) -> DataFrame:
+    """(u, v) of long ids, v < u: each partition's edges by union-find reduced to the links of its nodes to the least node
+    that they are joined to, so never more edges than nodes. ``last``: the nodes' own components, least nodes included."""
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        boss: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (y := boss.setdefault(x, x)) != x:
+                boss[x] = x = boss.setdefault(y, y)
+            return x
+
+        for b in batches:
+            for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                x, y = find(x), find(y)
+                if x != y:
+                    boss[max(x, y)] = min(x, y)
+        links = [(x, r) for x in boss if (r := find(x)) != x or last]
+        for k in range(0, len(links), 100_000):
+            part = links[k : k + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in part], pa.int64()), pa.array([r for _, r in part], pa.int64())], names=["u", "v"])
+
+    return edges.mapInArrow(work, "u long, v long")
+
 
-    Alternating large-star and small-star rounds; each takes minima (map-side
-    aggregates) and one join, and is written to the checkpoint folder. Stops
-    when a round changes nothing; raises if ``max_rounds`` do not suffice.
+def star_rounds(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+    """Connected components (node, component) by alternating large-star and small-star rounds.
+
+    Each round takes minima (map-side aggregates) and one join, in which hubs
+    are salted, and is written to the checkpoint folder. Stops when a round
+    changes nothing; raises if ``max_rounds`` do not suffice.
     """
-    e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v").distinct()
-    both = e.union(e.select("v", "u")).distinct()
-    cur, mark = cut_lineage(both), None
+    cur, mark = cut_lineage(links.union(links.select("v", "u")).distinct()), None
     for _ in range(max_rounds):
         near = cur.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = cur.join(near, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        hubs = hot_keys(cur, "u", cur.count())
+        large = salted_join(cur, near, "u", hubs, ["v"]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # Every row now points from a node to a smaller one (or itself, dropped).
         down = large.filter("v < u")
         low = down.groupBy("u").agg(F.min("v").alias("m"))
@@ -83,12 +114,25 @@ def components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFr
         cur = cut_lineage(sym.union(sym.select("v", "u")))
         state = cur.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         if state == mark:
-            stars = cur.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("component"))
-            return stars.withColumnRenamed("u", "node")
+            return cur.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.col("u")).alias("component"))
         mark = state
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
+def components(edges: DataFrame, a: str, b: str, one_task: int = ONE_TASK_EDGES) -> DataFrame:
+    """Connected components of an undirected graph of long ids: node, component (its least node).
+
+    Every partition first reduces its edges to a spanning forest. If no more
+    than ``one_task`` edges are left, one task joins them up; otherwise star
+    rounds do, with the same result.
+    """
+    e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v").distinct()
+    links = written(forest(e))
+    if links.count() <= one_task:
+        return forest(links.coalesce(1), last=True).select(F.col("u").alias("node"), F.col("v").alias("component"))
+    return star_rounds(links)
+
+
 def row_components(rows: DataFrame) -> DataFrame:
     """``rows`` with ``component``: shared by all rows linked through meetings and persons.
 
@@ -96,10 +140,12 @@ def row_components(rows: DataFrame) -> DataFrame:
     """
     m, s = F.col("meeting") * 2, F.col("speaker") * 2 + 1
     linked = rows.select(F.coalesce(m, s).alias("a"), F.coalesce(s, m).alias("b")).filter("a IS NOT NULL").distinct()
-    comp = components(linked, "a", "b")
-    named = rows.withColumn("__node", F.coalesce(m, s)).join(comp, F.col("__node") == F.col("node"), "left")
+    comp = written(components(linked, "a", "b"))
+    own = rows.withColumn("__node", F.coalesce(m, s))
+    hubs = hot_keys(own, "__node", own.count())
+    named = salted_join(own, comp.withColumnRenamed("node", "__node"), "__node", hubs, ["chunk_id"], "left")
     alone = F.concat(F.lit("row:"), F.coalesce("chunk_id", F.lit("")))
-    return named.withColumn("component", F.when(F.col("__node").isNull(), alone).otherwise(F.coalesce("component", "__node").cast("string"))).drop("__node", "node")
+    return named.withColumn("component", F.when(F.col("__node").isNull(), alone).otherwise(F.coalesce("component", "__node").cast("string"))).drop("__node")
 
 
 def min_cost_quotas(size: np.ndarray, cost: np.ndarray, quota: np.ndarray, over: float) -> np.ndarray:
@@ -148,16 +194,64 @@ def min_cost_quotas(size: np.ndarray, cost: np.ndarray, quota: np.ndarray, over:
     return flow
 
 
-def round_components(flow: np.ndarray, each: np.ndarray, count: np.ndarray, quota: np.ndarray) -> np.ndarray:
-    """Whole components per bundle and split from a flow in rows: floors, then the rest where most is missing."""
+def _descend(whole: np.ndarray, each: np.ndarray, quota: np.ndarray, cost: np.ndarray, over: float) -> float:
+    """Lower the cost of a plan in place by moves of a component to another split and swaps of two, as far as they go."""
+    k, shift = len(quota), each[:, None] * cost  # what a component of the bundle costs in each split
+    load = (whole * each[:, None]).sum(0)
+    while True:
+        best, do, off = -1e-6, None, np.abs(load - quota)
+        for s in range(k):
+            for t in range(k):
+                src, dst = np.flatnonzero(whole[:, s] > 0), np.flatnonzero(whole[:, t] > 0)
+                if s == t or not len(src):
+                    continue
+                miss = lambda d: over * (np.abs(load[s] - d - quota[s]) + np.abs(load[t] + d - quota[t]) - off[s] - off[t])  # noqa: B023, E731
+                gain = shift[src, t] - shift[src, s] + miss(each[src])
+                i = int(gain.argmin())
+                if gain[i] < best:
+                    best, do = gain[i], ((int(src[i]), s, t),)
+                if len(dst) and s < t:
+                    both = (shift[src, t] - shift[src, s])[:, None] + (shift[dst, s] - shift[dst, t])[None, :] + miss(each[src][:, None] - each[dst][None, :])
+                    i, j = np.unravel_index(int(both.argmin()), both.shape)
+                    if both[i, j] < best:
+                        best, do = both[i, j], ((int(src[i]), s, t), (int(dst[j]), t, s))
+        if do is None:
+            return float((whole * shift).sum() + over * off.sum())
+        for x, p, q in do:
+            whole[x, p] -= 1
+            whole[x, q] += 1
+            load[p] -= each[x]
+            load[q] += each[x]
+
+
+def round_components(flow: np.ndarray, each: np.ndarray, count: np.ndarray, quota: np.ndarray, cost: np.ndarray, over: float, kicks: int = 60) -> np.ndarray:
+    """Whole components per bundle and split from a flow in rows, at the flow's costs.
+
+    Floors first; the rest one by one, the largest first, where they cost least;
+    then moves and swaps while they lower the cost (rows that leave their part,
+    and ``over`` for each row by which a split misses its quota), begun again
+    from ``kicks`` plans in which three components were moved at random (always
+    the same ones); the cheapest plan counts.
+    """
+    k = len(quota)
     whole = np.floor(flow / each[:, None] + 1e-9).astype(int)
-    missing = quota - (whole * each[:, None]).sum(0)
-    for b in np.argsort(-each, kind="stable"):
+    load = (whole * each[:, None]).sum(0)
+    for b in np.argsort(-each, kind="stable").tolist():
         for _ in range(int(count[b] - whole[b].sum())):
-            part = flow[b] / each[b] - whole[b]
-            s = int(np.lexsort((-missing, -np.round(part > 1e-6), -np.minimum(missing, each[b])))[0])
+            s = int(np.argmin([each[b] * cost[b, s] + over * np.abs(load + each[b] * (np.arange(k) == s) - quota).sum() for s in range(k)]))
             whole[b, s] += 1
-            missing[s] -= each[b]
+            load[s] += each[b]
+    value, rnd = _descend(whole, each, quota, cost, over), np.random.default_rng(0)
+    for _ in range(kicks):
+        other = whole.copy()
+        for _ in range(3):
+            # Large components decide what can be met, so they are moved most.
+            b = int(rnd.choice(len(each), p=each / each.sum()))
+            s, t = int(rnd.choice(np.flatnonzero(other[b] > 0))), int(rnd.integers(k))
+            other[b, s] -= 1
+            other[b, t] += 1
+        if (v := _descend(other, each, quota, cost, over)) < value - 1e-9:
+            value, whole = v, other
     return whole
 
 
@@ -169,7 +263,7 @@ def assign_splits(rows: DataFrame, shares: dict[str, float], over: float = 4.0,
     """
     spark = rows.sparkSession
     parts = list(shares)
-    placed = cut_lineage(row_components(rows))
+    placed = written(row_components(rows))
     counts = [F.count_if(F.col("part") == p).alias(f"n_{p}") for p in parts]
     comp = placed.groupBy("component").agg(F.count(F.lit(1)).alias("n"), *counts)
     size_key = F.when(F.col("n") <= EXACT_SIZE, F.col("n")).otherwise(EXACT_SIZE + F.floor(F.log2(F.col("n") / EXACT_SIZE) * 16) + 1).cast("long")
@@ -183,10 +277,23 @@ def assign_splits(rows: DataFrame, shares: dict[str, float], over: float = 4.0,
     n, k = np.array([r["n"] for r in bundles], float), np.array([r["k"] for r in bundles])
     cost = 1 - np.array([[r[f"n_{p}"] for p in parts] for r in bundles], float) / n[:, None]
     quota = np.array([shares[p] for p in parts]) / sum(shares.values()) * n.sum()
-    whole = round_components(min_cost_quotas(n, cost, quota, over), n / k, k, quota)
+    whole = round_components(min_cost_quotas(n, cost, quota, over), n / k, k, quota, cost, over)
     upto = np.cumsum(whole, axis=1)
     plan = spark.createDataFrame([(r["bundle"], [int(x) for x in u]) for r, u in zip(bundles, upto)], "bundle string, upto array<bigint>")
     ranked = running_sum(hashed, ["bundle"], "__chunk", [F.col("__h"), F.col("component")], F.lit(1), "__rank")
     pick = F.element_at(F.array(*[F.lit(p) for p in parts]), (F.size(F.filter("upto", lambda x: x < F.col("__rank"))) + 1).cast("int"))
-    chosen = ranked.join(plan, "bundle").select("component", pick.alias("split"))
-    return placed.join(chosen, "component")
+    # The plan has one row per bundle, the bundles of the driver's table.
+    chosen = ranked.join(F.broadcast(plan), "bundle").select("component", pick.alias("split"))
+    return salted_join(placed, chosen, "component", hot_keys(placed, "component", placed.count()), ["chunk_id"])
+
+
+def parted_groups(assigned: DataFrame) -> DataFrame:
+    """Meetings and persons whose given parts differ, with what ``assign_splits`` makes of them: group_kind, group_id,
+    n_rows, n_train, n_dev, n_test, n_parts, n_splits (1, as no group is parted any more).
+
+    A group lies in one component, so only the rows of components whose label
+    profile has more than one part are looked at.
+    """
+    mixed = assigned.groupBy("component").agg(sum(((F.count_if(F.col("part") == p) > 0).cast("int") for p in PARTS), F.lit(0)).alias("__n")).filter("__n > 1").select("component")
+    some = salted_join(assigned, mixed, "component", hot_keys(assigned, "component", assigned.count()), ["chunk_id"], "left_semi")
+    return label_profiles(some, F.countDistinct("split").alias("n_splits")).filter("n_parts > 1")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plenora.llm.canon import canonical, look_alike_pairs, look_alike_rows
-from plenora.llm.groupsplit import assign_splits, label_profiles, plan_rows
+from plenora.llm.groupsplit import assign_splits, label_profiles, parted_groups, plan_rows
 from plenora.llm.leakage import leaks
 from plenora.llm.names import attribute, learn_lexicon, linked_pairs, name_readings
 from plenora.llm.packing import pack, token_counts
@@ -14,6 +14,7 @@ from plenora.llm.sampling import consistent_sample
 from plenora.llm.truncation import truncated
 from plenora.llm.turns import collapse_runs
 from plenora.operators.segments import usable_spans
+from plenora.session import written
 from plenora.sources.tables import table
 
 
@@ -105,19 +106,33 @@ SHARES = {"train": 0.8, "dev": 0.1, "test": 0.1}
 def p3_sample(spark: SparkSession, root: str) -> DataFrame:
     """Sample of chunks by speaker that keeps its members from batch to batch."""
     rows = table(spark, root, "chunk_index").select("chunk_id", "speaker_id", "batch")
-    return consistent_sample(rows, "chunk_id", "speaker_id", "batch", SAMPLE_TARGET)
+    return consistent_sample(rows, "chunk_id", "speaker_id", "batch", SAMPLE_TARGET)[0]
+
+
+def _assigned(spark: SparkSession, root: str) -> DataFrame:
+    return assign_splits(plan_rows(table(spark, root, "panel_plan_v2")), SHARES)
 
 
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
     """Meetings and persons whose rows stand in more than one part of the given plan."""
-    profiles = label_profiles(plan_rows(table(spark, root, "panel_plan_v2")))
-    return profiles.filter("n_parts > 1").select("group_kind", "group_id")
+    return parted_groups(written(_assigned(spark, root))).select("group_kind", "group_id")
 
 
 def p4_splits(spark: SparkSession, root: str) -> DataFrame:
     """A new split of every row of the plan in which no meeting or person parts."""
-    rows = assign_splits(plan_rows(table(spark, root, "panel_plan_v2")), SHARES)
-    return rows.select("chunk_id", "meeting", "speaker", "part", "split")
+    return _assigned(spark, root).select("chunk_id", "meeting", "speaker", "part", "split")
+
+
+def p4_checks(spark: SparkSession, root: str) -> DataFrame:
+    """What must hold of the new splits: every row placed once, no group parted, no quota missed by more than the largest component."""
+    rows = written(_assigned(spark, root))
+    parted = label_profiles(rows, F.countDistinct("split").alias("n_splits")).agg(F.count(F.lit(1)).alias("n_groups"), F.count_if(F.col("n_splits") > 1).alias("n_parted"))
+    sizes = rows.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.first("split").alias("split"))
+    loads = sizes.agg(F.sum("n").alias("n_rows"), F.max("n").alias("largest"), *[F.coalesce(F.sum(F.when(F.col("split") == p, F.col("n"))), F.lit(0)).alias(p) for p in SHARES])
+    near = F.lit(True)
+    for p, share in SHARES.items():
+        near = near & (F.abs(F.col(p) - F.col("n_rows") * share) <= F.col("largest"))
+    return loads.crossJoin(parted).select("n_rows", "n_groups", "n_parted", (F.col("n_rows") - sum((F.col(p) for p in SHARES), F.lit(0))).alias("n_unplaced"), near.alias("near_quota"))
 
 
 def p6_found(spark: SparkSession, root: str) -> DataFrame:
@@ -138,12 +153,9 @@ _P3 = """
 WITH firsts AS (
   SELECT chunk_id, min({'b': batch, 's': coalesce(speaker_id, -9)}) AS f FROM chunk_index WHERE chunk_id IS NOT NULL AND batch IS NOT NULL GROUP BY chunk_id),
 seen AS (SELECT chunk_id, f.b AS first_batch, f.s AS s, CAST(('0x' || substr(md5('sample|' || chunk_id), 1, 13)) AS BIGINT) / 4503599627370496.0 AS h FROM firsts),
-new AS (SELECT s, first_batch, count(*) AS new FROM seen GROUP BY ALL),
-counted AS (SELECT *, sum(new) OVER (PARTITION BY s ORDER BY first_batch) AS n FROM new),
-weights AS (SELECT s, first_batch AS b, max(least(1.0::DOUBLE, 20.0::DOUBLE / n)) OVER (PARTITION BY s ORDER BY first_batch) AS w FROM counted),
-members AS (
-  SELECT chunk_id, seen.s, first_batch, min(b) AS since_batch FROM seen JOIN weights ON seen.s = weights.s AND b >= first_batch AND h < w GROUP BY ALL)
-SELECT chunk_id, CASE WHEN s <> -9 THEN s END AS speaker_id, first_batch, since_batch, (SELECT max(w) FROM weights WHERE weights.s = members.s) AS weight FROM members
+new AS (SELECT s, first_batch, count(*) AS n FROM seen GROUP BY ALL),
+weights AS (SELECT s, first_batch, least(1.0::DOUBLE, 20.0::DOUBLE / sum(n) OVER (PARTITION BY s ORDER BY first_batch)) AS weight FROM new)
+SELECT chunk_id, CASE WHEN s <> -9 THEN s END AS speaker_id, first_batch, weight FROM seen JOIN weights USING (s, first_batch) WHERE h < weight
 """
 
 _P4 = """
@@ -151,15 +163,14 @@ WITH rows_ AS (
   SELECT TRY_CAST(nullif(regexp_extract(session, '_\\s*([0-9]+)\\s*$', 1), '') AS BIGINT) AS meeting, CASE WHEN speaker_id > 0 THEN speaker_id END AS speaker, lower(trim(part)) AS p FROM panel_plan_v2),
 named AS (
   SELECT *, CASE WHEN p LIKE 'tr%' THEN 'train' WHEN p LIKE 'dev%' OR p LIKE 'val%' THEN 'dev' WHEN p LIKE 'te%' THEN 'test' END AS part FROM rows_)
-SELECT 'session' AS group_kind, meeting AS group_id FROM named WHERE meeting IS NOT NULL GROUP BY meeting HAVING count(DISTINCT part) > 1
-UNION ALL
-SELECT 'speaker', speaker FROM named WHERE speaker IS NOT NULL GROUP BY speaker HAVING count(DISTINCT part) > 1
 """
 
-QUERIES = {"p1_found": p1_found, "p1_entities": p1_entities, "p2_found": p2_found, "p2_turns": p2_turns, "p3_sample": p3_sample, "p4_found": p4_found, "p4_splits": p4_splits, "p6_found": p6_found, "p6_forms": p6_forms, "p7_packed": p7_packed, "p8_found": p8_found, "p8_items": p8_items, "p9_found": p9_found, "p9_sources": p9_sources}
+QUERIES = {"p1_found": p1_found, "p1_entities": p1_entities, "p2_found": p2_found, "p2_turns": p2_turns, "p3_sample": p3_sample, "p4_found": p4_found, "p4_splits": p4_splits, "p4_checks": p4_checks, "p6_found": p6_found, "p6_forms": p6_forms, "p7_packed": p7_packed, "p8_found": p8_found, "p8_items": p8_items, "p9_found": p9_found, "p9_sources": p9_sources}
 SQL = {
     "p2_found": _P2 + "SELECT session, first_filename, last_filename, n_rows FROM turns WHERE n_rows >= 2",
     "p2_turns": _P2 + "SELECT session, first_filename, last_filename, n_rows, elapsed_ms FROM turns",
     "p3_sample": _P3,
-    "p4_found": _P4,
+    "p4_found": _P4 + """SELECT 'session' AS group_kind, meeting AS group_id FROM named WHERE meeting IS NOT NULL GROUP BY meeting HAVING count(DISTINCT part) > 1
+UNION ALL SELECT 'speaker', speaker FROM named WHERE speaker IS NOT NULL GROUP BY speaker HAVING count(DISTINCT part) > 1""",
+    "p4_checks": _P4 + "SELECT count(*) AS n_rows, count(DISTINCT meeting) + count(DISTINCT speaker) AS n_groups, 0 AS n_parted, 0 AS n_unplaced, true AS near_quota FROM named",
 }

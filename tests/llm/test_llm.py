@@ -1,3 +1,4 @@
+import itertools
 import random
 import unicodedata
 
@@ -7,11 +8,11 @@ from pyspark.sql import functions as F
 
 from plenora.llm import queries as Q
 from plenora.llm.canon import Canoniser, canonical, look_alike_pairs, look_alike_rows
-from plenora.llm.groupsplit import assign_splits, components, label_profiles, min_cost_quotas, part_of, plan_rows
+from plenora.llm.groupsplit import assign_splits, components, label_profiles, min_cost_quotas, part_of, parted_groups, plan_rows, round_components
 from plenora.llm.leakage import holds_passage, leaks, seeds, tiles
 from plenora.llm.names import _near, attribute, learn_lexicon, linked_pairs, name_readings, surname_neighbours
 from plenora.llm.packing import first_fit_decreasing, pack, token_counts
-from plenora.llm.sampling import consistent_sample, inclusion_weights, stored_state
+from plenora.llm.sampling import cohort_weights, consistent_sample
 from plenora.llm.truncation import prefix_copies, truncated, word_uses
 from plenora.llm.turns import collapse_runs
 from plenora.operators.segments import usable_spans
@@ -72,27 +73,41 @@ def test_usable_spans(spark):
 # ---- samples ----------------------------------------------------------------
 
 
+def _sample(df, target=20.0, state=None):
+    got, state = consistent_sample(df, "chunk_id", "speaker_id", "batch", target, state=state)
+    return {r.chunk_id for r in got.collect()}, state
+
+
 def test_sample_keeps_members(spark):
     rows = [(f"c{i}", i % 3 if i % 10 else None, 1 + i * 6 // 600) for i in range(600)] + [("c1", 1, 6), (None, 1, 1), ("x", 1, None)]
     df = spark.createDataFrame(rows, "chunk_id string, speaker_id int, batch int")
-    before: set = set()
-    for b in range(1, 7):
-        s = consistent_sample(df.filter(f"batch <= {b}"), "chunk_id", "speaker_id", "batch", 20.0)
-        members = {r.chunk_id for r in s.collect()}
+    before, state = set(), None
+    for b in (1, 2, 4, 6):
+        members, state = _sample(df.filter(f"batch <= {b}"), state=state)
         assert before <= members
         before = members
-    again = {r.chunk_id for r in consistent_sample(df.repartition(9).orderBy(F.desc("chunk_id")), "chunk_id", "speaker_id", "batch", 20.0).collect()}
+    again, _ = _sample(df.repartition(9).orderBy(F.desc("chunk_id")).withColumn("weights", F.lit(0)))
     assert again == before and None not in before and "x" not in before
-    assert consistent_sample(df.filter("false"), "chunk_id", "speaker_id", "batch", 20.0).count() == 0
+    # Many rows come late for the first delivery: nobody leaves, at any later time.
+    late = df.union(spark.createDataFrame([(f"late{i}", 1, 1) for i in range(900)], "chunk_id string, speaker_id int, batch int"))
+    after, state = _sample(late, state=state)
+    assert before <= after and after <= _sample(late, state=state)[0]
+    assert _sample(df.filter("false"))[0] == set()
+
+
+def test_sample_size_follows_the_target(spark):
+    rows = [(f"s{k}-{i}", k, 1 + (i >= 15) + (i >= 1000)) for k in range(8) for i in range(2000)]
+    members, _ = _sample(spark.createDataFrame(rows, "chunk_id string, speaker_id int, batch int"))
+    assert 8 * 30 < len(members) < 8 * 60  # 15 + 985 * 20 / 1000 + 1000 * 20 / 2000 expected of each
 
 
-def test_weights_never_fall(spark):
+def test_cohort_weights_never_fall(spark):
     first = spark.createDataFrame([("s", b) for b in (1, 2, 3) for _ in range(10 * b)], "g string, b int")
-    w = [r.weight for r in inclusion_weights(first, "g", "b", 5.0).orderBy("b").collect()]
-    assert w == [0.5, 0.5, 0.5]
-    state = stored_state(inclusion_weights(first.filter("b < 3"), "g", "b", 5.0), "g", "b")
-    later = inclusion_weights(first.filter("b = 3"), "g", "b", 5.0, state).first()
-    assert (later.seen, later.weight) == (60, 0.5)
+    w = {r.b: r.weight for r in cohort_weights(first, "g", "b", 5.0).collect()}
+    assert w == {1: 0.5, 2: 5 / 30, 3: 5 / 60}
+    state = cohort_weights(first.filter("b < 3"), "g", "b", 5.0)
+    more = first.union(spark.createDataFrame([("s", 1)] * 90, "g string, b int"))
+    assert {r.b: r.weight for r in cohort_weights(more, "g", "b", 5.0, state).collect()} == {1: 0.5, 2: 5 / 30, 3: 5 / 150}
 
 
 # ---- splits -----------------------------------------------------------------
@@ -115,8 +130,11 @@ def test_components(spark):
     for a, b in edges:
         x, y = find(a), find(b)
         boss[max(x, y)] = min(x, y)
-    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
-    assert got == {x: find(x) for e in edges for x in e if e[0] != e[1]}
+    want = {x: find(x) for e in edges for x in e if e[0] != e[1]}
+    df = spark.createDataFrame(edges, "a long, b long")
+    assert {r.node: r.component for r in components(df, "a", "b").collect()} == want
+    assert {r.node: r.component for r in components(df, "a", "b", one_task=0).collect()} == want
+    assert components(df.filter("false"), "a", "b").count() == 0
 
 
 def test_splits_never_part_groups(spark):
@@ -132,9 +150,26 @@ def test_splits_never_part_groups(spark):
     assert dict(zip(got.component, got.split)) == dict(zip(again.component, again.split))
     bad = {(r.group_kind, r.group_id) for r in label_profiles(plan_rows(plan)).filter("n_parts > 1").collect()}
     assert bad and all(k in ("session", "speaker") for k, _ in bad)
+    found = parted_groups(assign_splits(plan_rows(plan), {"train": 0.8, "dev": 0.1, "test": 0.1})).collect()
+    assert {(r.group_kind, r.group_id) for r in found} == bad and all(r.n_splits == 1 for r in found)
     assert assign_splits(plan_rows(plan.filter("false")), {"train": 1.0}).count() == 0
 
 
+def test_quotas_are_met_as_well_as_whole_components_allow():
+    each, count = np.array([279.0, 238.0, 89.0, 68.0]), np.ones(4, int)
+    quota, cost = np.array([539.2, 67.4, 67.4]), np.full((4, 3), 0.5)
+    flow = min_cost_quotas(each, cost, quota, 4.0)
+    whole = round_components(flow, each, count, quota, cost, 4.0)
+    assert (whole * each[:, None]).sum(0).tolist() in ([517, 68, 89], [517, 89, 68]) and (whole.sum(1) == 1).all()
+    rnd = np.random.default_rng(1)
+    for _ in range(20):
+        each, quota = rnd.integers(1, 60, 7).astype(float), np.array([0.6, 0.2, 0.2])
+        quota, cost = quota * each.sum(), rnd.random((7, 3))
+        value = lambda w: (w * each[:, None] * cost).sum() + 4 * np.abs((w * each[:, None]).sum(0) - quota).sum()
+        best = min(value(np.eye(3)[list(c)]) for c in itertools.product(range(3), repeat=7))
+        assert value(round_components(min_cost_quotas(each, cost, quota, 4.0), each, np.ones(7, int), quota, cost, 4.0)) <= best * 1.15 + 8
+
+
 def test_min_cost_flow_is_optimal():
     rnd = np.random.default_rng(0)
     for _ in range(40):

@@ -21,7 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plenora.llm.canon import Canoniser
-from plenora.session import cut_lineage
+from plenora.operators.skew import hot_keys, salted_join
+from plenora.session import written
 
 # Titles and offices that people type before a name.
 TITLES = """מר גב גב' גברת אדון ד"ר דר דר' פרופ פרופ' פרופסור ח"כ חה"כ חבר חברת הכנסת השר השרה שר שרה סגן סגנית היו"ר יו"ר היור יור עו"ד עוד הרב רב אלוף מ"מ
@@ -29,8 +30,10 @@ mr mrs ms dr prof sir mk minister chair г-н г-жа др депутат""".spl
 
 #: Log-likelihoods of what the channel does.
 NICK, INITIAL, GIVEN_TYPO, GLUED, SURNAME_TYPO, MIDDLE, ROSTER = -1.0, -2.0, -4.0, -3.0, -5.0, -1.0, 3.0
-#: Surnames shorter than this must be equal.
-MIN_TYPO = 4
+#: Log-probability of a letter of a surname that nobody is known to bear.
+LETTER = -2.5
+#: A surname of one letter has no neighbours, and a name is not taken apart into a given name and less than this.
+MIN_TYPO, MIN_GLUED = 2, 4
 
 _ALIAS = re.compile(r"(?<!\w)[\"(]\s*([^\W\d_]{2,20})\s*[\")](?!\w)")
 _PART = re.compile(r"[^\W\d_]+(?:[\"'][^\W\d_]+)*[.']?")
@@ -99,7 +102,7 @@ class Lexicon:
         if out:
             # A second given name may stand between.
             middle = [("weak", g, "".join(rest[1:]), ll + MIDDLE) for (_, g, _, ll), (_, rest) in zip(out, [e for e in ends if e[0] in self.of and e[1]]) if len(rest) > 1 and rest is not words[:-1]]
-            return out + [m for m in middle if len(m[2]) >= MIN_TYPO]
+            return out + [m for m in middle if len(m[2]) >= MIN_GLUED]
         if initials:
             return [("initial", initials[0], "".join(words), INITIAL)]
         known = [self.of[a] for a in alias if a in self.of]
@@ -113,7 +116,7 @@ class Lexicon:
                         out.append(("weak", self.of[x], "".join(rest), GIVEN_TYPO))
         # Beginnings and ends are looked up, not searched for, so a large lexicon costs no more than a small one.
         letters = len("".join(words))
-        for n in range(3, letters - MIN_TYPO + 1):
+        for n in range(3, letters - MIN_GLUED + 1):
             if n <= len(words[0]) and (g := self.of.get(words[0][:n])) is not None:
                 out.append(("weak", g, words[0][n:] + "".join(words[1:]), GLUED))
             if n <= len(words[-1]) and (g := self.of.get(words[-1][-n:])) is not None:
@@ -178,74 +181,117 @@ def surname_neighbours(surnames: DataFrame) -> DataFrame:
     return pairs.mapInArrow(errors, "s string, near string")
 
 
-def name_readings(variants: DataFrame, row_id: str, variant: str, person: str, lexicon: Lexicon) -> DataFrame:
-    """All readings of every row: row, person (0 for null), kind, g, s, ll."""
+def name_readings(variants: DataFrame, variant: str, lexicon: Lexicon) -> DataFrame:
+    """All readings of every distinct spelling: variant, kind, g, s, ll. Null and empty spellings have none."""
     names = {"of": lexicon.of, "near": lexicon.near}
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = Lexicon.__new__(Lexicon)
         lex.__dict__.update(names)
-        form, memo = Canoniser(fold_case=True, strip_marks=True), {}
+        form = Canoniser(fold_case=True, strip_marks=True)
         for b in batches:
-            cols: list[list] = [[], [], [], [], [], []]
-            for r, p, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                if t not in memo:
-                    memo[t] = lex.readings(t, form) if t else []
-                for kind, g, s, ll in memo[t]:
-                    for c, v in zip(cols, (r, p, kind, g, s, ll)):
+            cols: list[list] = [[], [], [], [], []]
+            for t in b.column(0).to_pylist():
+                for reading in lex.readings(t, form):
+                    for c, v in zip(cols, (t, *reading)):
                         c.append(v)
-            types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["row", "person", "kind", "g", "s", "ll"])
+            types = (pa.string(), pa.string(), pa.string(), pa.string(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["variant", "kind", "g", "s", "ll"])
+
+    spelled = variants.select(F.col(variant).alias("variant")).filter("variant IS NOT NULL AND variant <> ''").distinct()
+    return spelled.mapInArrow(work, "variant string, kind string, g string, s string, ll double")
 
-    rows = variants.select(F.col(row_id).cast("long"), F.coalesce(F.col(person).cast("long"), F.lit(0)), F.col(variant))
-    return rows.mapInArrow(work, "row long, person long, kind string, g string, s string, ll double")
 
+def moved_forms(canon: DataFrame, near: DataFrame) -> DataFrame:
+    """(g, s, to): every canonical form with the form whose spelling it is, itself if it is a name of its own.
 
-def attribute(readings: DataFrame) -> DataFrame:
+    ``canon`` has g, s, n (rows), seen (weight of their uses), roster. Forms
+    begin as classes of their own. A class of n rows stays one with the
+    probability of its letters and of n rows of one new name; or its rows are n
+    typing errors among the rows of a neighbouring class of more weight, that
+    with a form one error away. Whichever is likelier is taken, and classes grow
+    until nothing moves, however long the way. A class with a form on the roster
+    is a name of its own.
+    """
+    edges = written(near.join(canon.select("g", "s"), "s").join(canon.select(F.col("g").alias("e_g"), F.col("s").alias("near")), "near").filter("g = e_g").select("g", "s", "near"))
+    ends = written(canon.select("g", "s", F.col("s").alias("to")))
+    lgamma, weight = _lgamma, lambda p: F.struct(F.col(f"{p}roster"), F.col(f"{p}n"), F.col(f"{p}seen"), F.col(f"{p}to"))
+    n, o_n = F.col("n").cast("double"), F.col("o_n").cast("double")
+    own = F.length("to") * LETTER + lgamma(n)
+    typo = lgamma(n + o_n) - lgamma(o_n) + n * SURNAME_TYPO
+    while True:
+        sizes = canon.join(ends, ["g", "s"]).groupBy("g", "to").agg(F.sum("n").alias("n"), F.sum("seen").alias("seen"), F.max("roster").alias("roster"))
+        other = sizes.select("g", *[F.col(c).alias(f"o_{c}") for c in ("to", "n", "seen", "roster")])
+        met = edges.join(ends, ["g", "s"]).join(ends.select("g", F.col("s").alias("near"), F.col("to").alias("o_to")), ["g", "near"]).filter("to <> o_to").select("g", "to", "o_to").distinct()
+        pairs = met.join(sizes.filter("NOT roster"), ["g", "to"]).join(other, ["g", "o_to"]).filter((weight("o_") > weight("")) & (typo > own))
+        step = written(pairs.groupBy("g", "to").agg(F.max_by("o_to", weight("o_")).alias("next")))
+        if step.isEmpty():
+            return ends
+        # Moves go up in weight; each doubling follows twice as many of them.
+        while True:
+            far = step.join(step.select("g", F.col("to").alias("next"), F.col("next").alias("then")), ["g", "next"], "left")
+            if far.filter("then IS NOT NULL").isEmpty():
+                break
+            step = written(far.select("g", "to", F.coalesce("then", "next").alias("next")))
+        ends = written(ends.join(step, ["g", "to"], "left").select("g", "s", F.coalesce("next", "to").alias("to")))
+
+
+def _lgamma(x):  # noqa: ANN001, ANN202
+    """log of the gamma function for x >= 1, by Stirling's series at x + 6: exact to 1e-9."""
+    z = x + 6
+    rest = F.log(x) + F.log(x + 1) + F.log(x + 2) + F.log(x + 3) + F.log(x + 4) + F.log(x + 5)
+    return (z - 0.5) * F.log(z) - z + 0.9189385332046727 + 1 / (12 * z) - 1 / (360 * z * z * z) + 1 / (1260 * z * z * z * z * z) - rest
+
+
+def attribute(variants: DataFrame, row_id: str, variant: str, person: str, uses: str | None, lexicon: Lexicon) -> DataFrame:
     """(row, person, entity): each row attached to its candidate of greatest posterior.
 
-    A canonical form is a (given name, surname) pair that some row spells out.
-    A form moves to a neighbour (surname one error away, same given name) that
-    outranks it by roster, then frequency, unless it is itself on the roster;
-    moves are followed to their end. Initials and weak readings go to the best
-    form that they can stand for; what stands for none is an entity of its own.
+    A canonical form is a (given name, surname) pair that some row spells out;
+    its weight are its rows, each with one more for every doubling of its uses
+    (``uses`` column; null and less than one count as one), and whether a
+    resolved row bears it. A spelled-out form stays
+    or moves by ``moved_forms``. Initials and weak readings go to the best form
+    that they can stand for; what stands for none is an entity of its own. Rows
+    with a null id are kept as rows, a null person is 0; null and empty
+    spellings, and those without a word, are left out.
     """
-    readings = cut_lineage(readings)
+    # Whole hundredths, so that sums do not depend on their order. One spelling used a thousand times is still one typing.
+    seen = F.floor(100 + 100 * F.log2(F.greatest(F.coalesce(F.col(uses).cast("double"), F.lit(1.0)), F.lit(1.0)))).cast("long") if uses else F.lit(100).cast("long")
+    rows = written(variants.select(F.col(row_id).cast("long").alias("row"), F.coalesce(F.col(person).cast("long"), F.lit(0)).alias("person"), F.col(variant).alias("variant"), seen.alias("uses")).filter("variant IS NOT NULL AND variant <> ''"))
+    readings = written(name_readings(rows, "variant", lexicon))
+    per = rows.groupBy("variant").agg(F.countDistinct("row").alias("n"), F.sum("uses").alias("seen"), (F.max("person") > 0).alias("roster"))
     strong = readings.filter("kind = 'strong'")
-    canon = strong.groupBy("g", "s").agg(F.countDistinct("row").alias("n"), (F.max("person") > 0).alias("roster"))
-    near = cut_lineage(surname_neighbours(readings.select("s")))
-    rank = lambda p: F.struct(F.col(f"{p}roster"), F.col(f"{p}n"), F.col(f"{p}s"))
-    other = canon.select(F.col("g").alias("o_g"), F.col("s").alias("o_s"), F.col("n").alias("o_n"), F.col("roster").alias("o_roster"))
-    moved = canon.filter("NOT roster").join(near, "s").join(other, (F.col("g") == F.col("o_g")) & (F.col("near") == F.col("o_s"))).filter(rank("o_") > rank(""))
-    step = moved.groupBy("g", "s").agg(F.max_by("o_s", rank("o_")).alias("to"))
-    ends = canon.join(step, ["g", "s"], "left").select("g", "s", F.coalesce("to", "s").alias("to"))
-    # Each move goes up in rank; three doublings follow chains of eight.
-    for _ in range(3):
-        nxt = ends.select(F.col("g").alias("n_g"), F.col("s").alias("n_s"), F.col("to").alias("n_to"))
-        ends = ends.join(nxt, (F.col("g") == F.col("n_g")) & (F.col("to") == F.col("n_s"))).select("g", "s", F.col("n_to").alias("to"))
-    ends, canon = cut_lineage(ends), cut_lineage(canon)
-    weight = canon.join(ends, ["g", "s"]).groupBy("g", F.col("to").alias("s")).agg(F.sum("n").alias("n"), F.max("roster").alias("roster"))
-    prior = F.log(F.col("n").cast("double")) + F.when(F.col("roster"), ROSTER).otherwise(0.0)
-    place = ends.join(weight.select(F.col("g").alias("w_g"), F.col("s").alias("w_s"), prior.alias("prior")), (F.col("g") == F.col("w_g")) & (F.col("to") == F.col("w_s"))).select("g", "s", "to", "prior")
+    canon = written(strong.join(per, "variant").groupBy("g", "s").agg(F.sum("n").alias("n"), F.sum("seen").alias("seen"), F.max("roster").alias("roster")))
+    near = written(surname_neighbours(readings.select("s")))
+    ends = moved_forms(canon, near)
+    total = canon.join(ends, ["g", "s"]).groupBy("g", F.col("to").alias("t_s")).agg(F.sum("seen").alias("seen"), F.max("roster").alias("roster"))
+    prior = F.log(F.col("seen") / 100.0) + F.when(F.col("roster"), ROSTER).otherwise(0.0)
+    place = written(ends.withColumnRenamed("to", "t_s").join(total.select("g", "t_s", prior.alias("prior")), ["g", "t_s"]).select(F.col("g").alias("t_g"), "s", F.col("t_s").alias("to"), "prior"))
 
     # Surnames that a weak reading may mean: its own or one error away.
     weak = readings.filter("kind IN ('weak', 'initial')")
-    asked = weak.select("s").distinct()
-    reach = asked.select("s", F.col("s").alias("near"), F.lit(0.0).alias("sl")).unionByName(near.join(asked, "s", "left_semi").select("s", "near", F.lit(SURNAME_TYPO).alias("sl")))
-    target = place.select(F.col("g").alias("t_g"), F.col("s").alias("t_s"), "to", "prior")
-    wide = weak.join(reach, "s")
-    full = wide.filter("kind = 'weak'").join(target, (F.col("g") == F.col("t_g")) & (F.col("near") == F.col("t_s")))
-    brief = wide.filter("kind = 'initial'").join(target.withColumn("t_i", F.substring("t_g", 1, 1)), (F.col("g") == F.col("t_i")) & (F.col("near") == F.col("t_s"))).drop("t_i")
-    sure = strong.join(target, (F.col("g") == F.col("t_g")) & (F.col("s") == F.col("t_s"))).withColumn("sl", F.lit(0.0))
-    cols = ["row", "person", "t_g", "to", (F.col("ll") + F.col("sl") + F.col("prior")).alias("score")]
-    scored = sure.select(*cols).unionByName(full.select(*cols)).unionByName(brief.select(*cols))
-    best = scored.groupBy("row", "person").agg(F.max_by(F.concat_ws("|", "t_g", "to"), F.struct("score", "t_g", "to")).alias("entity"))
-    own = readings.groupBy("row", "person").agg(F.min(F.concat_ws("|", F.lit("~"), "g", "s")).alias("alone"))
-    return own.join(best, ["row", "person"], "left").select("row", "person", F.coalesce("entity", "alone").alias("entity"))
-
-
-def linked_pairs(attributed: DataFrame) -> DataFrame:
-    """(a, b), a < b: rows of one entity of which at least one has no person."""
-    left = attributed.select("entity", F.col("row").alias("a"), F.col("person").alias("pa"))
-    right = attributed.select("entity", F.col("row").alias("b"), F.col("person").alias("pb"))
-    return left.join(right, "entity").filter("a < b AND NOT (pa > 0 AND pb > 0)").select("a", "b")
+    reach = near.select("s", "near", F.lit(SURNAME_TYPO).alias("sl"))
+    wide = weak.select("*", F.col("s").alias("near"), F.lit(0.0).alias("sl")).unionByName(weak.join(reach, "s"))
+    target = place.withColumnRenamed("s", "near")
+    first = F.when(F.col("kind") == "weak", F.col("g") == F.col("t_g")).otherwise(F.col("g") == F.substring("t_g", 1, 1))
+    loose = wide.join(target, "near").filter(first)
+    sure = strong.withColumn("sl", F.lit(0.0)).join(place, (F.col("g") == F.col("t_g")) & (strong["s"] == place["s"])).drop(place["s"])
+    cols = ["variant", "t_g", "to", (F.col("ll") + F.col("sl") + F.col("prior")).alias("score")]
+    best = sure.select(*cols).unionByName(loose.select(*cols)).groupBy("variant").agg(F.max_by(F.concat_ws("|", "t_g", "to"), F.struct("score", "t_g", "to")).alias("entity"))
+    alone = readings.groupBy("variant").agg(F.min(F.concat_ws("|", F.lit("~"), "g", "s")).alias("alone"))
+    named = alone.join(best, "variant", "left").select("variant", F.coalesce("entity", "alone").alias("entity"))
+    return salted_join(rows.select("row", "person", "variant"), named, "variant", hot_keys(rows, "variant", rows.count()), ["row"]).select("row", "person", "entity").distinct()
+
+
+def linked_pairs(attributed: DataFrame, hot_rows: int = 300, ways: int = 64) -> DataFrame:
+    """(a, b), a < b: rows of one entity of which at least one has no person.
+
+    Unresolved rows meet all rows of their entity, so no pair of two resolved
+    rows is ever formed. The entities of ``hot_rows`` rows and a thousandth of
+    all rows are dealt out to ``ways`` tasks by row. Rows with a null id are in no pair.
+    """
+    own = written(attributed.filter("row IS NOT NULL"))
+    left = own.select("entity", F.col("row").alias("x"), F.col("person").alias("px"))
+    right = own.filter("person = 0").select("entity", F.col("row").alias("y"))
+    met = salted_join(left, right, "entity", hot_keys(own, "entity", own.count(), least=hot_rows), ["x"], ways=ways)
+    return met.filter("y < x OR (y > x AND px > 0)").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from plenora.llm.canon import canonical, look_alike_pairs, look_alike_rows
 from plenora.llm.groupsplit import assign_splits, label_profiles, parted_groups, plan_rows
 from plenora.llm.leakage import leaks
-from plenora.llm.names import attribute, learn_lexicon, linked_pairs, name_readings
+from plenora.llm.names import attribute, learn_lexicon, linked_pairs
 from plenora.llm.packing import pack, token_counts
 from plenora.llm.sampling import consistent_sample
 from plenora.llm.truncation import truncated
@@ -18,18 +18,19 @@ from plenora.session import written
 from plenora.sources.tables import table
 
 
+def _entities(spark: SparkSession, root: str) -> DataFrame:
+    variants, roster = table(spark, root, "mk_name_variants"), table(spark, root, "mk_metadata")
+    return attribute(variants, "variant_id", "variant", "person_id", "n_seen", learn_lexicon(variants, "variant", roster))
+
+
 def p1_entities(spark: SparkSession, root: str) -> DataFrame:
     """The entity of every spelling that can be read as a name."""
-    variants, roster = table(spark, root, "mk_name_variants"), table(spark, root, "mk_metadata")
-    lexicon = learn_lexicon(variants, "variant", roster)
-    found = attribute(name_readings(variants, "variant_id", "variant", "person_id", lexicon))
-    return found.select(F.col("row").alias("variant_id"), F.col("person").alias("person_id"), "entity")
+    return _entities(spark, root).select(F.col("row").alias("variant_id"), F.col("person").alias("person_id"), "entity")
 
 
 def p1_found(spark: SparkSession, root: str) -> DataFrame:
     """Pairs of rows that name the same person, at least one of them unresolved."""
-    rows = p1_entities(spark, root).select(F.col("variant_id").alias("row"), F.col("person_id").alias("person"), "entity")
-    return linked_pairs(rows).select(F.col("a").alias("variant_id_a"), F.col("b").alias("variant_id_b"))
+    return linked_pairs(_entities(spark, root)).select(F.col("a").alias("variant_id_a"), F.col("b").alias("variant_id_b"))
 
 
 def p2_turns(spark: SparkSession, root: str) -> DataFrame:

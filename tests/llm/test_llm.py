@@ -10,7 +10,7 @@ from plenora.llm import queries as Q
 from plenora.llm.canon import Canoniser, canonical, look_alike_pairs, look_alike_rows
 from plenora.llm.groupsplit import assign_splits, components, label_profiles, min_cost_quotas, part_of, parted_groups, plan_rows, round_components
 from plenora.llm.leakage import holds_passage, leaks, seeds, tiles
-from plenora.llm.names import _near, attribute, learn_lexicon, linked_pairs, name_readings, surname_neighbours
+from plenora.llm.names import _lgamma, _near, attribute, learn_lexicon, linked_pairs, surname_neighbours
 from plenora.llm.packing import first_fit_decreasing, pack, token_counts
 from plenora.llm.sampling import cohort_weights, consistent_sample
 from plenora.llm.truncation import prefix_copies, truncated, word_uses
@@ -445,7 +445,7 @@ def test_near():
 def test_surname_neighbours(spark):
     names = ["kohavi", "kohav", "kohabi", "khoavi", "levi", "levy", "abcdef", "bcdefa", "ab"]
     got = {(r.s, r.near) for r in surname_neighbours(spark.createDataFrame([(n,) for n in names], "s string")).collect()}
-    assert got == {(a, b) for a in names for b in names if a != b and min(len(a), len(b)) >= 4 and _near(a, b)}
+    assert got == {(a, b) for a in names for b in names if a != b and min(len(a), len(b)) >= 2 and _near(a, b)}
 
 
 def test_names(spark):
@@ -457,7 +457,7 @@ def test_names(spark):
     roster = spark.createDataFrame([("David",), ("Ruth",)], "first_name string")
     lex = learn_lexicon(df, "variant", roster)
     assert lex.of == {"david": "david", "ruth": "ruth", "dudu": "david"} or "dudu" in lex.of
-    found = attribute(name_readings(df, "id", "variant", "person", lex))
+    found = attribute(df, "id", "variant", "person", None, lex)
     by = {}
     for r in found.collect():
         by.setdefault(r.entity, set()).add(r.row)
@@ -466,7 +466,32 @@ def test_names(spark):
     pairs = {(r.a, r.b) for r in linked_pairs(found).collect()}
     assert (1, 2) not in pairs and (9, 16) not in pairs and (1, 3) in pairs and (3, 4) in pairs and (11, 12) in pairs
     assert len(pairs) == 36 - 1 + 2 + 1
-    assert linked_pairs(attribute(name_readings(df.filter("false"), "id", "variant", "person", lex))).count() == 0
+    plain = {(r.a, r.b) for r in linked_pairs(found, hot_rows=3).collect()}
+    assert plain == pairs
+    assert linked_pairs(attribute(df.filter("false").withColumn("n_seen", F.lit(None).cast("int")), "id", "variant", "person", "n_seen", lex)).count() == 0
+
+
+def _entities_of(spark, names):
+    df = spark.createDataFrame([(k, 0, n, 1) for k, n in enumerate(names)], "id long, person long, variant string, n_seen int")
+    lex = learn_lexicon(df, "variant", spark.createDataFrame([("David",)], "first_name string"))
+    return {r.row: r.entity for r in attribute(df, "id", "variant", "person", "n_seen", lex).collect()}
+
+
+def test_two_frequent_neighbours_stay_two(spark):
+    got = _entities_of(spark, ["David Kohavi"] * 500 + ["David Kohabi"] * 499 + ["David Kohavy"])
+    assert len(set(got.values())) == 2 and got[999] == got[0] != got[500]
+
+
+def test_moves_are_followed_to_their_end(spark):
+    got = _entities_of(spark, ["David Kohavi" + "abcdefghijkl"[:k] for k in range(12)])
+    assert len(set(got.values())) == 1
+
+
+def test_lgamma(spark):
+    import math
+
+    got = spark.range(1, 400).select("id", _lgamma(F.col("id").cast("double")).alias("g")).collect()
+    assert all(abs(r.g - math.lgamma(r.id)) < 1e-8 * max(1, abs(r.g)) for r in got)
 
 
 def test_rare_names_are_known_at_any_size(spark):

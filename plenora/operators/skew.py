@@ -43,6 +43,14 @@ def salted_join(left: DataFrame, right: DataFrame, on: str, hot: Sequence, sprea
     return left.withColumn("__salt", salt).join(right.withColumn("__salt", F.explode(copies)), [on, "__salt"], how).drop("__salt")
 
 
+def lookup_join(left: DataFrame, table: DataFrame, on: str, spread: Sequence[str], how: str = "left", most: int = 100_000) -> DataFrame:
+    """Equi-join with a table of one row per key: broadcast if it is counted to have at most ``most`` rows, else salted.
+    Starts a job for the count."""
+    if table.count() <= most:
+        return left.join(F.broadcast(table), on, how)
+    return salted_join(left, table, on, hot_keys(left, on, left.count()), spread, how)
+
+
 #: Where in a hash the probes of a bit set begin.
 _PROBES = (0, 17, 34)
 

@@ -20,6 +20,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plenora.operators.skew import filter_bits, hot_keys, in_filter, key_filter, salted_join
+from plenora.session import written
+
 # Characters whose look equals that of the ASCII character or letter at the same place.
 _LOOKS = {
     "\"": "“”„‟″‶״❝❞〝〞〟＂«»ʺˮ〃",
@@ -33,6 +36,11 @@ _LOOKS = {
 # Cyrillic and Greek letters and the Latin letters they look like, in the same order.
 _CYRILLIC = ("аеорсухѕіјһԁԛԝӏАВЕКМНОРСТУХЅІЈӀԌԚԜҮ", "aeopcyxsijhdqwlABEKMHOPCTYXSIJIGQWY")
 _GREEK = ("ονϲϳΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿ", "ovcjABEZHIKMNOPTYXCJ")
+# Letters of Armenian, Cherokee and Coptic and further Latin ones, with the Latin letters they look like, in the same order.
+_ARMENIAN = ("օոսհցզՕՍ", "onuhgqOU")
+_CHEROKEE = ("ᎪᎫᎠᎡᎢᎥᎩᎳᎷᎻᏀᏃᏎᏏᏔᏕᏙᏚᏞᏟᏢᏦᏴ", "AJDRTiYWMHGZ4bWSVSLCPKB")
+_COPTIC = ("ⲟⲞⲤⲢⲔⲘⲎ", "oOCPKMH")
+_LATIN = ("ɑɡᴄᴏᴠᴡᴢꜱ", "agcovwzs")
 
 #: Tags of compatibility mappings that change the look.
 _SEEN = ("<super>", "<sub>", "<fraction>", "<circle>", "<square>", "<vertical>")
@@ -44,7 +52,7 @@ _IGNORABLE = re.compile("[͏ᅟᅠ឴឵᠋-᠏⁥ㅤﾠ︀-️\U000e0000-\U000e
 def _char_map(strip_marks: bool) -> dict[int, str]:
     """A ``str.translate`` table that works out each character at its first use."""
     looks = {ord(c): to for to, group in _LOOKS.items() for c in group}
-    looks |= {ord(a): b for pair in (_CYRILLIC, _GREEK) for a, b in zip(*pair, strict=True)}
+    looks |= {ord(a): b for pair in (_CYRILLIC, _GREEK, _ARMENIAN, _CHEROKEE, _COPTIC, _LATIN) for a, b in zip(*pair, strict=True)}
 
     def one(ch: str) -> str:
         kind = unicodedata.category(ch)
@@ -150,19 +158,26 @@ def form_digests(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def look_alike_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Ids of rows for which a row of another id has a different text of the same look.
 
-    Rows are reduced to (form, text) with counts before anything is compared,
-    so a text that a third of all rows share costs one row. A text counts as
-    another id's unless it stands under this id only. Output: id, distinct.
+    Texts are formed once. Rows are reduced to (form, text) on the map side, so
+    a text that a third of all rows share costs one row a task; of each form it
+    is then known whether it has several texts and several ids, which makes all
+    its ids cases: an id with one of the texts differs from whoever has another,
+    and an id with several of them differs from any other id. Only rows that
+    pass a bit set of these forms are shuffled, hot forms salted. Output: id, distinct.
     """
-    rows = form_digests(df, id_col, text_col)
+    rows = written(form_digests(df, id_col, text_col))
     texts = rows.groupBy("form", "raw").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
-    groups = texts.groupBy("form").agg(F.count(F.lit(1)).alias("n_texts"), F.min("lo").alias("g_lo"), F.max("hi").alias("g_hi")).filter("n_texts > 1 AND g_lo <> g_hi")
-    some = rows.join(groups.select("form", "n_texts"), "form").groupBy("form", "raw", "id").agg(F.first("n_texts").alias("n_texts"))
-    own = some.join(texts.select("form", "raw", (F.col("lo") == F.col("hi")).cast("int").alias("alone")), ["form", "raw"])
-    # Texts of the form that stand under one id only, by that id.
-    lone = texts.filter("lo = hi").groupBy("form", F.col("lo").alias("id")).agg(F.count(F.lit(1)).alias("n_lone"))
-    seen = own.join(lone, ["form", "id"], "left")
-    return seen.filter(F.coalesce("n_lone", F.lit(0)) - F.col("alone") < F.col("n_texts") - 1).select("id").distinct()
+    forms = texts.groupBy("form").agg(F.count(F.lit(1)).alias("n_texts"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    several = written(forms.filter("n_texts > 1 AND lo <> hi").select("form"))
+    bits = key_filter(several, F.xxhash64("form"), filter_bits(several.count()))
+    hashed = rows.select("id", "form", F.xxhash64("form").alias("__h"))
+
+    def passing(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.select(["id", "form"]).filter(pa.array(in_filter(bits, b.column(2).to_numpy(zero_copy_only=False).view("uint64"))))
+
+    some = written(hashed.mapInArrow(passing, "id string, form binary").distinct())
+    return salted_join(some, several, "form", hot_keys(some, "form", some.count()), ["id"], "left_semi").select("id").distinct()
 
 
 def look_alike_pairs(df: DataFrame, left: str, right: str) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A public byte-level BPE vocabulary as ranks; a path on every executor.
+#: A public byte-level BPE vocabulary as ranks; a path on the driver, from where its bytes (about a megabyte) go to the tasks.
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 # Fixed value: the pre-tokenisation pattern published with that vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -31,11 +31,13 @@ def token_counts(df: DataFrame, id_col: str, text_col: str, vocabulary: str = VO
     in a text are ordinary text.
     """
     id_type = df.schema[id_col].dataType.simpleString()
+    with open(vocabulary, "rb") as f:
+        lines = df.sparkSession.sparkContext.broadcast(f.read())
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
 
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(vocabulary, "rb"))}
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines.value.splitlines())}
         encode = tiktoken.Encoding("documents", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         for b in batches:
             enc = b.column(1).dictionary_encode()
@@ -109,15 +111,15 @@ def pack(sizes: DataFrame, id_col: str, capacity: int, group_size: int = 8192, t
         start[by_bin] = run - (run[first][placed[by_bin]] if used else 0)
         wf = whole[np.lexsort((piece_full, ids[whole]))] if len(whole) else whole
         pf = piece_full[np.lexsort((piece_full, ids[whole]))] if len(whole) else piece_full
-        at = np.concatenate([order, wf]).astype(np.int64)
+        none = np.flatnonzero(n == 0)  # they need no place
+        at = np.concatenate([order, wf, none]).astype(np.int64)
+        void = np.arange(len(at)) >= len(order) + len(wf)
         cols = {
             id_col: table.column(id_col).take(pa.array(at)), "copy": table.column("copy").take(pa.array(at)),
-            "piece": pa.array(np.concatenate([full[order], pf]).astype(np.int32)), "n_tokens": pa.array(np.concatenate([rest[order], np.full(len(wf), capacity)]).astype(np.int64)),
-            "grp": pa.array(np.full(len(at), key[0].as_py(), np.int32)), "bin": pa.array(np.concatenate([placed, used + np.arange(len(wf))]).astype(np.int64)),
-            "start": pa.array(np.concatenate([start, np.zeros(len(wf))]).astype(np.int64)),
+            "piece": pa.array(np.concatenate([full[order], pf, 0 * none]).astype(np.int32)), "n_tokens": pa.array(np.concatenate([rest[order], np.full(len(wf), capacity), 0 * none]).astype(np.int64)),
+            "grp": pa.array(np.full(len(at), key[0].as_py(), np.int32), mask=void), "bin": pa.array(np.concatenate([placed, used + np.arange(len(wf)), none]).astype(np.int64), mask=void),
+            "start": pa.array(np.concatenate([start, np.zeros(len(wf)), none]).astype(np.int64), mask=void),
         }
         return pa.table(cols)
 
-    packed = dealt.filter("n_tokens > 0").groupBy("grp").applyInArrow(work, schema)
-    none = dealt.filter("n_tokens = 0").select(id_col, "copy", F.lit(0).alias("piece"), "n_tokens", F.lit(None).cast("int").alias("grp"), F.lit(None).cast("long").alias("bin"), F.lit(None).cast("long").alias("start"))
-    return packed.unionByName(none)
+    return dealt.groupBy("grp").applyInArrow(work, schema)

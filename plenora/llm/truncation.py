@@ -7,6 +7,10 @@ compared with its successor, of which it must then be a prefix), the last word
 values of a source that end at one length are the prefixes that a field limit
 leaves). Few cut texts have a longer copy, so the finer grains decide most
 cases, together with how texts of a source end when they are complete.
+
+Each different text is read by Python once, wherever its copies lie: one pass
+gives how it ends, its words' uses and the letters by which values are sorted.
+Evidence is gathered per (source, text); rows take it from there.
 """
 
 from __future__ import annotations
@@ -18,12 +22,13 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plenora.llm.canon import Canoniser
-from plenora.session import cut_lineage
+from plenora.operators.skew import filter_bits, hot_keys, in_filter, key_filter, lookup_join, salted_join
+from plenora.session import written
 
 # Marks that tools put after a cut: an ellipsis, or one short remark in brackets on the line of the text.
 _DOTS = re.compile(r"\s*[\[(]?\s*(?:\.{2,}|…)\s*[\])]?\s*$")
@@ -44,10 +49,10 @@ RULE_SHARE = 0.3
 #: average, and this share of what the source's most frequent length has.
 SPIKE_LEAST, SPIKE_TIMES, SPIKE_REACH, SPIKE_OF_TOP = 5, 8.0, 24, 0.1
 
-#: Values sampled per partition to set the borders of the sort.
-SAMPLE_A_PART = 50
-
-_FEATURES = "row long, source string, digest long, chars long, bytes long, broken boolean, marked boolean, closed boolean, tail string, prior string, short boolean"
+#: Values sampled per partition to set the borders of the sort, and how many letters of each come to the driver.
+SAMPLE_A_PART, BORDER = 50, 256
+#: A value of fewer letters is no beginning, and values are compared only if they share their first so many letters.
+HEAD = 24
 
 
 def _ending(text: str, form: Canoniser) -> dict:
@@ -73,68 +78,96 @@ def _ending(text: str, form: Canoniser) -> dict:
     }
 
 
-def endings(docs: DataFrame, row: str, text_col: str, source: str) -> DataFrame:
-    """One row per text that is not blank: its source, its sizes, a 64-bit digest and how it ends."""
+_TOKEN = re.compile(r"[^\W_]+(?:['\"][^\W_]+)*|[.?!؟\n]")
+_STOPS = ".?!؟\n"
+_COLUMNS = {
+    "kind": pa.int8(), "digest": pa.binary(), "chars": pa.int64(), "bytes": pa.int64(), "broken": pa.bool_(), "marked": pa.bool_(), "closed": pa.bool_(), "tail": pa.string(), "prior": pa.string(),
+    "short": pa.bool_(), "letters": pa.string(), "head": pa.int64(), "word": pa.string(), "n": pa.int64(), "n_end": pa.int64(), "n_last": pa.int64(),
+}
+
+
+def scan_texts(texts: DataFrame, text_col: str) -> DataFrame:
+    """What one reading of distinct texts gives, as rows of two kinds.
+
+    0: a text that is not blank: md5 digest, sizes, how it ends, its letters and
+    digits if there are at least HEAD of them, and a hash of the first HEAD;
+    1: a word with its uses other than as a text's last word, those of them that
+    end a sentence or line, and its uses as the last word of a text, summed over
+    a batch. Marks after a cut are taken off before words and letters are taken.
+    """
+    names = {pa.int8(): "byte", pa.binary(): "binary", pa.int64(): "long", pa.bool_(): "boolean", pa.string(): "string"}
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        form = Canoniser(fold_case=True, strip_marks=True)
-        schema = pa.schema([(f.split()[0], {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}[f.split()[1]]) for f in _FEATURES.split(", ")])
+        form, plain = Canoniser(fold_case=True, strip_marks=True), Canoniser(fold_case=True, strip_marks=True, trim=False, lines=True)
+
+        def batch(size: int, kind: int, **cols: list) -> pa.RecordBatch:
+            have = cols | {"kind": [kind] * size}
+            return pa.RecordBatch.from_arrays([pa.array(have[c], t) if c in have else pa.nulls(size, t) for c, t in _COLUMNS.items()], names=list(_COLUMNS))
+
         for b in batches:
-            out, known = [], {}
-            for r, s, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+            rows: dict[str, list] = {c: [] for c in ("digest", "chars", "bytes", "broken", "marked", "closed", "tail", "prior", "short", "letters", "head")}
+            uses, ends, lasts = Counter(), Counter(), Counter()
+            for t in b.column(0).to_pylist():
                 if not t or not t.strip():
                     continue
-                if t not in known:
-                    raw = t.encode("utf-8", "surrogatepass")
-                    known[t] = _ending(t, form) | {
-                        "digest": int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "big", signed=True), "chars": len(t), "bytes": len(raw),
-                    }
-                out.append(known[t] | {"row": r, "source": s})
-            yield from pa.Table.from_pylist(out, schema=schema).to_batches()
+                raw = t.encode("utf-8", "surrogatepass")
+                bare = t.rstrip().rstrip("�")
+                # Only the end can hold marks of a cut; the rest is not searched for them.
+                bare = bare[:-400] + _REMARK.sub("", _DOTS.sub("", bare[-400:]))
+                ws = _TOKEN.findall(plain(bare))
+                letters = "".join(w for w in ws if w not in _STOPS).replace("'", "").replace('"', "")
+                long = len(letters) >= HEAD
+                made = _ending(t, form) | {
+                    "digest": hashlib.md5(raw).digest(), "chars": len(t), "bytes": len(raw), "letters": letters if long else None,
+                    "head": int.from_bytes(hashlib.blake2b(letters[:HEAD].encode(), digest_size=8).digest(), "big", signed=True) if long else None,
+                }
+                for c, values in rows.items():
+                    values.append(made[c])
+                while ws and ws[-1] in _STOPS:
+                    ws.pop()
+                if ws:
+                    lasts[ws.pop()] += 1
+                    uses.update(ws)
+                    ends.update(w for w, x in zip(ws, ws[1:]) if x in _STOPS)
+            yield batch(len(rows["digest"]), 0, **rows)
+            words = [w for w in uses.keys() | lasts.keys() if w not in _STOPS]
+            yield batch(len(words), 1, word=words, n=[uses[w] for w in words], n_end=[ends[w] for w in words], n_last=[lasts[w] for w in words])
 
-    return docs.select(F.col(row).cast("long").alias("row"), F.col(source).alias("source"), F.col(text_col).alias("t")).mapInArrow(work, _FEATURES)
+    return texts.select(text_col).mapInArrow(work, ", ".join(f"{c} {names[t]}" for c, t in _COLUMNS.items()))
 
 
-def prefix_copies(docs: DataFrame, text_col: str, least: int = 24) -> DataFrame:
-    """Digests of the texts whose letters and digits are a strict prefix of another text's.
+def prefix_copies(texts: DataFrame) -> DataFrame:
+    """Digests of the texts (digest, letters, head) whose letters are a strict prefix of another text's.
 
-    Values are sorted over the cluster; one that is a prefix of any other is a
-    prefix of the next different one. Values that end a sorted partition meet
-    the first value of the next in a second, tiny step. A batch gives each text
-    once, so a text that fills a third of the rows comes to one partition once
-    per ten thousand rows. Texts of fewer than ``least`` letters are left out.
+    Only texts whose first HEAD letters another text shares are sorted over the
+    cluster; a value that is a prefix of any other is a prefix of the next
+    different one. Values that end a sorted partition meet the first value of
+    the next in a second, tiny step. Borders are BORDER letters long.
     """
+    spark = texts.sparkSession
+    long = texts.filter("letters IS NOT NULL")
+    shared = written(long.groupBy("head").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("head"))
+    bits = key_filter(shared, F.col("head"), filter_bits(shared.count()))
 
-    rows = docs.select(text_col)
-    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-
-    def keyed(source: DataFrame, borders: list[str]) -> DataFrame:
-        def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            form, gap = Canoniser(fold_case=True, strip_marks=True), re.compile(r"[\W_]+")
-            for b in batches:
-                keys, digests = [], []
-                for t in b.column(0).unique().to_pylist():
-                    if t:
-                        k = gap.sub("", form(_REMARK.sub("", _DOTS.sub("", t.rstrip().rstrip("�")))))
-                        if len(k) >= least:
-                            keys.append(k)
-                            digests.append(int.from_bytes(hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True))
-                parts = [bisect_right(borders, k) for k in keys]
-                yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(keys, pa.string()), pa.array(digests, pa.int64())], names=["part", "k", "digest"])
-
-        return source.mapInArrow(work, "part int, k string, digest long")
-
-    # Borders from a sample of bounded size, so that the values themselves are formed once; every row is sorted between them.
-    total = rows.count()
-    some = sorted({r[0] for r in keyed(rows.sample(min(1.0, SAMPLE_A_PART * n / max(total, 1)), seed=7), []).select("k").collect()})
+    def passing(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(in_filter(bits, b.column(2).to_numpy(zero_copy_only=False).view("uint64"))))
+
+    rows = written(long.select("letters", "digest", "head").mapInArrow(passing, "letters string, digest binary, head long").select("letters", "digest"))
+    total, n = rows.count(), max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    some = sorted(r[0] for r in rows.sample(min(1.0, SAMPLE_A_PART * n / max(total, 1)), seed=7).select(F.substring("letters", 1, BORDER)).collect())
     borders = [some[len(some) * i // n] for i in range(1, n)] if some else []
-    values = keyed(rows, borders)
+
+    def placed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            parts = pa.array([bisect_right(borders, k[:BORDER]) for k in b.column(0).to_pylist()], pa.int32())
+            yield pa.RecordBatch.from_arrays([parts, *b.columns], names=["part", "k", "digest"])
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, last, texts = TaskContext.get().partitionId(), None, set()
-        schema = pa.schema([("kind", pa.string()), ("part", pa.int64()), ("k", pa.string()), ("digest", pa.int64())])
+        part, last, held = TaskContext.get().partitionId(), None, []
+        schema = pa.schema([("kind", pa.string()), ("part", pa.int64()), ("k", pa.string()), ("digest", pa.binary())])
         for b in batches:
             out = []
             for k, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -142,61 +175,40 @@ def prefix_copies(docs: DataFrame, text_col: str, least: int = 24) -> DataFrame:
                     if last is None:
                         out.append({"kind": "first", "part": part, "k": k, "digest": d})
                     elif k.startswith(last):
-                        out += [{"kind": "hit", "part": part, "k": None, "digest": x} for x in texts]
-                    last, texts = k, set()
-                texts.add(d)
+                        out += [{"kind": "hit", "part": part, "k": None, "digest": x} for x in held]
+                    last, held = k, []
+                held.append(d)
             yield from pa.Table.from_pylist(out, schema=schema).to_batches()
         if last is not None:
-            yield from pa.Table.from_pylist([{"kind": "last", "part": part, "k": last, "digest": x} for x in texts], schema=schema).to_batches()
+            yield from pa.Table.from_pylist([{"kind": "last", "part": part, "k": last, "digest": x} for x in held], schema=schema).to_batches()
 
-    scanned = cut_lineage(values.repartitionById(n, "part").select("k", "digest").sortWithinPartitions("k").mapInArrow(scan, "kind string, part long, k string, digest long"))
+    values = rows.mapInArrow(placed, "part int, k string, digest binary").repartitionById(n, "part").select("k", "digest")
+    scanned = written(values.sortWithinPartitions("k").mapInArrow(scan, "kind string, part long, k string, digest binary"))
     firsts = scanned.filter("kind = 'first'").select(F.col("part").alias("p2"), F.col("k").alias("k2"))
-    lasts = scanned.filter("kind = 'last'")
     # At most one row a partition: the first value of the next partition that has any.
     order = W.orderBy(F.desc("p2"))
     nexts = firsts.withColumn("to", F.lag("p2").over(order)).withColumn("k_to", F.lag("k2").over(order))
-    across = lasts.join(nexts, F.col("p2") == F.col("part")).filter(F.col("k_to").startswith(F.col("k")) & (F.length("k_to") > F.length("k"))).select("digest")
+    across = scanned.filter("kind = 'last'").join(nexts, F.col("p2") == F.col("part")).filter(F.col("k_to").startswith(F.col("k")) & (F.length("k_to") > F.length("k"))).select("digest")
     return scanned.filter("kind = 'hit'").select("digest").union(across).distinct()
 
 
-def word_uses(docs: DataFrame, text_col: str) -> DataFrame:
-    """(word, n, n_end, n_last): uses other than as a text's last word, those of them that end a sentence
-    or line, and uses as the last word of a text. Counted over whole texts, summed per batch first; each different text counts
-    once, wherever its copies lie. Copies are dropped before the shuffle, so a hot text meets itself once a task."""
-
-    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        form = Canoniser(fold_case=True, strip_marks=True, trim=False, lines=True)
-        token = re.compile(r"[^\W_]+(?:['\"][^\W_]+)*|[.?!؟\n]")
-        for b in batches:
-            uses, ends, lasts = Counter(), Counter(), Counter()
-            for t in b.column(0).to_pylist():
-                if not t:
-                    continue
-                ws = token.findall(form(t))
-                while ws and ws[-1] in ".?!؟\n":
-                    ws.pop()
-                if not ws:
-                    continue
-                lasts[ws.pop()] += 1
-                uses.update(ws)
-                ends.update(w for w, x in zip(ws, ws[1:]) if x in ".?!؟\n")
-            for x in ".?!؟\n":
-                uses.pop(x, None)
-                ends.pop(x, None)
-            words = list(uses.keys() | lasts.keys())
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *[pa.array([c[w] for w in words], pa.int64()) for c in (uses, ends, lasts)]], names=["word", "n", "n_end", "n_last"])
-
-    return docs.select(text_col).distinct().mapInArrow(work, "word string, n long, n_end long, n_last long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_end").alias("n_end"), F.sum("n_last").alias("n_last"))
+def tail_uses(words: DataFrame, tails: DataFrame) -> DataFrame:
+    """Prefix self-join of words: of each of the ``tails`` (tail) its uses n, n_end, n_last and n_longer, the uses of the
+    longer words that it begins. ``words`` has word, n, n_end, n_last. Words with digits are no longer words."""
+    own = tails.join(words.withColumnRenamed("word", "tail"), "tail", "left").fillna(0, ["n", "n_end", "n_last"])
+    begun = words.filter("n > 0 AND NOT word RLIKE '[0-9]'").select("n", F.explode(F.expr("transform(sequence(1, greatest(length(word) - 1, 1)), i -> substring(word, 1, i))")).alias("tail"), "word").filter("tail <> word")
+    longer = begun.join(tails, "tail", "left_semi").groupBy("tail").agg(F.sum("n").alias("n_longer"))
+    return own.join(longer, "tail", "left").fillna(0, ["n_longer"])
 
 
 def field_limits(ends: DataFrame) -> DataFrame:
-    """(source, unit, size): lengths at which unusually many distinct texts of a source end.
+    """(source, unit, size): lengths at which unusually many of ``ends``, the different texts of each source, end.
 
     In code points, and in UTF-8 bytes (where a limit inside a character leaves
     one to three bytes less).
     """
-    open_ = ends.filter("NOT closed OR marked").select("source", "digest", "chars", "bytes").distinct()
-    every = ends.select("source", "digest", "chars", "bytes").distinct()
+    open_ = ends.filter("NOT closed OR marked").select("source", "chars", "bytes")
+    every = ends.select("source", "chars", "bytes")
     unit = F.explode(F.array(F.struct(F.lit("chars").alias("u"), F.col("chars").alias("s")), F.struct(F.lit("bytes").alias("u"), F.col("bytes").alias("s")))).alias("x")
     hist = every.select("source", unit).groupBy("source", F.col("x.u").alias("unit"), F.col("x.s").alias("size")).agg(F.count(F.lit(1)).alias("c"))
     opened = open_.select("source", unit).groupBy("source", F.col("x.u").alias("unit"), F.col("x.s").alias("size")).agg(F.count(F.lit(1)).alias("c_open")).filter(F.col("c_open") >= SPIKE_LEAST)
@@ -212,55 +224,61 @@ def field_limits(ends: DataFrame) -> DataFrame:
     return sharp.filter((F.col("unit") == F.col("top_unit")) & (F.col("c") >= F.col("top_c") * SPIKE_OF_TOP)).select("source", "unit", "size")
 
 
+def evidence_columns(open_end: Column) -> list[tuple[str, Column]]:
+    """(evidence, condition) over the gathered columns, in order of how directly they show a cut."""
+    n, longer, end, last = (F.coalesce(F.col(c), F.lit(0)) for c in ("n", "n_longer", "n_end", "n_last"))
+    word = ((n == 0) & (longer > 0) & (last <= LAST_TIMES * longer)) | ((longer >= 5) & (n * 50 <= longer) & (end == 0))
+    unsigned = open_end & ~F.col("signed")
+    return [
+        ("copy", unsigned & F.coalesce(F.col("copied"), F.lit(False))), ("word", open_end & word), ("limit", unsigned & F.coalesce(F.col("hit"), F.lit(False))),
+        ("broken", F.col("broken")), ("marked", F.col("marked")), ("unclosed", unsigned & ((F.col("p_closed") >= RULE_SHARE) | (F.col("p_signed") >= RULE_SHARE))),
+        ("sentence", unsigned & (n >= ATTESTED) & (end <= n * NEVER_LAST)),
+    ]
+
+
 def truncated(docs: DataFrame, id_col: str, text_col: str, source: str) -> DataFrame:
     """Every text row with ``cut`` (boolean) and the evidence for it.
 
-    Evidence: 'broken' (ends in a replacement character), 'marked' (a mark after
-    an open end), 'copy' (a longer copy exists), 'unclosed' (no full stop or
-    sign-off where the source's texts have one as a rule), 'word' (the last word
-    is a beginning of words, not a word), 'sentence' (the last word cannot end a
-    sentence), 'limit' (open end at a length where the source's texts are cut).
-    Null, empty and blank texts are complete. A null source is a source.
-    Output: id, source, cut, evidence (array).
+    Evidence by prefix: 'copy' (a longer copy exists), 'word' (the last word is
+    a beginning of words, not a word), 'limit' (open end at a length where the
+    source's texts are cut). Evidence by the end alone: 'broken' (a replacement
+    character), 'marked' (a mark after an open end), 'unclosed' (no full stop or
+    sign-off where the source's texts have one as a rule), 'sentence' (the last
+    word cannot end a sentence). Null, empty and blank texts are complete and
+    left out. A null source is a source. Output: id, source, cut, evidence (array).
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("row"), source, text_col)
-    ends = cut_lineage(endings(rows, "row", text_col, source))
-
-    lines = ends.filter("prior IS NOT NULL AND short").groupBy("prior").agg(F.countDistinct("digest").alias("n_prior"))
-    total = ends.agg(F.count(F.lit(1)).alias("n_rows"))
-    frequent = lines.crossJoin(F.broadcast(total)).filter("n_prior >= greatest(5, ceil(n_rows * 0.0005)) AND length(prior) <= 40").select("prior", F.lit(True).alias("greets"))
-    signed = ends.join(frequent, "prior", "left").withColumn("signed", ~F.col("closed") & F.col("short") & F.coalesce("greets", F.lit(False)) & ~F.col("marked") & ~F.col("broken")).drop("greets")
-
-    # Copies show nothing about how a source's texts end as a rule: each text of a source is asked once.
-    share = signed.select("source", "digest", "closed", "signed").distinct().groupBy("source").agg(F.avg(F.col("closed").cast("double")).alias("p_closed"), F.avg(F.col("signed").cast("double")).alias("p_signed"))
-    share = share.withColumnRenamed("source", "__s")
-    ruled = signed.join(share, signed["source"].eqNullSafe(share["__s"])).drop("__s")
-
-    limits = field_limits(ends).withColumn("hit", F.lit(True))
-    reach = limits.select(F.col("source").alias("__s"), "unit", "size", "hit")
-    by_chars = reach.filter("unit = 'chars'").select("__s", F.col("size").alias("chars_l"), F.col("hit").alias("hit_c"))
-    by_bytes = reach.filter("unit = 'bytes'").select(F.col("__s").alias("__t"), F.col("size").alias("bytes_l"), F.col("hit").alias("hit_b"))
-    at = ruled.join(by_chars, ruled["source"].eqNullSafe(by_chars["__s"]) & (ruled["chars"] == by_chars["chars_l"]), "left").drop("__s", "chars_l")
-    at = at.join(by_bytes, at["source"].eqNullSafe(by_bytes["__t"]) & (at["bytes"] == by_bytes["bytes_l"]), "left").drop("__t", "bytes_l")
-
-    uses = cut_lineage(word_uses(rows, text_col))
-    tails = ends.filter("tail IS NOT NULL AND NOT closed").select(F.col("tail").alias("word")).distinct()
-    own = tails.join(uses, "word", "left").fillna(0)
-    begun = uses.filter("n > 0 AND NOT word RLIKE '[0-9]'").select("n", F.explode(F.expr("transform(sequence(1, greatest(length(word) - 1, 1)), i -> substring(word, 1, i))")).alias("head"), "word").filter("head <> word")
-    longer = begun.groupBy("head").agg(F.sum("n").alias("n_longer"))
-    stat = own.join(longer, F.col("word") == F.col("head"), "left").select(F.col("word").alias("tail"), "n", "n_end", "n_last", F.coalesce("n_longer", F.lit(0)).alias("n_longer"))
-    known = at.join(stat, "tail", "left")
-
-    copies = prefix_copies(rows, text_col).withColumn("copied", F.lit(True))
-    full = known.join(copies, "digest", "left")
-    n, longer_, end, last = (F.coalesce(c, F.lit(0)) for c in ("n", "n_longer", "n_end", "n_last"))
-    word = ((n == 0) & (longer_ > 0) & (last <= LAST_TIMES * longer_)) | ((longer_ >= 5) & (n * 50 <= longer_) & (end == 0))
-    sentence = (n >= ATTESTED) & (end <= n * NEVER_LAST)
-    open_end = ~F.col("closed")
-    unclosed = ((F.col("p_closed") >= RULE_SHARE) | (F.col("p_signed") >= RULE_SHARE)) & ~F.col("signed")
-    marks = [
-        ("broken", F.col("broken")), ("marked", F.col("marked")), ("copy", open_end & F.coalesce("copied", F.lit(False)) & ~F.col("signed")), ("unclosed", open_end & unclosed),
-        ("word", open_end & word), ("sentence", open_end & sentence & ~F.col("signed")), ("limit", open_end & ~F.col("signed") & (F.coalesce("hit_c", F.lit(False)) | F.coalesce("hit_b", F.lit(False)))),
-    ]
-    evidence = F.filter(F.array(*[F.when(c, F.lit(k)) for k, c in marks]), lambda x: x.isNotNull())
-    return full.select(F.col("row").alias(id_col), F.col("source"), (F.size(evidence) > 0).alias("cut"), evidence.alias("evidence"))
+    some = docs.filter(F.col(text_col).isNotNull() & (F.col(text_col) != ""))
+    read = written(scan_texts(some.select(text_col).distinct(), text_col), "kind")
+    texts = read.filter("kind = 0")
+    rows = written(some.select(F.col(id_col).cast("long").alias("row"), F.col(source).alias("source"), F.unhex(F.md5(text_col)).alias("digest")))
+    pair = F.concat(F.col("digest"), F.encode(F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("~")), "utf-8"))
+    kinds = texts.select("digest", "chars", "bytes", "broken", "marked", "closed", "tail", "prior", "short")
+    ends = written(rows.select("source", "digest").distinct().join(kinds, "digest"))
+
+    # A phrase on the last line but one of so many texts is a greeting: at most 2,000 of them, as each has its share of the texts.
+    lines = ends.filter("prior IS NOT NULL AND short AND length(prior) <= 40").groupBy("prior").agg(F.countDistinct("digest").alias("n_prior"))
+    least = max(5, -(-texts.select("digest").count() // 2000))
+    greets = lines.filter(F.col("n_prior") >= least).select("prior", F.lit(True).alias("greets"))
+    signed = ends.join(F.broadcast(greets), "prior", "left").withColumn("signed", ~F.col("closed") & F.col("short") & F.coalesce("greets", F.lit(False)) & ~F.col("marked") & ~F.col("broken")).drop("greets")
+    name = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("~"))
+    share = signed.groupBy(name.alias("__s")).agg(F.avg(F.col("closed").cast("double")).alias("p_closed"), F.avg(F.col("signed").cast("double")).alias("p_signed"))
+    ruled = lookup_join(signed.withColumn("__s", name), share, "__s", ["digest"])
+
+    limits = field_limits(ends).groupBy(name.alias("__s")).agg(F.collect_set(F.struct("unit", "size")).alias("limits"))
+    at = lookup_join(ruled, written(limits), "__s", ["digest"])
+    hit = lambda u, c: F.array_contains("limits", F.struct(F.lit(u).alias("unit"), F.col(c).alias("size")))
+    at = at.withColumn("hit", F.coalesce(hit("chars", "chars") | hit("bytes", "bytes"), F.lit(False)))
+
+    words = read.filter("kind = 1").groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_end").alias("n_end"), F.sum("n_last").alias("n_last"))
+    tails = texts.filter("tail IS NOT NULL AND NOT closed").select("tail").distinct()
+    # A text without a last word, or with a full stop, asks for none; its key is its own, so such texts do not meet in one task.
+    asked = at.withColumn("tail", F.when(F.col("tail").isNotNull() & ~F.col("closed"), F.col("tail")).otherwise(F.concat(F.lit(" "), F.hex("digest"))))
+    uses = written(tail_uses(words, tails))
+    known = salted_join(asked, uses, "tail", hot_keys(ends.filter("NOT closed"), "tail", ends.count()), ["digest"], "left")
+    full = known.join(prefix_copies(texts.select("digest", "letters", "head")).withColumn("copied", F.lit(True)), "digest", "left")
+
+    found = F.filter(F.array(*[F.when(c, F.lit(k)) for k, c in evidence_columns(~F.col("closed"))]), lambda x: x.isNotNull())
+    judged = written(full.select(pair.alias("pair"), found.alias("evidence")))
+    own = rows.withColumn("pair", pair)
+    out = salted_join(own, judged, "pair", hot_keys(own, "pair", own.count()), ["row"])
+    return out.select(F.col("row").alias(id_col), F.col("source").alias(source), (F.size("evidence") > 0).alias("cut"), "evidence")

@@ -13,7 +13,7 @@ from plenora.llm.leakage import holds_passage, leaks, seeds, tiles
 from plenora.llm.names import _lgamma, _near, attribute, learn_lexicon, linked_pairs, surname_neighbours
 from plenora.llm.packing import first_fit_decreasing, pack, token_counts
 from plenora.llm.sampling import cohort_weights, consistent_sample
-from plenora.llm.truncation import prefix_copies, truncated, word_uses
+from plenora.llm.truncation import prefix_copies, scan_texts, tail_uses, truncated
 from plenora.llm.turns import collapse_runs
 from plenora.operators.segments import usable_spans
 from tests.conftest import DATA
@@ -380,10 +380,12 @@ def test_prefix_copies(spark):
     long = [" ".join(_sentence(rnd, 40)) for _ in range(60)]
     cut = [t[: 80 + 7 * i] for i, t in enumerate(long[:20])]
     rows = [(t,) for t in long + cut + cut[:5] + [cut[3] + " …", None, "", "tiny"]]
-    got = prefix_copies(spark.createDataFrame(rows, "t string"), "t").count()
-    assert got == 21  # twenty cut values, one of them also with a mark
+    letters = lambda x: scan_texts(spark.createDataFrame(x, "t string").distinct(), "t").filter("kind = 0").select("digest", "letters", "head")
+    assert prefix_copies(letters(rows)).count() == 21  # twenty cut values, one of them also with a mark
     hot = [("same beginning of every text here " + t,) for t in long] * 3
-    assert prefix_copies(spark.createDataFrame(hot, "t string"), "t").count() == 0
+    assert prefix_copies(letters(hot)).count() == 0
+    nested = [("same beginning of every text here " + long[0][:k],) for k in range(300, 20, -1)]
+    assert prefix_copies(letters(nested + hot)).count() == len(nested)
 
 
 def test_truncated(spark):
@@ -425,7 +427,10 @@ def test_word_uses_count_each_text_once(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(4)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1)
     try:
-        got = {r.word: (r.n, r.n_end, r.n_last) for r in word_uses(df, "t").collect()}
+        words = scan_texts(df.distinct(), "t").filter("kind = 1").groupBy("word").agg(*[F.sum(c).alias(c) for c in ("n", "n_end", "n_last")])
+        got = {r.word: (r.n, r.n_end, r.n_last) for r in words.collect()}
+        tails = {r.tail: (r.n, r.n_longer) for r in tail_uses(words, spark.createDataFrame([("coun",), ("zzz",)], "tail string")).collect()}
+        assert tails == {"coun": (0, 4), "zzz": (0, 0)}
         rows = spark.createDataFrame([(i, t, "spoken") for i, t in enumerate(texts)], "id long, t string, src string").repartition(4)
         found = {r.id for r in truncated(rows, "id", "t", "src").filter("array_contains(evidence, 'word')").collect()}
     finally:

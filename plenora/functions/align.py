@@ -67,26 +67,36 @@ def edit_ops(r: list[str], h: list[str]) -> list[tuple[str, int, int]]:
     """Alignment as (op, index in r, index in h), op of '=', 'S', 'D', 'I'.
 
     Ties are settled in one order, from the end: match or substitution, then
-    deletion, then insertion. Whole texts, any length: the table is kept as one
-    byte a cell.
+    deletion, then insertion. Whole texts, any length. Equal ends are matched
+    first, and of the table only the band is filled that a path of the known
+    distance can reach.
     """
-    n, m = len(r), len(h)
-    back = bytearray((n + 1) * (m + 1))
-    prev = list(range(m + 1))
+    tail = 0
+    while tail < min(len(r), len(h)) and r[-1 - tail] == h[-1 - tail]:
+        tail += 1
+    n, m = len(r) - tail, len(h) - tail
+    far = distance(r[:n], h[:m])
+    out = [("=", n + k, m + k) for k in reversed(range(tail))]
+    width, none = 2 * far + 1, 1 << 30
+    back = bytearray((n + 1) * width)
+    # Cell (i, j) stands at j - i + far of row i.
+    prev = [j - far if j >= far and j - far <= m else none for j in range(width)] + [none]
     for i in range(1, n + 1):
-        cur, row, ri = [i] + [0] * m, i * (m + 1), r[i - 1]
-        for j in range(1, m + 1):
-            diag, up, left = prev[j - 1] + (ri != h[j - 1]), prev[j] + 1, cur[j - 1] + 1
+        cur, row, ri = [none] * (width + 1), i * width, r[i - 1]
+        for k in range(max(0, far - i), min(width, m - i + far + 1)):
+            j = k + i - far
+            diag = prev[k] + (ri != h[j - 1]) if j else none
+            up, left = prev[k + 1] + 1, cur[k - 1] + 1 if k else none
             if diag <= up and diag <= left:
-                cur[j] = diag
+                cur[k] = diag
             elif up <= left:
-                cur[j], back[row + j] = up, 1
+                cur[k], back[row + k] = up, 1
             else:
-                cur[j], back[row + j] = left, 2
+                cur[k], back[row + k] = left, 2
         prev = cur
-    i, j, out = n, m, []
+    i, j = n, m
     while i or j:
-        step = back[i * (m + 1) + j] if i and j else (1 if i else 2)
+        step = back[i * width + j - i + far] if i and j else (1 if i else 2)
         if step == 0:
             i, j = i - 1, j - 1
             out.append(("=" if r[i] == h[j] else "S", i, j))
@@ -135,10 +145,26 @@ def edit_stream(ref, hyp):  # noqa: ANN001, ANN201
     return ref.__class__(out)
 
 
+def char_distance(ref: Column, hyp: Column) -> Column:
+    """Levenshtein distance over the characters of two normalised texts, JVM-side; null counts as ''."""
+    return F.levenshtein(F.coalesce(ref, F.lit("")), F.coalesce(hyp, F.lit("")))
+
+
+def word_keys(text: str | None) -> tuple[list[str], list[str]]:
+    """Blank-separated words of a raw text and what they are compared by: compatibility form without points and
+    punctuation. Words of which nothing is left are their own keys."""
+    import re
+    import unicodedata
+
+    words = (text or "").split() if isinstance(text, str) else []
+    return words, [re.sub(r"[\W_]+", "", re.sub("[\u0591-\u05c7]", "", unicodedata.normalize("NFKC", w))) or w for w in words]
+
+
 @F.pandas_udf(RESTORED)
 def restore_shared(ref, hyp, other):  # noqa: ANN001, ANN201
     """The reference with words put back that both hypotheses have in addition.
 
+    Words are aligned by their keys (``word_keys``) and keep their own spelling.
     Neighbouring differences form one block; of a block with more words in
     ``hyp`` than in ``ref``, up to the excess of those that ``other`` also has
     (each use once) go back, in their order, after the block. The reference's
@@ -150,8 +176,8 @@ def restore_shared(ref, hyp, other):  # noqa: ANN001, ANN201
 
     rows = []
     for a, b, c in zip(ref, hyp, other):
-        r, h, pool = (x.split() if isinstance(x, str) else [] for x in (a, b, c))
-        left, out, n, k, ops = Counter(pool), [], 0, 0, edit_ops(r, h)
+        (r, rk), (h, hk), (_, pool) = word_keys(a), word_keys(b), word_keys(c)
+        left, out, n, k, ops = Counter(pool), [], 0, 0, edit_ops(rk, hk)
         while k < len(ops):
             if ops[k][0] == "=":
                 out.append(r[ops[k][1]])
@@ -162,13 +188,13 @@ def restore_shared(ref, hyp, other):  # noqa: ANN001, ANN201
                 end += 1
             block = ops[k:end]
             out += [r[i] for o, i, _ in block if o in "SD"]
-            theirs = [h[j] for o, _, j in block if o in "SI"]
+            theirs = [j for o, _, j in block if o in "SI"]
             excess = len(theirs) - sum(o in "SD" for o, _, _ in block)
-            for w in theirs:
-                if excess > 0 and left[w] > 0:
-                    left[w] -= 1
+            for j in theirs:
+                if excess > 0 and left[hk[j]] > 0:
+                    left[hk[j]] -= 1
                     excess -= 1
-                    out.append(w)
+                    out.append(h[j])
                     n += 1
             k = end
         rows.append((" ".join(out), n))
@@ -189,3 +215,23 @@ def shared_insertions(ops_a: DataFrame, key: str) -> DataFrame:
     """
     per = ops_a.groupBy(key, "word").agg(F.count_if(F.col("arm") == "A").alias("a"), F.count_if(F.col("arm") == "B").alias("b"))
     return per.groupBy(key).agg(F.sum(F.least("a", "b")).alias("shared"))
+
+
+_WORDS = T.ArrayType(T.StringType())
+
+
+@F.pandas_udf(_WORDS)
+def multiset_rest(a, b):  # noqa: ANN001, ANN201
+    """The words of ``a`` in order without those that ``b`` has too, each use once; null counts as none."""
+    from collections import Counter
+
+    out = []
+    for x, y in zip(a, b):
+        left, rest = Counter([] if y is None else list(y)), []
+        for w in [] if x is None else list(x):
+            if left[w] > 0:
+                left[w] -= 1
+            else:
+                rest.append(w)
+        out.append(rest)
+    return a.__class__(out)

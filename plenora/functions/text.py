@@ -12,21 +12,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Title words that may lead a speaker's name; an optional last letter is in brackets.
-CHAIR_TITLES = ['היו"ר', "היו״ר", 'יו"ר', "יו״ר", 'מ"מ היו"ר', "מ״מ היו״ר", 'ממלא[ת] מקום היו"ר', "היושב[ת] ראש", "היושב[ת]-ראש"]
+# Whole titles that may lead a speaker's name, a chair's and others.
+CHAIR_TITLES = [
+    'היו"ר', "היו״ר", 'יו"ר', "יו״ר", 'מ"מ היו"ר', "מ״מ היו״ר", 'ממלא מקום היו"ר', 'ממלאת מקום היו"ר', "היושב ראש", "היושבת ראש", "היושב-ראש", "היושבת-ראש",
+]
 OTHER_TITLES = [
-    "היו'ר", 'ח"כ', 'חה"כ', "ח״כ", "חה״כ", "חבר הכנסת", "חברת הכנסת", "ראש הממשלה", "סגן השר", "סגנית השרה", "סגני[ת] השר[ה]", "השר[ה]", "שר[ת]",
-    "מזכיר[ת] הכנסת", "מנהל[ת] הועדה", "מנהל[ת] ועדה", "מנהל[ת] הוועדה", "היועצ[ת] המשפטי[ת]", "יועצ[ת] משפטי[ת]",
+    "היו'ר", 'ח"כ', 'חה"כ', "ח״כ", "חה״כ", "חבר הכנסת", "חברת הכנסת", "ראש הממשלה", "סגן השר", "סגנית השרה", "סגנית השר", "סגני השר", "סגני השרה", "השר", "השרה", "שר", "שרת",
+    "מזכיר הכנסת", "מזכירת הכנסת", "מנהל הועדה", "מנהלת הועדה", "מנהל ועדה", "מנהלת ועדה", "מנהל הוועדה", "מנהלת הוועדה", "היועץ המשפטי", "היועצת המשפטית", "היועצ המשפטי", "היועצת המשפטי", "היועצ המשפטית",
+    "יועץ משפטי", "יועצת משפטית", "יועצ משפטי", "יועצת משפטי", "יועצ משפטית",
 ]
-
-
-def _alternatives(titles: list[str]) -> str:
-    return "|".join(t.replace("[", "").replace("]", "?") if "[" in t else t for t in sorted(titles, key=len, reverse=True))
-
-
 #: A title at the start of a line, followed by a blank.
-TITLE = rf"^(?:{_alternatives(CHAIR_TITLES + OTHER_TITLES)})\s+"
-CHAIR = rf"^\s*(?:{_alternatives(CHAIR_TITLES)})\s"
+TITLE = rf"^(?:{'|'.join(CHAIR_TITLES + OTHER_TITLES)})\s+"
+CHAIR = rf"^\s*(?:{'|'.join(CHAIR_TITLES)})\s"
 MAX_NAME_CHARS, MAX_NAME_TOKENS = 60, 8
 
 

@@ -5,9 +5,11 @@ from __future__ import annotations
 import heapq
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plenora.session import written
+
 MIN_GAIN, MIN_HELPED = 0.01, 3
 
 
@@ -39,7 +41,7 @@ def base_check(base: DataFrame, known: DataFrame, key: str, rate: str, tolerance
 def insertion_source(wer_base: Column, wer_tuned: Column, i_base: Column, i_tuned: Column) -> Column:
     """Share of a gain that comes from insertions, clipped to [-5, 5]; null without a difference."""
     gain = wer_base - wer_tuned
-    return F.greatest(F.least((i_base * wer_base - i_tuned * wer_tuned) / F.nullif(gain, F.lit(0.0)), F.lit(5.0)), F.lit(-5.0))
+    return F.when(gain != 0, F.greatest(F.least((i_base * wer_base - i_tuned * wer_tuned) / gain, F.lit(5.0)), F.lit(-5.0)))
 
 
 def with_fallback(own: DataFrame, control: DataFrame, keys: Sequence[str], budget: str, value: str, default_budget: int) -> DataFrame:
@@ -52,19 +54,37 @@ def with_fallback(own: DataFrame, control: DataFrame, keys: Sequence[str], budge
 
 
 def job_states(jobs: DataFrame) -> DataFrame:
-    """``jobs`` (id, deps array, status) with ``ready`` (pending, all dependencies done) and ``dead`` (pending with a failed ancestor)."""
-    spark: SparkSession = jobs.sparkSession
-    jobs.createOrReplaceTempView("__plenora_jobs")
-    dead = spark.sql("""
-        WITH RECURSIVE edges AS (SELECT id, explode(deps) AS dep FROM __plenora_jobs),
-        dead(id) AS (SELECT e.id FROM edges e JOIN __plenora_jobs j ON e.dep = j.id WHERE j.status = 'failed' UNION ALL SELECT e.id FROM edges e JOIN dead d ON e.dep = d.id)
-        SELECT DISTINCT id, true AS is_dead FROM dead""")
-    waits = jobs.select("id", F.explode("deps").alias("dep")).join(jobs.select(F.col("id").alias("dep"), "status"), "dep", "left").filter("status IS NULL OR status <> 'done'").select("id").distinct().withColumn("waits", F.lit(True))
-    j = jobs.join(dead, "id", "left").join(waits, "id", "left")
+    """``jobs`` (id, deps array, status) with ``ready`` (pending, all dependencies done) and ``dead`` (pending with a failed ancestor).
+
+    Each round marks jobs that wait for a failed or dead one and lets the other
+    edges skip a job with one dependency, so a chain of any length takes as many
+    rounds as its length has binary digits. A dependency that is no job is never done.
+    """
+    edges = written(jobs.select("id", F.explode("deps").alias("dep")).distinct())
+    dead = jobs.filter("status = 'failed'").select(F.col("id").alias("dep"), F.lit(True).alias("bad"))
+    live, mark = edges, None
+    while True:
+        only = live.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("dep").alias("next")).select(F.col("id").alias("dep"), "n", "next")
+        seen = live.join(dead, "dep", "left").join(only, "dep", "left")
+        # An edge to a job that is not bad and waits for nothing shows nothing; the way through one dependency is taken at once.
+        nxt = seen.filter("bad OR n IS NOT NULL").select("id", F.when(F.col("bad").isNull() & (F.col("n") == 1), F.col("next")).otherwise(F.col("dep")).alias("dep")).filter("id <> dep").distinct()
+        live = written(nxt)
+        dead = written(dead.unionByName(live.join(dead, "dep", "left_semi").select(F.col("id").alias("dep"), F.lit(True).alias("bad"))).distinct())
+        state = live.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("id", "dep"))).first(), dead.count()
+        if state == mark:
+            break
+        mark = state
+    waits = edges.join(jobs.select(F.col("id").alias("dep"), "status"), "dep", "left").filter("status IS NULL OR status <> 'done'").select("id").distinct().withColumn("waits", F.lit(True))
+    j = jobs.join(dead.select(F.col("dep").alias("id"), F.col("bad").alias("is_dead")), "id", "left").join(waits, "id", "left")
     pending = F.col("status") == "pending"
     return j.select(*jobs.columns, (pending & F.col("waits").isNull()).alias("ready"), (pending & F.coalesce("is_dead", F.lit(False))).alias("dead"))
 
 
+def finished(jobs: DataFrame) -> DataFrame:
+    """One row: whether a queue of ``job_states`` is at its end: nothing runs or is on hold, and all pending jobs are dead."""
+    return jobs.agg(F.coalesce(F.bool_and(~F.col("status").isin("running", "hold") & ((F.col("status") != "pending") | F.col("dead"))), F.lit(True)).alias("finished"))
+
+
 def simulate_schedule(jobs: Sequence[dict], workers: int) -> float:
     """Wall time of list scheduling: each free worker takes the ready job of greatest (prio, est). Driver-side, for small graphs."""
     left, done, running, now = {j["id"]: j for j in jobs}, set(), [], 0.0

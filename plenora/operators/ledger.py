@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from bisect import bisect_left
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def latest_success(df: DataFrame, keys: Sequence[str], ok: Column, ts: str, keep: Sequence[str]) -> DataFrame:
@@ -64,17 +68,72 @@ def multiset_difference(a: DataFrame, b: DataFrame, cols: Sequence[str]) -> Data
     return ca.join(r, on, "left").withColumn("n", F.col("na") - F.coalesce("nb", F.lit(0))).filter("n > 0").select(*cols, "n")
 
 
-def pack_by_size(df: DataFrame, order: Sequence[str], size: str, limit: int, chunk: str | None = None) -> DataFrame:
-    """``df`` with ``shard``: the running size in order over the limit, whole part.
-
-    With ``chunk`` (a column rising with the order, e.g. a bucket of it) the
-    running sum is taken chunk by chunk and no task sees all rows.
+def _cuts(sizes: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For rows packed from a fresh shard at each of them: the row after its shard, what is pending after the last row, the shards closed."""
+    m = len(sizes)
+    cum = np.concatenate([[0], np.cumsum(sizes)])
+    after = np.minimum(np.searchsorted(cum, cum[:-1] + limit, "left"), m + 1)  # m + 1: not closed here
+    pending, closed = np.zeros(m + 1, np.int64), np.zeros(m + 1, np.int64)
+    for i in range(m - 1, -1, -1):
+        if after[i] > m:
+            pending[i] = cum[m] - cum[i]
+        else:
+            pending[i], closed[i] = pending[after[i]], closed[after[i]] + 1
+    return after, pending, closed
+
+
+def pack_by_size(df: DataFrame, order: Sequence[str], size: str, limit: int, chunk: str) -> DataFrame:
+    """``df`` with ``shard``: rows in order fill a shard until its size reaches the limit; the row that does is its last.
+
+    ``chunk`` is a column that rises with the order and whose groups fit a task
+    (a bucket of the order, of many shards' size). What a chunk does depends on
+    the size pending before it only through the place of its first cut, which
+    lies within the chunk's first ``limit`` of size; these places are its
+    summary, the summaries are folded in order, and every chunk is then cut on
+    its own. Null sizes count as 0; rows are in order of (chunk, order), nulls first.
     """
-    from plenora.operators.chunked import running_sum
-
-    keyed = df if chunk else df.withColumn("__chunk", F.lit(0))
-    cum = running_sum(keyed, [], chunk or "__chunk", [F.col(c) for c in order], F.col(size), "__cum")
-    return cum.withColumn("shard", F.floor((F.col("__cum") - F.coalesce(F.col(size), F.lit(0))) / limit)).drop("__cum", *([] if chunk else ["__chunk"]))
+    to = df.schema[chunk].dataType.simpleString()
+    sizes = F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("__size")
+
+    def summary(key: tuple, table: pa.Table) -> pa.Table:
+        s = table.sort_by([(c, "ascending") for c in table.column_names if c.startswith("__o")]).column("__size").to_numpy()
+        cum = np.cumsum(s)
+        first = min(len(s), int(np.searchsorted(cum, limit, "left")) + 1)
+        _, pending, closed = _cuts(s, limit)
+        row = {"__chunk": [key[0].as_py()], "total": [int(cum[-1])], "cum": [cum[:first].tolist()], "pending": [pending[1 : first + 1].tolist()], "closed": [(closed[1 : first + 1] + 1).tolist()]}
+        return pa.table(row, schema=pa.schema([("__chunk", table.schema.field(chunk).type), ("total", pa.int64()), *[(c, pa.list_(pa.int64())) for c in ("cum", "pending", "closed")]]))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, shard = 0, 0
+        for b in batches:
+            carry, base = [], []
+            for total, cum, pending, closed in zip(*(b.column(c).to_pylist() for c in ("total", "cum", "pending", "closed"))):
+                carry.append(held)
+                base.append(shard)
+                j = bisect_left(cum, limit - held)
+                held, shard = (held + total, shard) if j == len(cum) else (pending[j], shard + closed[j])
+            yield pa.RecordBatch.from_arrays([b.column("__chunk"), pa.array(carry, pa.int64()), pa.array(base, pa.int64())], names=["__chunk", "__carry", "__base"])
+
+    keys = [F.col(c).alias(f"__o{i}") for i, c in enumerate(order)]
+    sums = df.filter(F.col(chunk).isNotNull()).select(chunk, sizes, *keys).groupBy(chunk).applyInArrow(summary, f"__chunk {to}, total long, cum array<long>, pending array<long>, closed array<long>")
+    state = sums.repartition(1).sortWithinPartitions("__chunk").mapInArrow(fold, f"__chunk {to}, __carry long, __base long")
+    fields = df.schema.fields
+    both = df.join(state, F.col(chunk) == F.col("__chunk")).select(*df.columns, "__carry", "__base", sizes, *keys)
+
+    def assign(key: tuple, table: pa.Table) -> pa.Table:
+        t = table.sort_by([(c, "ascending") for c in table.column_names if c.startswith("__o")])
+        s, carry, base = t.column("__size").to_numpy(), t.column("__carry")[0].as_py(), t.column("__base")[0].as_py()
+        shard, i, no, m = np.empty(len(s), np.int64), 0, base, len(s)
+        cum = np.concatenate([[0], np.cumsum(s)])
+        while i < m:
+            end = min(m, int(np.searchsorted(cum, cum[i] + limit - carry, "left")))
+            end = max(end, i + 1)
+            shard[i:end] = no
+            i, carry, no = end, 0, no + 1
+        return t.select([f.name for f in fields]).append_column("shard", pa.array(shard))
+
+    out = T.StructType([*fields, T.StructField("shard", T.LongType())])
+    return both.groupBy(chunk).applyInArrow(assign, out)
 
 
 def next_shard(names: DataFrame, col: str) -> DataFrame:

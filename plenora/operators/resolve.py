@@ -63,6 +63,28 @@ def unique_match(names: DataFrame, key: str, clean: str, variants: DataFrame, pe
     return names.join(one, F.col(clean) == F.col("__c"), "left").select(*names.columns, person, "how")
 
 
+def seated_match(rows: DataFrame, clean: str, date: str, variants: DataFrame, person: str, variant: str, stints: DataFrame) -> DataFrame:
+    """``rows`` with (person, how): as ``unique_match``, but only persons whose term covers the row's date are candidates.
+
+    Distinct (name, date) pairs are matched once; the first form that any seated
+    person's spelling equals decides. Rows without a name or date match nobody.
+    """
+    asked = rows.select(F.col(clean).alias("__c"), F.col(date).alias("__d")).filter("__c IS NOT NULL AND __c <> '' AND __d IS NOT NULL").distinct()
+    forms = asked.select("__c", "__d", F.explode(name_forms(F.col("__c"))).alias("f"))
+    hit = forms.join(variants.select(F.col(person).alias("__p"), F.col(variant).alias("__v")).distinct(), F.col("f.form") == F.col("__v"))
+    seated = hit.join(stints.select(F.col(person).alias("__q"), F.col("start").alias("__s"), F.col("end").alias("__e")), F.col("__p") == F.col("__q")).filter("__s <= __d AND (__e IS NULL OR __e >= __d)")
+    per = seated.groupBy("__c", "__d", F.col("f.ix").alias("ix"), F.col("f.how").alias("how")).agg(F.countDistinct("__p").alias("n"), F.min("__p").alias("p"))
+    first = per.groupBy("__c", "__d").agg(F.min_by(F.struct("how", "n", "p"), "ix").alias("x"))
+    one = first.select("__c", "__d", F.when(F.col("x.n") == 1, F.col("x.p")).alias(person), F.when(F.col("x.n") == 1, F.col("x.how")).otherwise("ambiguous").alias("how"))
+    return rows.join(one, (F.col(clean) == F.col("__c")) & (F.col(date) == F.col("__d")), "left").drop("__c", "__d")
+
+
+def verified_sessions(segments: DataFrame, session: str, ok: Column, least: float = 0.90) -> DataFrame:
+    """(session, share, accepted): share of a session's segments whose text stands where it should; sessions below ``least`` are rejected."""
+    per = segments.groupBy(session).agg(F.avg(F.coalesce(ok, F.lit(False)).cast("double")).alias("share"))
+    return per.withColumn("accepted", F.col("share") >= least)
+
+
 def tokens_agree(a: Column, b: Column) -> Column:
     """Whether two token strings agree: equal token sets, or the smaller one, of at least two tokens, within the other.
     Null or empty never agrees."""
@@ -121,9 +143,10 @@ def demote(df: DataFrame, mask: Column, reason: str, cleared: Sequence[str], ren
 
 
 def attach_demographics(rows: DataFrame, primary: DataFrame, fallback: DataFrame, key: str, cols: Sequence[str]) -> DataFrame:
-    """Attributes from the primary roster or, where it lacks the person, all of them from the fallback one."""
-    p = primary.select(F.col(key).alias("__p"), F.struct(*cols).alias("__a")).dropDuplicates(["__p"])
-    f = fallback.select(F.col(key).alias("__f"), F.struct(*cols).alias("__b")).dropDuplicates(["__f"])
+    """Attributes from the primary roster or, where it lacks the person, all of them from the fallback one.
+    Of several rows of a person the greatest values together count."""
+    p = primary.groupBy(F.col(key).alias("__p")).agg(F.max(F.struct(*cols)).alias("__a"))
+    f = fallback.groupBy(F.col(key).alias("__f")).agg(F.max(F.struct(*cols)).alias("__b"))
     both = rows.join(p, F.col(key) == F.col("__p"), "left").join(f, F.col(key) == F.col("__f"), "left")
     return both.withColumn("__x", F.coalesce("__a", "__b")).select(*rows.columns, *[F.col("__x")[c].alias(c) for c in cols])
 

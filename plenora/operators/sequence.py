@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from plenora.operators.chunked import running_sum
+
 MAX_WINDOW_S = 30.0
 
 
@@ -101,10 +103,17 @@ def average_rank(df: DataFrame, keys: Sequence[str], value: str, out: str) -> Da
     """Rank with ties averaged, 1 to n; null values get none.
 
     Counted per distinct value first, so only distinct values are windowed.
+    Without keys the values are cut at approximate quantiles and summed up
+    chunk by chunk, so no task sees them all.
     """
     per = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
-    w = W.partitionBy(*keys).orderBy(value).rowsBetween(W.unboundedPreceding, 0)
-    ranked = per.withColumn(out, F.sum("__n").over(w) - (F.col("__n") - 1) / 2.0).drop("__n")
+    if keys:
+        summed = per.withColumn("__upto", F.sum("__n").over(W.partitionBy(*keys).orderBy(value).rowsBetween(W.unboundedPreceding, 0)))
+    else:
+        edges = per.agg(F.percentile_approx(F.col(value).cast("double"), [k / 64 for k in range(1, 64)]).alias("__edges"))
+        chunked = per.crossJoin(F.broadcast(edges)).withColumn("__chunk", F.size(F.filter("__edges", lambda x: x < F.col(value)))).drop("__edges")
+        summed = running_sum(chunked, [], "__chunk", [F.col(value)], F.col("__n"), "__upto").drop("__chunk")
+    ranked = summed.withColumn(out, F.col("__upto") - (F.col("__n") - 1) / 2.0).drop("__n", "__upto")
     return df.join(ranked, [*keys, value], "left")
 
 
@@ -131,3 +140,30 @@ def suffix_share(df: DataFrame, keys: Sequence[str], order: Sequence[Column | st
     """Share of the group's total that the row and all rows after it hold; null for a total of 0."""
     rest = W.partitionBy(*keys).orderBy(*order).rowsBetween(0, W.unboundedFollowing)
     return df.withColumn(out, F.sum(value).over(rest) / F.nullif(F.sum(value).over(W.partitionBy(*keys)), F.lit(0)))
+
+
+def previous_kept(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], kept: Column, text: str, out: str) -> DataFrame:
+    """Kept rows with the text of the row before them in the group, null at its start and where that row was dropped:
+    a dropped row breaks the chain. A null condition drops the row."""
+    w = W.partitionBy(*keys).orderBy(*order)
+    ok = F.coalesce(kept, F.lit(False))
+    return df.withColumn("__ok", ok).withColumn(out, F.when(F.lag("__ok").over(w), F.lag(text).over(w))).filter("__ok").drop("__ok")
+
+
+def usable_chunk(start: Column, end: Column, audio_s: Column, slack: float = 0.05, least: float = 1.0) -> Column:
+    """Whether a chunk lasts ``least`` seconds and ends no more than ``slack`` beyond its audio."""
+    return (end - start >= least) & (end <= audio_s + slack)
+
+
+def median_while_present(df: DataFrame, series: str, step: str, value: str, digits: int = 9) -> DataFrame:
+    """(step, median, n) over all series, as long as at least half of them have the step."""
+    all_ = df.agg(F.countDistinct(series).alias("__all"))
+    per = df.groupBy(step).agg(F.round(F.percentile(value, 0.5), digits).alias("median"), F.countDistinct(series).alias("n"))
+    return per.crossJoin(F.broadcast(all_)).filter(F.col("n") * 2 >= F.col("__all")).drop("__all")
+
+
+def curve_minimum(df: DataFrame, keys: Sequence[str], step: str, loss: str, digits: int = 9) -> DataFrame:
+    """(keys, best_step, best): a curve divided by its first value, its least value and the first step that has it."""
+    at = F.struct(F.col(loss), F.col(step))
+    one = df.filter(F.col(loss).isNotNull()).groupBy(*keys).agg(F.min_by(loss, step).alias("__first"), F.min(at).alias("__m"))
+    return one.select(*keys, F.col("__m")[step].alias("best_step"), F.round(F.col("__m")[loss] / F.nullif(F.col("__first"), F.lit(0.0)), digits).alias("best"))

@@ -153,8 +153,9 @@ def seated_on_date(spark: SparkSession, root: str) -> DataFrame:
 
 
 def overlapping_namesakes(spark: SparkSession, root: str) -> DataFrame:
-    """Different persons of one spelling whose terms overlap."""
-    return resolve.overlapping_homonyms(_variants(spark, root), _stints(spark, root), "person_id", "variant")
+    """Different persons of one spelling, surnames alone among them, whose terms overlap."""
+    m = table(spark, root, "mk_metadata").select("person_id", tx.normalize_text(F.col("last_name")).alias("variant")).filter("variant <> ''")
+    return resolve.overlapping_homonyms(_variants(spark, root).unionByName(m), _stints(spark, root), "person_id", "variant")
 
 
 def demoted_rows(spark: SparkSession, root: str) -> DataFrame:
@@ -173,12 +174,18 @@ def demographics(spark: SparkSession, root: str) -> DataFrame:
     return resolve.attach_demographics(who, m.filter("is_current"), m, "person_id", cols)
 
 
+def _judged(spark: SparkSession, root: str) -> DataFrame:
+    # A gold person who is not on the roster is missing from the corpus.
+    known = table(spark, root, "mk_metadata").select(F.col("person_id").alias("__k"), F.col("in_corpus").alias("__in"))
+    s = table(spark, root, "segments").join(known, F.col("speaker_id") == F.col("__k"), "left")
+    verdict = resolve.judge_holdout(F.col("gold_speaker_id").try_cast("bigint"), F.col("speaker_id"), F.col("label"), F.coalesce("__in", F.lit(False)))
+    return s.withColumn("verdict", verdict).withColumn("ms", F.bround(F.coalesce("duration_s", F.lit(0.0)) * 1000).cast("long"))
+
+
 def holdout_judgement(spark: SparkSession, root: str) -> DataFrame:
     """Assigned ids judged against gold ones: rows and ms by legislature, by method and in all."""
-    s = table(spark, root, "segments").withColumn("verdict", resolve.judge_holdout(F.col("gold_speaker_id").try_cast("bigint"), F.col("speaker_id"), F.col("label"), F.lit(True)))
-    s.createOrReplaceTempView("__plenora_judged")
-    return spark.sql("""SELECT verdict, knesset, match_method AS method, count(*) AS n, sum(cast(bround(coalesce(duration_s, 0) * 1000) AS bigint)) AS ms
-        FROM __plenora_judged GROUP BY GROUPING SETS ((verdict), (verdict, knesset), (verdict, match_method))""")
+    sets = F.explode(F.array(*[F.struct(F.when(F.lit(k), F.col("knesset")).alias("knesset"), F.when(F.lit(m), F.col("match_method")).alias("method"), F.lit(i).alias("i")) for i, (k, m) in enumerate([(False, False), (True, False), (False, True)])])).alias("x")
+    return _judged(spark, root).select("verdict", "ms", sets).groupBy("verdict", "x.knesset", "x.method", "x.i").agg(F.count(F.lit(1)).alias("n"), F.sum("ms").alias("ms")).drop("i")
 
 
 def latest_delivery(spark: SparkSession, root: str) -> DataFrame:
@@ -388,7 +395,7 @@ QUERIES = {
         looping_texts, text_features, centroid_margins, control_fallback, job_graph, hourly_events, user_sessions,
     )
 }
-_JUDGE = """CASE WHEN sid > 0 AND sid = gid THEN 'correct' WHEN sid > 0 AND gid > 0 THEN 'cross_person' WHEN sid > 0 AND label = 'non_mk' THEN 'guest_as_mk' WHEN sid > 0 THEN 'unjudged' WHEN gid > 0 THEN 'missed' ELSE 'both_unassigned' END"""
+_JUDGE = """CASE WHEN sid > 0 AND sid = gid THEN 'correct' WHEN sid > 0 AND gid > 0 THEN 'cross_person' WHEN sid > 0 AND label = 'non_mk' AND inc THEN 'guest_as_mk' WHEN sid > 0 AND label = 'non_mk' THEN 'corpus_missed' WHEN sid > 0 THEN 'unjudged' WHEN gid > 0 THEN 'missed' ELSE 'both_unassigned' END"""
 SQL = {
     "speaker_turns": _USABLE + "SELECT session, CAST(turn AS BIGINT) AS turn, speaker_id, count(*) AS n_rows, min(sm) AS start_ms, max(em) AS end_ms FROM turns WHERE speaker_id > 0 GROUP BY ALL",
     "merged_speech": _USABLE + ", r AS (SELECT session, turn, sm, em, filename, max(em) OVER (PARTITION BY session, turn ORDER BY sm, em, filename ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM turns), i AS (SELECT *, sum(CASE WHEN reach IS NULL OR sm - reach >= 300 THEN 1 ELSE 0 END) OVER (PARTITION BY session, turn ORDER BY sm, em, filename ROWS UNBOUNDED PRECEDING) AS isl FROM r) SELECT session, CAST(turn AS BIGINT) AS turn, min(sm) AS start_ms, max(em) AS end_ms, count(*) AS n_spans FROM i GROUP BY session, turn, isl",
@@ -409,7 +416,7 @@ SELECT n.raw_name, CASE WHEN x.n = 1 THEN x.p END AS person_id, CASE WHEN x.n =
     "name_agreement": f"WITH j AS (SELECT speaker_id, string_split({_CLEAN}, ' ') AS a, list_filter(string_split({_NORM.format('full_name')}, ' '), lambda t: t <> '') AS b FROM segments JOIN (SELECT person_id, full_name FROM mk_metadata) ON speaker_id = person_id WHERE speaker_id > 0) SELECT speaker_id, count(*) AS n, count(*) FILTER (coalesce({_AGREE.format(a='a', b='b')}, false)) AS agree FROM j GROUP BY speaker_id",
     "learned_aliases": f"WITH k AS (SELECT {_CLEAN} AS key, speaker_id FROM segments WHERE label_path = 'A' AND speaker_id > 0), c AS (SELECT key, speaker_id, count(*) AS n FROM k WHERE key IS NOT NULL GROUP BY ALL), r AS (SELECT *, sum(n) OVER (PARTITION BY key) AS a, row_number() OVER (PARTITION BY key ORDER BY n DESC, speaker_id) AS i FROM c) SELECT key, speaker_id, n, round(n / a, 9) AS purity, n = a AND n >= 3 AS usable FROM r WHERE i = 1",
     "seated_on_date": "WITH " + _STINTS + "SELECT session_id, count(DISTINCT person_id) AS seated FROM manifest JOIN stints ON s <= session_date AND (e IS NULL OR e >= session_date) WHERE session_date IS NOT NULL GROUP BY session_id",
-    "overlapping_namesakes": "WITH " + _STINTS + f", v AS (SELECT DISTINCT person_id, {_NORM.format('variant')} AS variant FROM mk_name_variants WHERE person_id > 0), x AS (SELECT * FROM v JOIN stints USING (person_id)) SELECT DISTINCT a.variant, a.person_id AS a, b.person_id AS b FROM x a JOIN x b ON a.variant = b.variant AND a.person_id < b.person_id AND (a.e IS NULL OR a.e >= b.s) AND (b.e IS NULL OR b.e >= a.s)",
+    "overlapping_namesakes": "WITH " + _STINTS + f", v AS (SELECT DISTINCT person_id, {_NORM.format('variant')} AS variant FROM mk_name_variants WHERE person_id > 0 UNION SELECT person_id, {_NORM.format('last_name')} FROM mk_metadata WHERE {_NORM.format('last_name')} <> ''), x AS (SELECT * FROM v JOIN stints USING (person_id)) SELECT DISTINCT a.variant, a.person_id AS a, b.person_id AS b FROM x a JOIN x b ON a.variant = b.variant AND a.person_id < b.person_id AND (a.e IS NULL OR a.e >= b.s) AND (b.e IS NULL OR b.e >= a.s)",
     "label_ladder": f"""WITH j AS (SELECT segments.*, m.pid IS NOT NULL AS known, full_name, is_current, date_of_death, string_split({_CLEAN}, ' ') AS a, list_filter(string_split({_NORM.format('m.full_name')}, ' '), lambda t: t <> '') AS b, {_GARBAGE} AS garbage,
   TRY_CAST(segments.date_of_birth AS DATE) AS born, TRY_CAST(session_date AS DATE) AS d FROM segments LEFT JOIN (SELECT CAST(person_id AS VARCHAR) AS pid, full_name, is_current, date_of_death FROM mk_metadata) m ON gold_speaker_id = m.pid),
 k AS (SELECT label_path, label AS given, CASE WHEN coalesce(reason, '') = 'bad_offset' THEN 'unresolved|bad_offset' WHEN gold_speaker_id IS NULL THEN 'unresolved|no_gold' WHEN NOT regexp_full_match(gold_speaker_id, '\\d+') THEN 'non_mk|gold_guest' WHEN garbage THEN 'unresolved|raw_garbage'
@@ -417,7 +424,7 @@ k AS (SELECT label_path, label AS given, CASE WHEN coalesce(reason, '') = 'bad_o
 SELECT label_path, given, split_part(x, '|', 1) AS label, nullif(split_part(x, '|', 2), '') AS reason, count(*) AS n FROM k GROUP BY ALL""",
     "demoted_rows": "WITH d AS (SELECT *, coalesce(duration_s > 30 OR duration_s < 1, false) AS bad FROM segments) SELECT CASE WHEN bad THEN 'unresolved' ELSE label END AS label, CASE WHEN bad THEN 'bad_length' ELSE reason END AS reason, count(*) AS n, count(*) FILTER (NOT bad AND speaker_id > 0) AS with_id, count(*) FILTER (NOT bad AND speaker_name IS NOT NULL) AS named, count(*) FILTER (CASE WHEN bad THEN true ELSE starts_with(filename, '0_') END) AS zero_names FROM d GROUP BY 1, 2",
     "demographics": "WITH w AS (SELECT DISTINCT speaker_id AS person_id FROM segments WHERE speaker_id > 0) SELECT w.person_id, m.gender, m.place_of_birth, m.religion FROM w LEFT JOIN mk_metadata m ON w.person_id = m.person_id",
-    "holdout_judgement": f"WITH j AS (SELECT *, coalesce(speaker_id, 0) AS sid, coalesce(TRY_CAST(gold_speaker_id AS BIGINT), 0) AS gid FROM segments), v AS (SELECT *, {_JUDGE} AS verdict FROM j) SELECT verdict, knesset, match_method AS method, count(*) AS n, CAST(sum(CAST(round_even(coalesce(duration_s, 0) * 1000, 0) AS BIGINT)) AS BIGINT) AS ms FROM v GROUP BY GROUPING SETS ((verdict), (verdict, knesset), (verdict, match_method))",
+    "holdout_judgement": f"WITH j AS (SELECT *, coalesce(speaker_id, 0) AS sid, coalesce(TRY_CAST(gold_speaker_id AS BIGINT), 0) AS gid, coalesce(speaker_id IN (SELECT person_id FROM mk_metadata WHERE in_corpus), false) AS inc FROM segments), v AS (SELECT *, {_JUDGE} AS verdict FROM j) SELECT verdict, knesset, match_method AS method, count(*) AS n, CAST(sum(CAST(round_even(coalesce(duration_s, 0) * 1000, 0) AS BIGINT)) AS BIGINT) AS ms FROM v GROUP BY GROUPING SETS ((verdict), (verdict, knesset), (verdict, match_method))",
     "latest_delivery": 'WITH r AS (SELECT *, "start" IS NOT NULL AND "end" IS NOT NULL AS ok, row_number() OVER (PARTITION BY filename ORDER BY "start" IS NOT NULL AND "end" IS NOT NULL DESC, ingested_at DESC NULLS LAST, speaker_id DESC NULLS LAST, local_speaker_id DESC NULLS LAST) AS k FROM segments WHERE filename IS NOT NULL) SELECT filename, ok, epoch_us(ingested_at) AS ingested_at, speaker_id, local_speaker_id FROM r WHERE k = 1',
     "speaking_time_shares": "WITH g AS (SELECT label, count(*) AS n, sum(CAST(round_even(coalesce(duration_s, 0) * 1000, 0) AS BIGINT)) AS w FROM segments WHERE label IS NOT NULL GROUP BY 1) SELECT label, round(n / sum(n) OVER (), 9) AS share_rows, round(w / sum(w) OVER (), 9) AS share_weight FROM g",
     "quality_sweep": "SELECT speaker_id, threshold, CAST(coalesce(sum(CAST(round_even(coalesce(duration_s, 0) * 1000, 0) AS BIGINT)) FILTER (quality >= threshold), 0) AS BIGINT) AS surviving FROM segments CROSS JOIN (SELECT unnest([0.5, 0.7, 0.9, 0.95])::DOUBLE AS threshold) WHERE speaker_id > 0 GROUP BY ALL",
@@ -440,7 +447,10 @@ UNION ALL SELECT 'ends_in_order', count(*) FROM (SELECT e < lag(e) OVER (PARTITI
     "excess_errors": "SELECT kind, reference, hypothesis, count(*) AS n FROM (SELECT kind, reference, hypothesis FROM committees_error_content WHERE arm = 'A' EXCEPT ALL SELECT kind, reference, hypothesis FROM committees_error_content WHERE arm = 'B') GROUP BY ALL",
     "session_routes": "WITH r AS (SELECT *, coalesce(has_audio, false) AND coalesce(has_refined, false) AND coalesce(has_map, false) AND coalesce(has_speakers, false) AND coalesce(has_segments, false) AND coalesce(has_metadata, false) AS is_complete FROM manifest) SELECT is_complete, CASE WHEN is_complete AND coalesce(has_shard, false) THEN 'A' WHEN is_complete THEN 'B' ELSE '' END AS path, count(*) AS n, count(*) FILTER (in_odata) AS in_odata FROM r GROUP BY 1, 2",
     "best_file_kind": "WITH l AS (SELECT committee_name, i, k, count(*) FILTER (NOT coalesce(v, false)) AS m FROM (SELECT committee_name, unnest([{'i': 0, 'k': 'has_audio', 'v': has_audio}, {'i': 1, 'k': 'has_refined', 'v': has_refined}, {'i': 2, 'k': 'has_map', 'v': has_map}, {'i': 3, 'k': 'has_speakers', 'v': has_speakers}, {'i': 4, 'k': 'has_segments', 'v': has_segments}, {'i': 5, 'k': 'has_metadata', 'v': has_metadata}], recursive := true) FROM manifest WHERE committee_name IS NOT NULL) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY committee_name ORDER BY m, i) AS n FROM l) SELECT committee_name, max(k) FILTER (n = 1) AS best, max(m) FILTER (n = 1) AS missing, max(m) FILTER (n = 2) - max(m) FILTER (n = 1) AS gap FROM r GROUP BY 1",
-    "shard_plan": "WITH d AS (SELECT doc_id, coalesce(length(text), 0) AS size FROM documents), c AS (SELECT *, sum(size) OVER (ORDER BY doc_id) - size AS b FROM d) SELECT CAST(floor(b / 100000) AS BIGINT) AS shard, count(*) AS n, CAST(sum(size) AS BIGINT) AS size FROM c GROUP BY 1",
+    "shard_plan": """WITH RECURSIVE d AS (SELECT row_number() OVER (ORDER BY doc_id) AS i, coalesce(length(text), 0)::BIGINT AS size FROM documents),
+f AS (SELECT i, size, 0::BIGINT AS shard, size AS pending FROM d WHERE i = 1 UNION ALL
+  SELECT d.i, d.size, CASE WHEN f.pending >= 100000 THEN f.shard + 1 ELSE f.shard END, CASE WHEN f.pending >= 100000 THEN d.size ELSE f.pending + d.size END FROM f JOIN d ON d.i = f.i + 1)
+SELECT shard, count(*) AS n, CAST(sum(size) AS BIGINT) AS size FROM f GROUP BY shard""",
     "looping_texts": f"WITH t AS (SELECT doc_id, list_filter(string_split({_NORM.format('text')}, ' '), lambda t: t <> '') AS t FROM documents), g AS (SELECT doc_id, unnest(list_transform(range(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2])) AS g FROM t WHERE len(t) >= 3) SELECT DISTINCT doc_id FROM (SELECT doc_id, g FROM g GROUP BY ALL HAVING count(*) >= 3)",
     "centroid_margins": """WITH e AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
 u AS (SELECT vec_id, label, i, x / sqrt(sum(x * x) OVER (PARTITION BY vec_id)) AS x FROM e),

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from plenora.plans import corpus, intervals, runs, scoring
+from plenora.plans import corpus, intervals, panel, runs, scoring, validation
 
-MODULES = [scoring, corpus, runs, intervals]
+MODULES = [scoring, corpus, runs, intervals, validation, panel]
 FLAGSHIP = "per_speaker_error_map"
 
 

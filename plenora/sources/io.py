@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plenora.session import written
+
 RUN_LOG = T.StructType([T.StructField(n, t) for n, t in [("chunk_id", T.StringType()), ("arm", T.StringType()), ("provider", T.StringType()), ("model", T.StringType()), ("speaker_id", T.LongType()), ("session", T.LongType()), ("session_date", T.StringType()), ("knesset", T.IntegerType()), ("duration_s", T.DoubleType()), ("quality", T.DoubleType()), ("reference", T.StringType()), ("hypothesis", T.StringType()), ("latency_s", T.DoubleType()), ("exec_s", T.DoubleType()), ("queue_s", T.DoubleType()), ("language", T.StringType()), ("error", T.StringType()), ("ts", T.TimestampType())]])
 SESSION_DOC = "session_id BIGINT, text STRING, segments ARRAY<STRUCT<text: STRING, words: ARRAY<STRUCT<word: STRING, start: DOUBLE, end: DOUBLE, probability: DOUBLE>>>>, map ARRAY<STRUCT<start_char: INT>>, speakers MAP<STRING, STRING>, spk_segments ARRAY<STRUCT<local_speaker_id: BIGINT, start: INT, end: INT>>, meta STRUCT<session_date: STRING, knesset_num: STRING, committee_name: STRING>"
 GOLD_DOC = "protocol_sentences ARRAY<STRUCT<sentence_text: STRING, speaker_id: STRING, speaker_name: STRING, is_valid_speaker: BOOLEAN>>"
@@ -35,7 +39,8 @@ def read_run_log(spark: SparkSession, path: str, skip_prefixes: tuple[str, ...]
 
 
 def read_dimension(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A CSV dimension with a header and a declared schema; a byte order mark is dropped; never inferred."""
+    """A CSV dimension with a header and a declared schema; a byte order mark is dropped; never inferred.
+    Columns are taken by their place, so a mark before the first name does no harm."""
     return spark.read.schema(schema).option("header", True).option("encoding", "UTF-8").option("enforceSchema", True).csv(path)
 
 
@@ -44,6 +49,84 @@ def read_sharded(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).withColumn("shard", F.col("_metadata.file_name"))
 
 
+def unique_on(df: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` itself if no key occurs twice, else an error that names one. Starts a job."""
+    twice = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").first()
+    if twice is not None:
+        raise ValueError(f"not unique: {twice.asDict()}")
+    return df
+
+
+def pin_files(spark: SparkSession, path: str, pattern: str = "*.parquet") -> DataFrame:
+    """(path, length, modified) of the files a run reads: kept with its results, it says what they were made from."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
+    return files.select("path", "length", F.col("modificationTime").alias("modified"))
+
+
+def changed_files(now: DataFrame, pins: DataFrame) -> DataFrame:
+    """(path, change) of files that are new, gone or changed since they were pinned."""
+    p = pins.select("path", F.col("length").alias("__l"), F.col("modified").alias("__m"))
+    both = now.join(p, "path", "full_outer")
+    change = F.when(F.col("__l").isNull(), "new").when(F.col("length").isNull(), "gone").when((F.col("length") != F.col("__l")) | (F.col("modified") != F.col("__m")), "changed")
+    return both.select("path", change.alias("change")).filter("change IS NOT NULL")
+
+
+def append_rows(df: DataFrame, path: str, fmt: str = "json") -> None:
+    """Rows added to a log of ``fmt`` files; what is there stays. CSV files each begin with their header."""
+    df.write.mode("append").format(fmt).option("header", True).save(path)
+
+
+def write_and_record(df: DataFrame, path: str, ledger: str, key: str) -> int:
+    """Write a unit's rows and, only after they are committed, its keys that the ledger lacks; the number of new keys.
+    A run that dies in between writes the rows again and records them then."""
+    spark = df.sparkSession
+    df.write.mode("append").parquet(path)
+    keys = df.select(key).distinct()
+    try:
+        keys = keys.join(spark.read.parquet(ledger), key, "left_anti")
+    except AnalysisException:
+        pass
+    keys = written(keys)
+    keys.write.mode("append").parquet(ledger)
+    return keys.count()
+
+
+_WAV = T.StructType([T.StructField("rate", T.IntegerType()), T.StructField("samples", T.ArrayType(T.FloatType()))])
+
+
+@F.pandas_udf(_WAV)
+def wav_span(content, start, end):  # noqa: ANN001, ANN201
+    """(rate, samples in [-1, 1)) of the first channel of 16-bit PCM WAV bytes between two times in seconds, sample
+    indices rounded; null where the bytes are no such file."""
+    import io
+    import wave
+
+    import numpy as np
+    import pandas as pd
+
+    def one(raw, a, b):  # noqa: ANN001, ANN202
+        try:
+            with wave.open(io.BytesIO(raw)) as w:
+                rate, width, channels = w.getframerate(), w.getsampwidth(), w.getnchannels()
+                lo, hi = round(a * rate), min(round(b * rate), w.getnframes())
+                w.setpos(min(max(lo, 0), w.getnframes()))
+                data = np.frombuffer(w.readframes(max(hi - lo, 0)), "<i2")[::channels] if width == 2 else None
+            return None if data is None else (rate, (data / 32768.0).astype(np.float32).tolist())
+        except (TypeError, EOFError, wave.Error):
+            return None
+
+    made = [one(r, a, b) for r, a, b in zip(content, start, end)]
+    return pd.DataFrame([x or (None, None) for x in made], columns=["rate", "samples"])
+
+
+def provider_text(col: Column) -> Column:
+    """Text of a provider's JSON answer: of all batches the events of type 'segments', their texts joined by blanks; null if it does not parse."""
+    kind = "array<struct<events: array<struct<type: string, segments: array<struct<text: string>>>>>>"
+    events = F.filter(F.flatten(F.transform(F.from_json(col, kind), lambda b: F.coalesce(b["events"], F.array().cast("array<struct<type:string,segments:array<struct<text:string>>>>")))), lambda e: e["type"] == "segments")
+    texts = F.flatten(F.transform(events, lambda e: F.transform(e["segments"], lambda s: F.trim(s["text"]))))
+    return F.array_join(F.filter(texts, lambda t: t.isNotNull() & (t != "")), " ")
+
+
 def read_session_docs(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Nested session documents (JSON, also compressed) with the declared schema."""
     return spark.read.schema(SESSION_DOC).option("multiLine", multi_line).json(path)
@@ -84,6 +167,19 @@ def pages(fetch: Callable[[int, int], list[dict]], spark: SparkSession, schema:
     return spark.range(0, n * page, page, n).mapInArrow(work, schema)
 
 
+def cached_pages(fetch: Callable[[int, int], list[dict]], spark: SparkSession, schema: T.StructType, total: int, key: str, cache: str, request: str, page: int = 100) -> DataFrame:
+    """Rows of a paged source, one per key (of several the greatest), fetched once: they are kept below ``cache`` in a
+    folder named by md5 of the request and read from there the next time."""
+    at = f"{cache.rstrip('/')}/{hashlib.md5(f'{request}|{total}|{page}'.encode()).hexdigest()}"
+    try:
+        return spark.read.schema(schema).parquet(at)
+    except AnalysisException:
+        rows = pages(fetch, spark, schema, total, page)
+        one = rows.groupBy(key).agg(F.max(F.struct(*schema.names)).alias("x")).select("x.*")
+        one.write.parquet(at)
+        return spark.read.schema(schema).parquet(at)
+
+
 def formatted(df: DataFrame, fmt: str = "%.6g") -> DataFrame:
     """Doubles as text in a fixed number of significant digits, as C's %g writes them (an Arrow UDF: Java's %g differs)."""
 

@@ -16,7 +16,7 @@ def test_normalize(lit, raw, want):
     assert lit(tx.normalize_text(F.lit(raw).cast("string"))) == want
 
 
-@pytest.mark.parametrize("raw,bad", [("דוד: שלום", True), ("דוד 7", True), ("א" * 61, True), ("a b c d e f g h i", True), ("מיכאל מרדכי (" + "ת" * 80 + ")", False), (None, True), ("  ", True), ("(x)", True), ("דוד לוי", False)])
+@pytest.mark.parametrize("raw,bad", [("דוד: שלום", True), ("דוד 7", True), ("א" * 61, True), ("a b c d e f g h i", True), ("אורן בדוי (" + "ת" * 80 + ")", False), (None, True), ("  ", True), ("(x)", True), ("דוד לוי", False)])
 def test_garbage(lit, raw, bad):
     assert lit(tx.is_garbage_name(F.lit(raw).cast("string"))) is bad
 

@@ -339,10 +339,16 @@ def looping_texts(spark: SparkSession, root: str) -> DataFrame:
 
 
 def text_features(spark: SparkSession, root: str) -> DataFrame:
-    """Per document: tokens, characters, script and digit tests, compression ratio over 3."""
+    """Per document: tokens, characters, script and digit tests."""
     d = table(spark, root, "documents")
     t = tx.normalize_text(F.col("text"))
-    return d.select("doc_id", tx.token_count(t).cast("long").alias("n_tokens"), F.length(t).cast("long").alias("n_chars"), tx.has_script(F.col("text")).alias("hebrew"), tx.has_digit(F.col("text")).alias("digit"), (tx.compression_ratio(F.col("text")) > 3).alias("repetitive"))
+    return d.select("doc_id", tx.token_count(t).cast("long").alias("n_tokens"), F.length(t).cast("long").alias("n_chars"), tx.has_script(F.col("text")).alias("hebrew"), tx.has_digit(F.col("text")).alias("digit"))
+
+
+def repetitive_texts(spark: SparkSession, root: str) -> DataFrame:
+    """Documents that compress to less than a third."""
+    d = table(spark, root, "documents").select("doc_id", tx.compression_ratio(F.col("text")).alias("ratio"))
+    return d.filter("ratio > 3").select("doc_id", F.round("ratio", 6).alias("ratio"))
 
 
 def centroid_margins(spark: SparkSession, root: str) -> DataFrame:
@@ -392,7 +398,7 @@ QUERIES = {
         speaker_turns, merged_speech, turn_windows, session_quality, longest_good_run, midpoints_in_spans, label_ladder, clean_names, person_spellings, unique_name_match, name_agreement, learned_aliases,
         seated_on_date, overlapping_namesakes, demoted_rows, demographics, holdout_judgement, latest_delivery, speaking_time_shares, quality_sweep, quality_histogram, newest_sessions_split, filled_plan,
         budget_prefixes, shared_pool, speaker_folds, stratified_sample, session_coverage, key_sets, plan_checks, top_errors, error_arms, excess_errors, session_routes, best_file_kind, shard_plan,
-        looping_texts, text_features, centroid_margins, control_fallback, job_graph, hourly_events, user_sessions,
+        looping_texts, text_features, repetitive_texts, centroid_margins, control_fallback, job_graph, hourly_events, user_sessions,
     )
 }
 _JUDGE = """CASE WHEN sid > 0 AND sid = gid THEN 'correct' WHEN sid > 0 AND gid > 0 THEN 'cross_person' WHEN sid > 0 AND label = 'non_mk' AND inc THEN 'guest_as_mk' WHEN sid > 0 AND label = 'non_mk' THEN 'corpus_missed' WHEN sid > 0 THEN 'unjudged' WHEN gid > 0 THEN 'missed' ELSE 'both_unassigned' END"""
@@ -463,6 +469,19 @@ m AS (SELECT vec_id, label, max(cos) FILTER (label = l2) - max(cos) FILTER (labe
 SELECT label, count(*) AS n, count(*) FILTER (margin < 0) AS contaminated FROM m GROUP BY label""",
     "control_fallback": "WITH o AS (SELECT kind, row_id % 3 AS budget, CAST(sum(count) AS BIGINT) AS own FROM committees_error_content WHERE arm = 'A' GROUP BY ALL), c AS (SELECT kind, row_id % 2 AS budget, CAST(sum(count) AS BIGINT) AS v FROM committees_error_content WHERE arm = 'B' GROUP BY ALL) SELECT o.kind, o.budget, own, CASE WHEN o.budget IN (SELECT budget FROM c WHERE v IS NOT NULL) THEN s.v ELSE d.v END AS control FROM o LEFT JOIN c s ON o.kind = s.kind AND o.budget = s.budget LEFT JOIN c d ON o.kind = d.kind AND d.budget = 1",
     "job_graph": "WITH RECURSIVE m AS (SELECT row_number() OVER (ORDER BY session_id) AS id, complete FROM manifest), j AS (SELECT id, id // 2 AS dep, CASE WHEN NOT coalesce(complete, true) THEN 'failed' WHEN id % 5 = 0 THEN 'done' ELSE 'pending' END AS status FROM m), dead AS (SELECT j.id FROM j JOIN j p ON j.dep = p.id WHERE p.status = 'failed' UNION SELECT j.id FROM j JOIN dead ON j.dep = dead.id) SELECT j.id, j.status, j.status = 'pending' AND coalesce(p.status = 'done', j.dep = 0) AS ready, j.status = 'pending' AND j.id IN (SELECT id FROM dead) AS dead FROM j LEFT JOIN j p ON j.dep = p.id",
+    "text_features": f"WITH t AS (SELECT doc_id, text, {_NORM.format('text')} AS t FROM documents) SELECT doc_id, len(list_filter(string_split(t, ' '), lambda x: x <> '')) AS n_tokens, length(t) AS n_chars, coalesce(regexp_matches(text, '[א-ת]'), false) AS hebrew, coalesce(regexp_matches(text, '\\p{{Nd}}'), false) AS digit FROM t",
+    "filled_plan": _CHUNKS + """, q AS (SELECT speaker_id, session, CAST(sum(ms) AS BIGINT) AS ms FROM chunks GROUP BY 1, 2), p AS (SELECT *, CAST(sum(ms) OVER (PARTITION BY speaker_id ORDER BY session DESC ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cum FROM q),
+a AS (SELECT *, cum - ms < 45000 AS t FROM p), b AS (SELECT *, coalesce(max(cum) FILTER (t) OVER (PARTITION BY speaker_id), 0) AS b1 FROM a),
+c AS (SELECT *, NOT t AND cum - ms - b1 < 30000 AS d FROM b), e AS (SELECT *, coalesce(max(cum) FILTER (t OR d) OVER (PARTITION BY speaker_id), 0) AS b2 FROM c)
+SELECT speaker_id, session, CASE WHEN t THEN 'test' WHEN d THEN 'dev' WHEN cum - ms - b2 < 120000 THEN 'train' END AS part, ms FROM e""",
+    "person_spellings": f"""WITH n AS (SELECT person_id, string_split(trim(regexp_replace(concat_ws(' ', first_name, last_name), '\\s+', ' ', 'g')), ' ') AS p, string_split(trim(regexp_replace(concat_ws(' ', last_name, first_name), '\\s+', ' ', 'g')), ' ') AS w, string_split(trim(regexp_replace(coalesce(corpus_full_name, ''), '\\s+', ' ', 'g')), ' ') AS f FROM mk_metadata),
+x AS (SELECT person_id, unnest([array_to_string(p, ' '), array_to_string(w, ' '), array_to_string(list_reverse(p), ' '), array_to_string(f, ' '), array_to_string(list_reverse(f), ' ')]) AS v FROM n) SELECT DISTINCT person_id, {_NORM.format('v')} AS variant FROM x WHERE {_NORM.format('v')} <> ''""",
+    "turn_windows": _USABLE.replace("WITH latest", "WITH RECURSIVE latest") + """, o AS (SELECT session, turn, s, e, row_number() OVER (PARTITION BY session, turn ORDER BY s, e) AS i FROM turns WHERE speaker_id > 0),
+f AS (SELECT session, turn, i, e, CASE WHEN e - s > 30 THEN NULL ELSE s END AS seek, CASE WHEN e - s > 30 THEN NULL ELSE e END AS last, CASE WHEN e - s > 30 THEN 0 ELSE 1 END AS no, e - s <= 30 AS took FROM o WHERE i = 1
+  UNION ALL SELECT o.session, o.turn, o.i, o.e, CASE WHEN o.e - o.s > 30 THEN NULL WHEN f.seek IS NOT NULL AND o.e <= f.seek + 30 THEN f.seek WHEN f.seek IS NOT NULL AND o.e <= f.last + 30 AND o.s >= f.last THEN f.last ELSE o.s END,
+    CASE WHEN o.e - o.s > 30 THEN NULL WHEN f.seek IS NOT NULL AND o.e <= f.seek + 30 THEN greatest(o.e, f.last) ELSE o.e END, CASE WHEN o.e - o.s > 30 OR (f.seek IS NOT NULL AND o.e <= f.seek + 30) THEN f.no ELSE f.no + 1 END, o.e - o.s <= 30
+  FROM f JOIN o ON f.session = o.session AND f.turn = o.turn AND o.i = f.i + 1)
+SELECT session, CAST(turn AS BIGINT) AS turn, no AS "window", CAST(round_even(min(seek) * 1000, 0) AS BIGINT) AS seek_ms, CAST(round_even(max(e) * 1000, 0) AS BIGINT) AS end_ms, count(*) AS n_spans FROM f WHERE took GROUP BY ALL""",
     "hourly_events": "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL",
     "user_sessions": "WITH l AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events), s AS (SELECT *, sum(CASE WHEN p IS NULL OR ts - p > INTERVAL 2 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM l) SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k",
 }

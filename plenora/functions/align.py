@@ -19,7 +19,7 @@ def word_distance(ref: Column, hyp: Column) -> Column:
 
     Every distinct token becomes one private-use character and the characters'
     distance is taken. Exact while both sides together have at most 6,400
-    tokens; null beyond that (``exact_distance`` goes on there). Null counts as ''.
+    tokens; null beyond that (``exact_distance`` has no limit). Null counts as ''.
     """
     sides = F.struct(tokens(ref).alias("r"), tokens(hyp).alias("h"))
 
@@ -51,11 +51,13 @@ def distance(r: list[str], h: list[str]) -> int:
 
 
 def exact_distance(ref: Column, hyp: Column) -> Column:
-    """Levenshtein distance over tokens, at any length: ``word_distance``, and beyond its limit ``distance``."""
-    texts = [F.coalesce(c, F.lit("")) for c in (ref, hyp)]
-    # Python sees only texts that may be beyond the limit: a token has at least one character.
-    beyond = F.length(texts[0]) + F.length(texts[1]) > NATIVE_LIMIT
-    return F.coalesce(word_distance(ref, hyp), long_distance(*[F.when(beyond, tokens(c)) for c in texts]))
+    """Levenshtein distance over the tokens of two texts of any length; null counts as ''.
+
+    By bit vectors in an Arrow UDF: it takes a step per word of the hypothesis,
+    where ``word_distance`` (JVM-side) takes one per pair of words and numbers
+    the tokens first, and measured on chunks of thirty words it is the faster too.
+    """
+    return text_distance(F.coalesce(ref, F.lit("")), F.coalesce(hyp, F.lit("")))
 
 
 def runaway(ref_n: Column, hyp_n: Column) -> Column:
@@ -116,9 +118,10 @@ RESTORED = T.StructType([T.StructField("text", T.StringType()), T.StructField("n
 
 
 @F.pandas_udf(T.IntegerType())
-def long_distance(ref, hyp):  # noqa: ANN001, ANN201
-    """Levenshtein distance of two arrays of words; null where either is."""
-    return ref.__class__([None if a is None or b is None else distance(list(a), list(b)) for a, b in zip(ref, hyp)], dtype="Int32")
+def text_distance(ref, hyp):  # noqa: ANN001, ANN201
+    """Levenshtein distance over the blank-separated tokens of two texts."""
+    words = lambda t: [w for w in t.split(" ") if w]
+    return ref.__class__([distance(words(a), words(b)) for a, b in zip(ref, hyp)], dtype="int32")
 
 
 @F.pandas_udf(COUNTS)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plenora.functions.text import age_years, tokens
+from plenora.session import written
 
 MAX_AGE = 95
 
@@ -169,33 +173,81 @@ def judge_holdout(gold: Column, guess: Column, gold_label: Column, in_corpus: Co
     )
 
 
-def contamination(vectors: DataFrame, key: str, label: str, vec: str, keep: float = 0.75) -> DataFrame:
-    """Per vector its cosine to its own label's trimmed centroid, to the nearest other one, and the margin.
+def unit_sums(vectors: DataFrame, label: str, vec: str) -> DataFrame:
+    """(label, c): the unit mean of the unit vectors of each label. Summed per batch first; null and zero vectors are left out."""
+    kind = vectors.schema[label].dataType.simpleString()
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, ok = _units(b.column(1))
+            enc = b.column(0).dictionary_encode()
+            code = enc.indices.to_numpy(zero_copy_only=False)
+            if ok.any():
+                sums = [x[ok & (code == k)].sum(0) for k in range(len(enc.dictionary))]
+                yield pa.RecordBatch.from_arrays([enc.dictionary, pa.array([s.tolist() for s in sums], pa.list_(pa.float64()))], names=[label, "s"])
+
+    parts = vectors.filter(F.col(label).isNotNull() & F.col(vec).isNotNull()).select(label, vec).mapInArrow(work, f"`{label}` {kind}, s array<double>")
+    dims = parts.select(label, F.posexplode("s").alias("i", "x")).groupBy(label, "i").agg(F.sum("x").alias("x"))
+    arr = dims.groupBy(label).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("c"))
+    size = F.sqrt(F.aggregate("c", F.lit(0.0), lambda a, x: a + x * x))
+    return arr.withColumn("__s", size).filter("__s > 0").select(label, F.transform("c", lambda x: x / F.col("__s")).alias("c"))
 
-    A centroid is the unit mean of unit vectors; it is taken again over the
-    tightest ``keep`` of its members (at least one). Vectors meet one centroid
-    per label, and that table has one row per label. Null or zero vectors are
-    left out.
-    """
-    norm = F.sqrt(F.aggregate(vec, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    unit = vectors.filter(F.col(vec).isNotNull()).withColumn("__n", norm).filter("__n > 0").select(key, label, F.transform(vec, lambda x: x.cast("double") / F.col("__n")).alias("u"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
-    def centroid(df: DataFrame) -> DataFrame:
-        dims = df.select(label, F.posexplode("u").alias("i", "x")).groupBy(label, "i").agg(F.avg("x").alias("m"))
-        arr = dims.groupBy(label).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("c"))
-        size = F.sqrt(F.aggregate("c", F.lit(0.0), lambda a, x: a + x * x))
-        return arr.withColumn("__s", size).select(label, F.transform("c", lambda x: x / F.col("__s")).alias("c"))
+def _units(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Rows scaled to length one, and which of them have a length; all rows have the first one's number of values."""
+    rows = col.to_pylist()
+    dim = max((len(r) for r in rows if r), default=0)
+    x = np.array([r if r is not None and len(r) == dim else [0.0] * dim for r in rows], float).reshape(len(rows), dim)
+    norm = np.sqrt((x * x).sum(1))
+    return x / np.where(norm > 0, norm, 1.0)[:, None], norm > 0
 
-    from pyspark.sql import Window as W
 
-    near = unit.join(centroid(unit), label).withColumn("cos", dot(F.col("u"), F.col("c")))
+def contamination(vectors: DataFrame, key: str, label: str, vec: str, keep: float = 0.75, block: int = 4096) -> DataFrame:
+    """Per vector its cosine to its own label's trimmed centroid, to the nearest other one, and the margin.
+
+    A centroid is the unit mean of unit vectors; it is taken again over the
+    tightest ``keep`` of its members (at least one). Vectors are multiplied with
+    the centroids of ``block`` labels at a time, so what is sent to the tasks has
+    a bound whatever the number of labels. Null or zero vectors and null labels
+    are left out.
+    """
+    some = vectors.filter(F.col(vec).isNotNull() & F.col(label).isNotNull()).select(key, label, F.col(vec).cast("array<double>").alias("__v"))
+    near = written(_cosines(some, key, label, unit_sums(some, label, "__v"), block).select(key, label, "own"))
     w = W.partitionBy(label)
-    tight = near.withColumn("k", F.row_number().over(w.orderBy(F.desc("cos"), key))).withColumn("n", F.count(F.lit(1)).over(w)).filter(F.col("k") <= F.greatest(F.bround(F.col("n") * keep), F.lit(1)))
-    cents = centroid(tight.select(key, label, "u"))
-    other = cents.select(F.col(label).alias("__l"), F.col("c").alias("__c"))
-    every = unit.crossJoin(other).withColumn("cos", dot(F.col("u"), F.col("__c")))
-    return every.groupBy(key, label).agg(F.max(F.when(F.col(label) == F.col("__l"), F.col("cos"))).alias("own"), F.max(F.when(F.col(label) != F.col("__l"), F.col("cos"))).alias("nearest_other")).withColumn("margin", F.col("own") - F.col("nearest_other"))
+    tight = near.withColumn("k", F.row_number().over(w.orderBy(F.desc("own"), key))).withColumn("n", F.count(F.lit(1)).over(w)).filter(F.col("k") <= F.greatest(F.bround(F.col("n") * keep), F.lit(1)))
+    cents = unit_sums(some.join(tight.select(key, label), [key, label], "left_semi"), label, "__v")
+    return _cosines(some, key, label, cents, block).withColumn("margin", F.col("own") - F.col("nearest_other"))
+
+
+def _cosines(vectors: DataFrame, key: str, label: str, cents: DataFrame, block: int) -> DataFrame:
+    """(key, label, own, nearest_other) by matrix products with the centroids, block by block."""
+    cents = written(cents)
+    n = max(1, -(-cents.count() // block))
+    kinds = [vectors.schema[c].dataType.simpleString() for c in (key, label)]
+    found = None
+    for k in range(n):
+        part = cents.filter(F.pmod(F.xxhash64(label), F.lit(n)) == k).orderBy(label).toArrow()
+        names, matrix = part.column(0).to_pylist(), np.array(part.column(1).to_pylist(), float)
+
+        def work(batches: Iterator[pa.RecordBatch], names=names, matrix=matrix) -> Iterator[pa.RecordBatch]:
+            place = {x: i for i, x in enumerate(names)}
+            for b in batches:
+                x, ok = _units(b.column(2))
+                if not ok.any() or not names:
+                    continue
+                rows = np.flatnonzero(ok)
+                cos = x[rows] @ matrix.T
+                at = np.array([place.get(v, -1) for v in b.column(1).to_pylist()])[rows]
+                mine = at >= 0
+                own = np.where(mine, cos[np.arange(len(rows)), at], np.nan)
+                cos[np.flatnonzero(mine), at[mine]] = -np.inf
+                best = cos.max(1)
+                take = pa.array(rows)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(own, mask=~mine), pa.array(best, mask=np.isinf(best))], names=[key, label, "own", "nearest_other"])
+
+        one = vectors.select(key, label, "__v").mapInArrow(work, f"`{key}` {kinds[0]}, `{label}` {kinds[1]}, own double, nearest_other double")
+        found = one if found is None else found.unionByName(one)
+    return found if n == 1 else found.groupBy(key, label).agg(F.max("own").alias("own"), F.max("nearest_other").alias("nearest_other"))
 
 
 def place_texts(df: DataFrame, key: str, text: str, pieces: str) -> DataFrame:

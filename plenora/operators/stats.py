@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from plenora.functions.text import safe_ratio
 from plenora.operators.metrics import eta_squared
 from plenora.operators.sequence import average_rank
+from plenora.session import written
 
 #: A 16-bit draw of so much or more counts one time more: the distribution function of Poisson(1).
 POISSON = [int(65536 * sum(math.exp(-1) / math.factorial(k) for k in range(n + 1))) for n in range(8)]
@@ -131,7 +132,7 @@ def permutation_rank(df: DataFrame, rules: Mapping[str, str], key: str, values:
     for v in values:
         known = known.filter(F.col(v).isNotNull())
     big = known.groupBy("rule", "grp").agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") >= min_group).drop("__n")
-    ok = known.join(big, ["rule", "grp"])
+    ok = written(known.join(big, ["rule", "grp"]))
     sizes = ok.groupBy("rule").agg(F.countDistinct("grp").alias("groups"))
     obs = None
     for v in values:

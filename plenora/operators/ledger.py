@@ -26,6 +26,22 @@ def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
     return old.join(new.select(*keys).distinct(), list(keys), "left_anti").unionByName(new, allowMissingColumns=True)
 
 
+def union_unique(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per key of both tables (missing columns null): of ``a`` where it has the key, the greatest of several."""
+    cols = [c for c in a.columns if c not in keys]
+    both = a.withColumn("__of", F.lit(1)).unionByName(b.withColumn("__of", F.lit(0)), allowMissingColumns=True)
+    one = both.groupBy(*keys).agg(F.max(F.struct("__of", *cols)).alias("__x"))
+    return one.select(*keys, *[F.col("__x")[c].alias(c) for c in cols])
+
+
+def ledger_union(*ledgers: DataFrame) -> DataFrame:
+    """What any of several ledgers has recorded, once."""
+    out = ledgers[0]
+    for x in ledgers[1:]:
+        out = out.unionByName(x)
+    return out.distinct()
+
+
 def to_do(candidates: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Candidates that are not done."""
     return candidates.join(done.select(*keys).distinct(), list(keys), "left_anti")
@@ -158,6 +174,12 @@ def progress(df: DataFrame, ok: Column, amount: str, ts: str, total: float, cost
     return a.select("done", "failed", "amount", (F.col("amount") * cost_per_unit).alias("spend"), F.lit(total * cost_per_unit).alias("projected"), rate.alias("rate"), ((F.lit(float(total)) - F.col("amount")) / F.nullif(rate, F.lit(0.0))).alias("seconds_left"))
 
 
-def queue_rollup(jobs: DataFrame, status: str, est: str, actual: str) -> DataFrame:
-    """Jobs by status: count, estimated and actual minutes, and the median of actual over estimate."""
-    return jobs.groupBy(status).agg(F.count(F.lit(1)).alias("n"), F.sum(est).alias("est"), F.sum(actual).alias("actual"), F.percentile(F.col(actual) / F.nullif(F.col(est), F.lit(0.0)), 0.5).alias("ratio"))
+def queue_rollup(jobs: DataFrame, status: str, est: str, actual: str, cost_per_minute: float = 0.0) -> DataFrame:
+    """Jobs by status: count, estimated and actual minutes, the median of actual over estimate, and what is left:
+    minutes (estimates of jobs that have no actual time, times that median over all jobs) and their cost."""
+    ratio = F.percentile(F.col(actual) / F.nullif(F.col(est), F.lit(0.0)), 0.5)
+    all_ = jobs.agg(F.coalesce(ratio, F.lit(1.0)).alias("__r"))
+    left = F.coalesce(F.sum(F.when(F.col(actual).isNull(), F.col(est))), F.lit(0.0))
+    per = jobs.groupBy(status).agg(F.count(F.lit(1)).alias("n"), F.sum(est).alias("est"), F.sum(actual).alias("actual"), ratio.alias("ratio"), left.alias("__left"))
+    done = per.crossJoin(F.broadcast(all_)).withColumn("minutes_left", F.col("__left") * F.col("__r"))
+    return done.select(status, "n", "est", "actual", "ratio", "minutes_left", (F.col("minutes_left") * cost_per_minute).alias("cost_left"))

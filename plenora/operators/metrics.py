@@ -126,3 +126,20 @@ def weighted_shares(df: DataFrame, group: str, weight: str) -> DataFrame:
     g = df.filter(F.col(group).isNotNull()).groupBy(group).agg(F.count(F.lit(1)).alias("n"), total(weight).alias("w"))
     tot = g.agg(F.sum("n").alias("all_n"), F.sum("w").alias("all_w"))
     return g.crossJoin(F.broadcast(tot)).select(group, (F.col("n") / F.col("all_n")).alias("share_rows"), safe_ratio(F.col("w"), F.col("all_w")).alias("share_weight"))
+
+
+def map_values(col: Column, mapping: Mapping[str, str], default: str | None) -> Column:
+    """The value a mapping gives; null and what it does not know get the default. ``unmapped`` lists the latter."""
+    table = F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair])
+    return F.coalesce(F.try_element_at(table, col), F.lit(default))
+
+
+def unmapped(df: DataFrame, col: str, mapping: Mapping[str, str]) -> DataFrame:
+    """(value, n): values other than null that a mapping does not know."""
+    return df.filter(F.col(col).isNotNull() & ~F.col(col).isin(*mapping)).groupBy(F.col(col).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def spread(df: DataFrame, keys: Sequence[str], value: str, digits: int = 9) -> DataFrame:
+    """(keys, n, mean, sd, cv): sample standard deviation and its share of the mean; null for a mean of 0 and fewer than two values."""
+    g = df.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))
+    return g.select(*keys, "n", *[F.round(c, digits).alias(n) for c, n in ((F.col("mean"), "mean"), (F.col("sd"), "sd"), (safe_ratio(F.col("sd"), F.col("mean")), "cv"))])

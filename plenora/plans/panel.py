@@ -247,6 +247,48 @@ def most_restored(spark: SparkSession, root: str) -> DataFrame:
     return w.groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "word").limit(20)
 
 
+def cross_corpus(spark: SparkSession, root: str) -> DataFrame:
+    """Speakers of both the index and the plan: chunks and ms in each, side by side."""
+    sides = []
+    for name, rows in (("index", _chunks(spark, root)), ("plan", table(spark, root, "panel_plan_v2").filter("chunk_id IS NOT NULL AND speaker_id > 0").groupBy("chunk_id", "speaker_id").agg(F.max(tx.to_ms(F.col("duration_s"))).alias("ms")))):
+        t = rows.groupBy("speaker_id").agg(F.count(F.lit(1)).alias("chunks"), F.sum("ms").alias("ms"))
+        sides.append(t.withColumnsRenamed({c: f"{name}_{c}" for c in ("chunks", "ms")}))
+    return sides[0].join(sides[1], "speaker_id")
+
+
+def paired_arms(spark: SparkSession, root: str) -> DataFrame:
+    """Chunks of both arms side by side per legislature: which arm has fewer errors, and how often both have the same."""
+    s = scored_chunks(spark, root).filter("knesset IS NOT NULL")
+    a, b = (s.select("chunk_id", "knesset", F.col(e).alias(f"err_{n}")) for e, n in (("err_a", "a"), ("err_b", "b")))
+    j = written(a).join(b.drop("knesset"), "chunk_id")
+    return j.groupBy("knesset").agg(F.count(F.lit(1)).alias("paired"), F.count_if(F.col("err_a") < F.col("err_b")).alias("a_better"), F.count_if(F.col("err_b") < F.col("err_a")).alias("b_better"), F.count_if(F.col("err_a") == F.col("err_b")).alias("same"))
+
+
+def rate_spread(spark: SparkSession, root: str) -> DataFrame:
+    """Mean, sample standard deviation and coefficient of variation of the chunks' rates per legislature."""
+    s = scored_chunks(spark, root).filter("knesset IS NOT NULL").withColumn("rate", F.col("err_a") / F.col("words"))
+    return metrics.spread(s, ["knesset"], "rate", 7)
+
+
+def mapped_labels(spark: SparkSession, root: str) -> DataFrame:
+    """Rows by broad label, by a mapping with a default."""
+    broad = metrics.map_values(F.col("label"), {"mk": "member", "former_mk": "member", "non_mk": "guest"}, "open")
+    return table(spark, root, "segments").groupBy(broad.alias("broad")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def unmapped_labels(spark: SparkSession, root: str) -> DataFrame:
+    """Labels that a mapping of two does not know, with their rows."""
+    return metrics.unmapped(table(spark, root, "segments"), "label", {"mk": "member", "non_mk": "guest"})
+
+
+def either_source(spark: SparkSession, root: str) -> DataFrame:
+    """Speaker of every chunk of the plan or the index, the plan's where it has the chunk; counted by source."""
+    from plenora.operators.ledger import union_unique
+
+    ids = lambda t, n: table(spark, root, t).filter("chunk_id IS NOT NULL").select("chunk_id", "speaker_id", F.lit(n).alias("source"))
+    return union_unique(ids("panel_plan_v2", "plan"), ids("chunk_index", "index"), ["chunk_id"]).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("speaker_id").alias("speakers"))
+
+
 def sliding_events(spark: SparkSession, root: str) -> DataFrame:
     """Events in windows of two hours every hour (the batch form of the streaming aggregate)."""
     return ingest.sliding_counts(table(spark, root, "events"), "ts", "2 hours", "1 hour", "10 minutes", ["event_type"])
@@ -257,7 +299,7 @@ QUERIES = {
     for f in (
         selected_chunks, sampled_chunks, spread_chunks, longest_per_group, lowest_overlap, worst_of_largest, word_quality, candidate_list, quality_bands, first_and_deduped, hash_parts, error_kind_shares,
         personal_margins, capacity, seed_means, significance, settings_grid, joined_difference, paired_audit, widened_plan, fold_extras, free_pool, budgets_and_steps, fetch_costs, prompts, median_curve,
-        curve_minima, forced_against_free, char_rates, forgiving_totals, most_restored, sliding_events,
+        curve_minima, forced_against_free, char_rates, forgiving_totals, most_restored, cross_corpus, paired_arms, rate_spread, mapped_labels, unmapped_labels, either_source, sliding_events,
     )
 }
 _LATEST = "latest AS (SELECT chunk_id, unnest(v) FROM (SELECT chunk_id, max({{'a': loaded_at, {0}}}) AS v FROM chunk_index WHERE {1} GROUP BY chunk_id))"
@@ -299,4 +341,10 @@ SELECT speaker_id, session, part, ms, coalesce(sum(ms) FILTER (part = 'train') O
     "forced_against_free": SCORED + f", d AS (SELECT c.chunk_id, len(a) AS n, levenshtein(coalesce({_CODED.format('a')}, ''), coalesce({_CODED.format('b')}, '')) AS d, c.duration_s FROM coded c WHERE len(r) > 0), x AS (SELECT *, 'all' AS bin FROM d UNION ALL SELECT *, CASE WHEN duration_s < 0 THEN NULL WHEN duration_s <= 3 THEN '(0, 3]' WHEN duration_s <= 6 THEN '(3, 6]' WHEN duration_s <= 10 THEN '(6, 10]' WHEN duration_s <= 20 THEN '(10, 20]' WHEN duration_s <= 31 THEN '(20, 31]' END FROM d) SELECT bin, count(*) AS chunks, CAST(sum(d) AS BIGINT) AS errors, CAST(sum(n) AS BIGINT) AS words, round(sum(d) / nullif(sum(n), 0), 9) AS rate FROM x WHERE bin IS NOT NULL GROUP BY bin",
     "char_rates": SCORED + f", t AS (SELECT c.knesset, array_to_string(r, ' ') AS r, array_to_string(a, ' ') AS a, array_to_string(b, ' ') AS b FROM coded c WHERE len(r) > 0 AND knesset IS NOT NULL), u AS (SELECT *, list_distinct(string_split(r || 'x ', '')) AS u FROM t) SELECT knesset, CAST(sum(length(r)) AS BIGINT) AS chars, CAST(sum(levenshtein({_CHARS.format('r')}, coalesce({_CHARS.format('a')}, ''))) AS BIGINT) AS cerr_a, CAST(sum(levenshtein({_CHARS.format('r')}, coalesce({_CHARS.format('b')}, ''))) AS BIGINT) AS cerr_b FROM u GROUP BY knesset",
     "sliding_events": "SELECT w AS window_start, event_type, count(*) AS n FROM (SELECT event_type, unnest([date_trunc('hour', ts), date_trunc('hour', ts) - INTERVAL 1 HOUR]) AS w FROM events) GROUP BY ALL",
+    "cross_corpus": _CHUNKS + ", i AS (SELECT speaker_id, count(*) AS index_chunks, CAST(sum(ms) AS BIGINT) AS index_ms FROM chunks GROUP BY 1), q AS (SELECT chunk_id, speaker_id, max(CAST(round_even(duration_s * 1000, 0) AS BIGINT)) AS ms FROM panel_plan_v2 WHERE chunk_id IS NOT NULL AND speaker_id > 0 GROUP BY 1, 2), p AS (SELECT speaker_id, count(*) AS plan_chunks, CAST(sum(ms) AS BIGINT) AS plan_ms FROM q GROUP BY 1) SELECT * FROM i JOIN p USING (speaker_id)",
+    "paired_arms": SCORED + "SELECT knesset, count(*) AS paired, count(*) FILTER (err_a < err_b) AS a_better, count(*) FILTER (err_b < err_a) AS b_better, count(*) FILTER (err_a = err_b) AS same FROM scored WHERE knesset IS NOT NULL GROUP BY knesset",
+    "rate_spread": SCORED + ", r AS (SELECT knesset, err_a / words AS x FROM scored WHERE knesset IS NOT NULL) SELECT knesset, count(x) AS n, round(avg(x), 7) AS mean, round(stddev_samp(x), 7) AS sd, round(stddev_samp(x) / nullif(avg(x), 0), 7) AS cv FROM r GROUP BY knesset",
+    "mapped_labels": "SELECT CASE WHEN label IN ('mk', 'former_mk') THEN 'member' WHEN label = 'non_mk' THEN 'guest' ELSE 'open' END AS broad, count(*) AS n FROM segments GROUP BY 1",
+    "unmapped_labels": "SELECT label AS value, count(*) AS n FROM segments WHERE label NOT IN ('mk', 'non_mk') GROUP BY 1",
+    "either_source": "WITH p AS (SELECT chunk_id, max(speaker_id) AS s FROM panel_plan_v2 WHERE chunk_id IS NOT NULL GROUP BY 1), i AS (SELECT chunk_id, max(speaker_id) AS s FROM chunk_index WHERE chunk_id IS NOT NULL AND chunk_id NOT IN (SELECT chunk_id FROM p) GROUP BY 1) SELECT 'plan' AS source, count(*) AS n, count(DISTINCT s) AS speakers FROM p HAVING count(*) > 0 UNION ALL SELECT 'index', count(*), count(DISTINCT s) FROM i HAVING count(*) > 0",
 }

@@ -138,6 +138,25 @@ def list_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     return files.withColumn("folder", F.element_at(F.split("path", "/"), -2)).withColumn("name", F.element_at(F.split("path", "/"), -1))
 
 
+def files_by_folder(files: DataFrame) -> DataFrame:
+    """(folder, names in order, n, bytes) of ``list_files``."""
+    return files.groupBy("folder").agg(F.array_sort(F.collect_set("name")).alias("names"), F.count(F.lit(1)).alias("n"), F.sum("length").alias("bytes"))
+
+
+def speaker_map(col: Column) -> Column:
+    """Map of number to name from text of lines ``number<tab>name``; other lines are left out, of a repeated number the last line counts."""
+    lines = F.transform(F.split(col, "\r?\n"), lambda x: F.split(x, "\t", 2))
+    ok = F.filter(lines, lambda x: (F.size(x) == 2) & x[0].rlike(r"^\s*[0-9]+\s*$"))
+    pairs = F.transform(ok, lambda x: F.struct(F.trim(x[0]).cast("bigint").alias("k"), F.trim(x[1]).alias("v")))
+    last = F.filter(pairs, lambda x, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda y: y["k"] == x["k"]))
+    return F.map_from_entries(last)
+
+
+def segment_quality(words: DataFrame, session: str = "session_id", seg: str = "seg", p: str = "p") -> DataFrame:
+    """(session, seg, quality, n_words): plain median of the words' probabilities."""
+    return words.groupBy(session, seg).agg(F.percentile(p, 0.5).alias("quality"), F.count(F.lit(1)).alias("n_words"))
+
+
 def words_of_sessions(docs: DataFrame) -> DataFrame:
     """One row per word of nested session documents: session_id, seg, idx, word, t0, t1, p, offset_ok, a, b.
 

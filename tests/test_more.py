@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plenora.functions import align
-from plenora.operators import decide, ledger, panel, resolve, select, sequence, stats, validate
+from plenora.operators import decide, ledger, metrics, panel, resolve, select, sequence, stats, validate
 from plenora.sources import io
 from plenora.streaming import ingest
 
@@ -203,6 +203,20 @@ def test_audio_and_answers(spark):
     assert [r.t for r in frame(spark, [(answer,), ("[]",)], "j string").select(io.provider_text(F.col("j")).alias("t")).collect()] == ["a b c", ""]
 
 
+def test_ledgers_maps_and_queues(spark, lit):
+    a, b = frame(spark, [(1, "a"), (1, "b"), (2, None)], "k int, v string"), frame(spark, [(2, "z"), (3, "c")], "k int, v string")
+    assert {r.k: r.v for r in ledger.union_unique(a, b, ["k"]).collect()} == {1: "b", 2: None, 3: "c"}
+    assert ledger.ledger_union(a.select("k"), b.select("k"), a.select("k")).count() == 3
+    assert lit(io.speaker_map(F.lit("1\tdan\nbad line\n 2 \truth b\tx\n1\tdana"))) == {1: "dana", 2: "ruth b\tx"}
+    assert [lit(metrics.map_values(F.lit(x).cast("string"), {"a": "A"}, "?")) for x in ("a", "b", None)] == ["A", "?", "?"]
+    q = {r.status: r for r in ledger.queue_rollup(frame(spark, [("done", 2.0, 4.0), ("pending", 3.0, None)], "status string, est double, actual double"), "status", "est", "actual", 0.5).collect()}
+    assert (q["pending"].minutes_left, q["pending"].cost_left, q["done"].minutes_left) == (6.0, 3.0, 0.0)
+    words = frame(spark, [(1, 0, 0.2), (1, 0, 0.4), (1, 0, 0.9), (1, 1, 0.5)], "session_id int, seg int, p double")
+    assert {r.seg: (r.quality, r.n_words) for r in io.segment_quality(words).collect()} == {0: (0.4, 3), 1: (0.5, 1)}
+    files = frame(spark, [("x/a.json", 3, "x", "a.json"), ("x/b.json", 4, "x", "b.json")], "path string, length long, folder string, name string")
+    assert tuple(io.files_by_folder(files).first()) == ("x", ["a.json", "b.json"], 2, 7)
+
+
 def test_stream_without_repeats(spark, tmp_path):
     src = frame(spark, [(1, 10), (1, 20), (2, 15)], "k int, s int").select("k", F.timestamp_seconds("s").alias("ts"))
     src.write.parquet(str(tmp_path / "in"))

@@ -522,3 +522,24 @@ def test_forms_agree_with_normalisation(spark):
     c = Canoniser()
     for t in spark.read.parquet(f"{DATA}/sf0.001/benchmark.parquet").select("text").toPandas().text:
         assert unicodedata.is_normalized("NFC", c(t))
+
+
+def test_edges_of_the_inputs(spark):
+    """Null ids and texts, an empty and a very long text, repeated rows and columns that clash with inner names."""
+    rnd = random.Random(21)
+    item = " ".join(_sentence(rnd, 30))
+    long = " ".join(_sentence(rnd, 40_000)) + f". {item}"
+    docs = [(1, long), (2, None), (3, ""), (None, item), (5, item), (5, item), (6, " \n ")]
+    clash = lambda df: df.withColumns({c: F.lit(c) for c in ("unit", "digest", "item", "key", "words", "pair", "tail", "form", "raw", "__h", "ids")})
+    d = clash(spark.createDataFrame(docs, "doc_id long, text string").withColumn("source", F.lit(None).cast("string")))
+    got = leaks(d, "doc_id", "text", clash(spark.createDataFrame([(9, item), (None, item), (8, None)], "item_id long, text string")), "item_id", "text")
+    assert {tuple(r) for r in got.collect()} == {(1, 9), (5, 9)}
+    cut = truncated(d, "doc_id", "text", "source").collect()
+    assert sorted(str(r.doc_id) for r in cut) == ["1", "5", "5", "None"] and d.columns[:2] == ["doc_id", "text"]
+    packed = pack(token_counts(d, "doc_id", "text"), "doc_id", 2048).collect()
+    assert sum(r.bin is None for r in packed) == 2 and max(r.n_tokens for r in packed) <= 2048 and sum(r.doc_id == 5 for r in packed) == 2
+    same_look = clash(spark.createDataFrame([("a", "x\u00a0y"), ("b", "x y"), ("b", "x y"), (None, "x y"), ("c", None), ("e", "")], "id string, text string"))
+    assert {r.id for r in look_alike_rows(same_look, "id", "text").collect()} == {"a", "b"}
+    assert look_alike_rows(same_look.filter("false"), "id", "text").count() == 0
+    none = d.filter("false")
+    assert truncated(none, "doc_id", "text", "source").count() == 0 and pack(token_counts(none, "doc_id", "text"), "doc_id", 2048).count() == 0

@@ -154,7 +154,8 @@ def permutation_rank(df: DataFrame, rules: Mapping[str, str], key: str, values:
         cols = {v: table.column(v).to_numpy() for v in values}
         for p in range(first, min(first + block, n_perm)):
             rank = np.empty(len(names), int)
-            rank[np.argsort([hashlib.md5(f"{seed}|{p}|{x}".encode()).hexdigest() for x in names])] = np.arange(len(names))
+            hi, lo = np.frombuffer(b"".join(hashlib.md5(f"{seed}|{p}|{x}".encode()).digest() for x in names), ">u8").reshape(-1, 2).T
+            rank[np.lexsort((lo, hi))] = np.arange(len(names))
             for r, own, label, n in parts:
                 order = own[np.argsort(rank[at[own]])]
                 for v, y in cols.items():

@@ -65,9 +65,3 @@ def weighted_median(df: DataFrame, keys: Sequence[str], value: str, weight: str,
     picked = stepped.withColumn("__at", at)
     plain = F.expr("percentile(__v, 0.5, __n)")
     return picked.groupBy(*keys).agg(F.when(F.max("__half") > 0, F.coalesce(F.min("__at"), F.max("__v"))).otherwise(plain).alias(out))
-
-
-def hash_draw(seed: Column | str, *parts: Column, n: Column) -> Column:
-    """A number in [0, n) from md5 of the parts: the same on every engine, run and partitioning."""
-    text = F.concat_ws("|", F.lit(seed) if isinstance(seed, str) else seed, *[p.cast("string") for p in parts])
-    return F.pmod(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long"), n)

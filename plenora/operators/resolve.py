@@ -214,7 +214,7 @@ def contamination(vectors: DataFrame, key: str, label: str, vec: str, keep: floa
     some = vectors.filter(F.col(vec).isNotNull() & F.col(label).isNotNull()).select(key, label, F.col(vec).cast("array<double>").alias("__v"))
     near = written(_cosines(some, key, label, unit_sums(some, label, "__v"), block).select(key, label, "own"))
     w = W.partitionBy(label)
-    tight = near.withColumn("k", F.row_number().over(w.orderBy(F.desc("own"), key))).withColumn("n", F.count(F.lit(1)).over(w)).filter(F.col("k") <= F.greatest(F.bround(F.col("n") * keep), F.lit(1)))
+    tight = near.withColumn("__k", F.row_number().over(w.orderBy(F.desc("own"), key))).withColumn("__n", F.count(F.lit(1)).over(w)).filter(F.col("__k") <= F.greatest(F.bround(F.col("__n") * keep), F.lit(1)))
     cents = unit_sums(some.join(tight.select(key, label), [key, label], "left_semi"), label, "__v")
     return _cosines(some, key, label, cents, block).withColumn("margin", F.col("own") - F.col("nearest_other"))
 
